@@ -9,8 +9,8 @@ Defined results: null text gives null ids; the empty text gives no ids. `exact`
 decoding gives the text back byte for byte (it does unless the text has U+2581 itself). Repeated rows
 and null doc_ids are encoded like any other row; other columns are left out.
 
-The Viterbi runs on all distinct units of a batch at once, position by position: since no live piece
-has a marker behind its first place nor a line end, units don't depend on each other. For a model
+The Viterbi runs on all distinct units of a batch at once, position by position: since no piece
+has a marker behind another character, nor a line end, units don't depend on each other. For a model
 where that fails, each text is one unit.
 """
 
@@ -84,7 +84,7 @@ def double_array(keys: list[bytes]):
         node[-1] = k
     size = 1 << 12
     base, check, value = np.zeros(size, np.int32), np.full(size, -1, np.int32), np.full(size, -1, np.int32)
-    taken, low, todo = bytearray(size), 1, [(0, root)]
+    taken, low, wide, todo = bytearray(size), 257, 257, [(0, root)]
     taken[0] = 1
     while todo:
         s, node = todo.pop()
@@ -93,22 +93,30 @@ def double_array(keys: list[bytes]):
         kids = sorted(c for c in node if c >= 0)
         if not kids:
             continue
-        b = max(1, low - kids[0])
+        single = len(kids) == 1
+        f, tries = low if single else wide, 0
         while True:
-            while b + 256 >= size:
-                base, check, value = (np.concatenate([x, np.full(size, f, np.int32)]) for x, f in ((base, 0), (check, -1), (value, -1)))
+            f = taken.find(0, f)
+            if f < 0:
+                f = size
+            while f + 512 >= size:
+                base, check, value = (np.concatenate([x, np.full(size, v, np.int32)]) for x, v in ((base, 0), (check, -1), (value, -1)))
                 taken += bytearray(size)
                 size *= 2
-            if not any(taken[b + c] for c in kids):
+            b = f - kids[0]
+            if b > 0 and (single or not any(taken[b + c] for c in kids)):
                 break
-            b += 1
+            f += 1
+            tries += 1
+        if single:
+            low = f if b + kids[0] == f else low
+        elif tries > 16:
+            wide = f
         base[s] = b
         for c in kids:
             taken[b + c] = 1
             check[b + c] = s
             todo.append((b + c, node[c]))
-        while low < size - 512 and taken[low]:
-            low += 1
     pad = np.full(512, -1, np.int32)
     return np.concatenate([base, np.zeros(512, np.int32)]), np.concatenate([check, pad]), np.concatenate([value, pad])
 
@@ -129,8 +137,7 @@ class Codec:
                 self.byte[int(text[3:5], 16)] = i
         self.has_bytes = any(p[2] == BYTE for p in pieces)
         self.unk = next((i for i, p in enumerate(pieces) if p[2] == UNKNOWN), 0)
-        mark = pieces_score(pieces, "▁")
-        self.splits = not any("\n" in pieces[i][0] or ("▁" in pieces[i][0][1:] and (pieces[i][0].strip("▁") or mark is None or pieces[i][1] >= mark * len(pieces[i][0]))) for i in live)
+        self.splits = not any("\n" in p or "▁" in p.lstrip("▁") for p in (pieces[i][0] for i in live))
         said = [b"" if p[2] in (CONTROL, UNKNOWN) else bytes([int(p[0][3:5], 16)]) if p[2] == BYTE else p[0].encode().replace(MARK, b" ") for p in pieces]
         said[self.unk] = " ⁇ ".encode()
         self.said = np.frombuffer(b"".join(said), np.uint8)
@@ -241,7 +248,7 @@ class Codec:
             out[i] = self.viterbi_one(raws[i]) if odd[k] else flat[ends[k] - count[k] : ends[k]]
 
     def encode_units(self, items):
-        return self.viterbi_many([MARK + w.replace(b"\xe2\x96\x81", MARK) if kind == units.SPACED else w for w, kind in items])
+        return self.viterbi_many([(MARK if kind == units.MARKED else b"") + w.replace(b" ", MARK) for w, kind in items])
 
     def encode(self, text: str) -> np.ndarray:
         """One text, without cutting it into units."""
@@ -257,10 +264,6 @@ class Codec:
         return raw[raw[:1] == b" " :].decode(errors="replace")
 
 
-def pieces_score(pieces, text):
-    return next((s for p, s, _ in pieces if p == text), None)
-
-
 _codecs: dict = {}
 
 

@@ -7,32 +7,29 @@ import numpy as np
 
 from .shared import mix, word_hashes
 
-WORD, SPACED, NEWLINE = 0, 1, 2  # a word as it is; with one blank before it; "\n"
+PLAIN, MARKED = 0, 1  # a unit as it is; one that counts as if one more blank stood before it
 
 
 def cut(data: np.ndarray, offsets: np.ndarray, prefix: bool):
-    """(start, end, kind, row) of the units of every row, in order. prefix: the first unit of each
-    non-empty row counts as if a blank stood before it."""
-    rows = np.flatnonzero(offsets[1:] > offsets[:-1])
-    space, line = np.flatnonzero(data == 32), np.flatnonzero(data == 10)
-    ws = np.concatenate([space + 1, line + 1, offsets[:-1][rows], line])
-    kind = np.concatenate([np.full(len(space), SPACED), np.full(len(line), WORD), np.full(len(rows), SPACED if prefix else WORD), np.full(len(line), NEWLINE)]).astype(np.int8)
-    rank = np.concatenate([np.zeros(len(space) + len(line), np.int8), np.ones(len(rows), np.int8), np.full(len(line), 2, np.int8)])
-    row = np.concatenate([np.searchsorted(offsets, space, "right") - 1, np.searchsorted(offsets, line, "right") - 1, rows, np.searchsorted(offsets, line, "right") - 1])
-    order = np.argsort(ws * 4 + rank, kind="stable")
-    ws, kind, row = ws[order], kind[order], row[order]
-    stops = np.flatnonzero((data == 32) | (data == 10))
-    stops = np.append(stops, len(data))
-    end = np.minimum(stops[np.searchsorted(stops, ws)], offsets[row + 1])
-    end = np.where(kind == NEWLINE, ws + 1, np.maximum(end, ws))
-    keep = (kind != WORD) | (end > ws)
-    return ws[keep], end[keep], kind[keep], row[keep]
+    """(start, end, kind, row) of the units of every row: they cover the row in order. A unit is a run
+    of blanks with the word behind it, or one line end. prefix: the first unit of a row is MARKED."""
+    begin = np.zeros(len(data) + 1, bool)
+    space = data == 32
+    begin[:-1] = space
+    begin[1:-1] &= ~space[:-1]
+    line = np.flatnonzero(data == 10)
+    begin[line] = begin[line + 1] = True
+    first = offsets[:-1][offsets[1:] > offsets[:-1]]
+    begin[first] = True
+    start = np.flatnonzero(begin[:-1])
+    kind = np.zeros(len(start), np.int8)
+    if prefix:
+        kind[np.searchsorted(start, first)] = MARKED
+    return start, np.append(start[1:], len(data)), kind, np.searchsorted(offsets, start, "right") - 1
 
 
 def hashes(data, start, end, kind):
-    inside = start < len(data)
-    h = word_hashes(data, np.where(inside, start, 0), np.where(inside, end, 0)) if len(data) else np.zeros(len(start), np.uint64)
-    return mix(h + kind.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+    return mix(word_hashes(data, start, end) + kind.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
 
 
 class Cache:
