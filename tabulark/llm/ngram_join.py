@@ -352,12 +352,12 @@ def ngram_jaccard_pairs(docs: DataFrame, n: int = NGRAM, threshold: float = THRE
     return near.union(copies).groupBy("doc_id_a", "doc_id_b").agg(F.max("jaccard").alias("jaccard"))
 
 
-def components(pairs: DataFrame, rounds: int = 60) -> DataFrame:
+def components(pairs: DataFrame) -> DataFrame:
     """(doc_id, root): the smallest doc_id of each connected group, by large-star and small-star steps
     (Kiveris et al. 2014), each round written to the shared folder."""
     edges = materialize(pairs.select(F.col("doc_id_a").alias("u"), F.col("doc_id_b").alias("v")).where("u <> v").distinct(), "groups")
     before = None
-    for _ in range(rounds):
+    while True:
         both = edges.union(edges.select("v", "u"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
