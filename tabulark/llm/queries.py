@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, language_id, ngram_join, pii, quality_classifier, quality_rules, sentencepiece_codec, substring_dedup, token_records
+from . import chat_format, decontaminate, language_id, ngram_join, pii, quality_classifier, quality_rules, sentencepiece_codec, substring_dedup, token_records
 from .shared import table
 
 
@@ -32,6 +32,10 @@ def op6_quality_rules(spark, sf_dir):
     return quality_rules.quality_filter(table(spark, sf_dir, "documents"))
 
 
+def op7_decontaminate(spark, sf_dir):
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_token_records(spark, sf_dir):
     return token_records.write_token_records(table(spark, sf_dir, "documents"))
 
@@ -44,5 +48,5 @@ def op10_sentencepiece(spark, sf_dir):
     return sentencepiece_codec.encode_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_pii, op3_substring_dedup, op4_chat_format, op5_language_id, op6_quality_rules, op8_token_records, op9_quality_classifier, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_pii, op3_substring_dedup, op4_chat_format, op5_language_id, op6_quality_rules, op7_decontaminate, op8_token_records, op9_quality_classifier, op10_sentencepiece)}
 SQL = {"op1_ngram_jaccard": ngram_join.SQL, "op3_substring_dedup": substring_dedup.SQL, "op4_chat_format": chat_format.SQL, "op6_quality_rules": quality_rules.SQL}
