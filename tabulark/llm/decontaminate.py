@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .shared import ALNUM, as_bytes, materialize, text_chunks, word_hashes, words, workers
 
 FEATURE_BITS, RANK, OVERSAMPLE = 14, 40, 8
-PASSAGE, STEP = 32, 16
+PASSAGE, STEP = 32, 8
 COSINE, COVER, ANSWER, ANSWER_COVER, LEAST = 0.5, 0.6, 8, 0.5, 8
 SLAB = 20_000
 CHUNK_WORDS = 150_000
