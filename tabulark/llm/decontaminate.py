@@ -1,12 +1,14 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. Documents become rows of 32-bit word hashes (runs of letters and digits, lower case), written once;
+1. Documents become rows of 32-bit word hashes (runs of letters and digits, ASCII case ignored), written once;
    the passage frequency of each of 2**FEATURE_BITS hashed terms is counted over all passages.
 2. A randomised SVD of the matrix of all TF-IDF passages, distributed: every task multiplies its passages
    by a random matrix and back, the products are summed, and the single-pass Nystroem form of the
    eigenproblem (Halko, Martinsson, Tropp 2011; Tropp et al. 2017) gives the right singular vectors.
-3. Every window of every document, as wide as the item (in steps of STEP words), is compared with every
-   benchmark item by the cosine of the latent vectors.
+3. Windows of every document, as wide as the item (in steps of STEP words), are compared with benchmark
+   items by the cosine of the latent vectors. Step 4 needs COVER of an item's n words in the window, so of any
+   n - ceil(COVER n) + RARE of them at least RARE: windows that have fewer of the item's rarest ones can't
+   pass it and aren't compared. No pair is lost by that.
 4. A pair above COSINE is checked word by word: the longest common subsequence of item and window must
    cover COVER of the item, and of its answer (its last ANSWER words) ANSWER_COVER.
 
@@ -27,22 +29,32 @@ from pyspark.sql import functions as F
 
 from .shared import ALNUM, as_bytes, materialize, text_chunks, word_hashes, words, workers
 
-FEATURE_BITS, RANK, OVERSAMPLE = 14, 40, 8
+FEATURE_BITS, RANK, OVERSAMPLE = 14, 26, 6
 PASSAGE, STEP = 32, 8
-COSINE, COVER, ANSWER, ANSWER_COVER, LEAST = 0.5, 0.6, 8, 0.5, 8
+COSINE, COVER, ANSWER, ANSWER_COVER, LEAST, RARE = 0.4, 0.6, 8, 0.5, 8, 3
 SLAB = 20_000
-CHUNK_WORDS = 150_000
+CHUNK_WORDS = 250_000
+GATE_BITS = 22
 BLOCKS = 64  # a matrix of terms is summed in so many parts
 TERMS = 1 << FEATURE_BITS
 
 
+_LOW = np.arange(256, dtype=np.uint8)
+_LOW[65:91] += 32
+
+
 def _hashed(batch):
     for lo, hi, data, offsets in text_chunks(batch.column(1)):
+        data = _LOW[data]
         start, end, row = words(data, offsets, ALNUM)
         h = (word_hashes(data, start, end) >> np.uint64(32)).astype(np.uint32)
         yield lo, hi, h, np.searchsorted(row, np.arange(hi - lo + 1))
 
 
+def _terms(h):
+    return (h & np.uint32(TERMS - 1)).astype(np.uint16)
+
+
 def _passages(at):
     """Starts of the passages of every row: each begins at the row's start and every PASSAGE words."""
     n = np.diff(at)
@@ -59,13 +71,14 @@ def _tokenize(batches):
         for lo, hi, h, at in _hashed(batch):
             if len(h):
                 start = _passages(at)
-                where = np.zeros(len(h), np.int64)
-                where[start[1:]] = 1
-                code = np.unique((np.cumsum(where) << FEATURE_BITS) + (h & np.uint32(TERMS - 1)))
-                df += np.bincount(code & (TERMS - 1), minlength=TERMS)
-            keep = np.flatnonzero((np.diff(at) > 0) & known[lo:hi])
-            if len(keep):
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo).take(pa.array(keep)), pa.array([as_bytes(h[at[r] : at[r + 1]]) for r in keep], pa.binary()), pa.nulls(len(keep), pa.int32()), pa.nulls(len(keep), pa.binary())], names=["doc_id", "words", "block", "part"])
+                f = _terms(h)
+                order = np.argsort(f, kind="stable")
+                f, passage = f[order], np.repeat(np.arange(len(start)), np.diff(np.append(start, len(h))))[order]
+                df += np.bincount(f[np.append(True, (f[1:] != f[:-1]) | (passage[1:] != passage[:-1]))], minlength=TERMS)
+            cells = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((4 * at).astype(np.int32)), pa.py_buffer(h)])
+            rows = pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), cells, pa.nulls(hi - lo, pa.int32()), pa.nulls(hi - lo, pa.binary())], names=["doc_id", "words", "block", "part"])
+            keep = (np.diff(at) > 0) & known[lo:hi]
+            yield rows if keep.all() else rows.filter(pa.array(keep))
     if df.any():
         parts = np.split(df, BLOCKS)
         yield pa.RecordBatch.from_arrays([pa.nulls(BLOCKS, pa.int64()), pa.nulls(BLOCKS, pa.binary()), pa.array(range(BLOCKS), pa.int32()), pa.array([as_bytes(x) for x in parts], pa.binary())], names=["doc_id", "words", "block", "part"])
@@ -88,27 +101,39 @@ def _runs(batches):
     """(doc_ids, words of all, starts) of some documents at a time."""
     for batch in batches:
         ids, cells = batch.column(0).to_numpy(), batch.column(1)
-        size = np.array([len(x.as_buffer()) // 4 for x in cells], np.int64)
-        at = np.append(0, np.cumsum(size))
+        at = np.frombuffer(cells.buffers()[1], np.int32)[cells.offset : cells.offset + len(cells) + 1].astype(np.int64) // 4
+        every = np.frombuffer(cells.buffers()[2], np.uint32)
         lo = 0
         while lo < len(ids):
-            hi = max(lo + 1, int(np.searchsorted(at, at[lo] + CHUNK_WORDS, "right")) - 1)
-            h = np.concatenate([np.frombuffer(cells[i].as_buffer(), np.uint32) for i in range(lo, hi)])
-            yield ids[lo:hi], h, at[lo : hi + 1] - at[lo]
+            hi = min(len(ids), max(lo + 1, int(np.searchsorted(at, at[lo] + CHUNK_WORDS, "right")) - 1))
+            yield ids[lo:hi], every[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
             lo = hi
 
 
+def _padded(f, at, step):
+    """Terms of every row filled up to whole steps with the term TERMS, which weighs nothing."""
+    n = np.diff(at)
+    full = -(-n // step) * step
+    begin = np.cumsum(full) - full
+    out = np.full(int(full.sum()), TERMS, np.int32)
+    out[np.arange(len(f)) + np.repeat(begin - at[:-1], n)] = f
+    return out.reshape(-1, step)
+
+
 def _products(held):
     def run(batches):
         idf, omega = held.value
-        weighted = idf[:, None] * omega
+        weighted = np.append(idf[:, None] * omega, np.zeros((1, omega.shape[1]), np.float32), axis=0)
+        square = np.append(idf**2, np.float32(0))
         total = np.zeros_like(omega)
         for _ids, h, at in _runs(batches):
-            f = (h & np.uint32(TERMS - 1)).astype(np.uint16)
-            start = _passages(at)
-            y = np.add.reduceat(weighted[f], start, axis=0)
-            y /= np.add.reduceat(idf[f] ** 2, start)[:, None] + 1e-9
-            passage = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(h))))
+            f = _terms(h)
+            grid = _padded(f, at, PASSAGE)
+            y = weighted[grid].sum(1)
+            y /= square[grid].sum(1)[:, None] + 1e-9
+            n = np.diff(at)
+            many = -(-n // PASSAGE)
+            passage = np.repeat(np.cumsum(many) - many, n) + (np.arange(len(f)) - np.repeat(at[:-1], n)) // PASSAGE
             order = np.argsort(f, kind="stable")
             g = f[order]
             head = np.append(0, np.flatnonzero(np.diff(g)) + 1)
@@ -132,20 +157,29 @@ def singular_vectors(z: np.ndarray, omega: np.ndarray, rank: int) -> np.ndarray:
 
 
 class Index:
-    """Benchmark items, by the number of steps their windows have."""
-
-    def __init__(self, items, idf, vectors):
-        self.term = (idf[:, None] * vectors).astype(np.float32)
-        self.groups = []
-        wide = np.array([-(-len(w) // STEP) + 1 for _, w in items], np.int64)
-        for b in sorted(set(wide)):
-            own = [items[i] for i in np.flatnonzero(wide == b)]
-            v = np.array([self.term[w & np.uint32(TERMS - 1)].sum(0) for _, w in own], np.float32)
-            most = max(len(w) for _, w in own)
-            padded = np.zeros((len(own), most), np.int64) - 1
-            for i, (_, w) in enumerate(own):
-                padded[i, : len(w)] = w
-            self.groups.append((int(b), np.array([i for i, _ in own], np.int64), v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9), padded, np.array([len(w) for _, w in own])))
+    """Benchmark items: latent vectors, and which of them a rare word points to."""
+
+    def __init__(self, items, idf, vectors, cover: float):
+        self.term = np.append(idf[:, None] * vectors, np.zeros((1, vectors.shape[1]), np.float32), axis=0).astype(np.float32)
+        self.ids = np.array([i for i, _ in items], np.int64)
+        self.n = np.array([len(w) for _, w in items], np.int64)
+        self.wide = -(-self.n // STEP) + 1
+        self.words = np.zeros((len(items), int(self.n.max())), np.int64) - 1
+        word, item = [], []
+        for i, (_, w) in enumerate(items):
+            self.words[i, : len(w)] = w
+            few = len(w) - int(np.ceil(cover * len(w) - 1e-9)) + RARE
+            rarest = np.argsort(-idf[_terms(w)], kind="stable")[:few]
+            u = np.unique(w[rarest])
+            word.append(u)
+            item.append(np.full(len(u), i))
+        word, item = np.concatenate(word), np.concatenate(item)
+        order = np.argsort(word, kind="stable")
+        self.word, self.item = word[order], item[order]
+        self.gate = np.zeros(1 << GATE_BITS, bool)
+        self.gate[self.word & np.uint32((1 << GATE_BITS) - 1)] = True
+        v = np.array([self.term[_terms(w)].sum(0) for _, w in items], np.float32)
+        self.vector = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
 
 
 def common_subsequence(items: np.ndarray, windows: np.ndarray):
@@ -165,37 +199,54 @@ def covers(items: np.ndarray, n: np.ndarray, windows: np.ndarray):
     return common_subsequence(items, windows) / n, common_subsequence(answer, windows) / np.minimum(n, ANSWER)
 
 
+def _windows_of(index, h, at):
+    """(item, first word, end of the row) of every window with RARE or more of an item's rarest words."""
+    place = np.flatnonzero(index.gate[h & np.uint32((1 << GATE_BITS) - 1)])
+    a, b = np.searchsorted(index.word, h[place], "left"), np.searchsorted(index.word, h[place], "right")
+    hits = b - a
+    place, item = np.repeat(place, hits), index.item[ragged_range(a, hits)]
+    row = np.searchsorted(at, place, "right") - 1
+    steps = -(-np.diff(at) // STEP)
+    first = np.cumsum(steps) - steps
+    own = (place - at[row]) // STEP
+    # windows begin at steps own - wide + 1 .. own of the row, none after the last that fits
+    last = np.minimum(own, np.maximum(steps[row] - index.wide[item], 0))
+    low = np.maximum(np.minimum(own - index.wide[item] + 1, last), 0)
+    many = last - low + 1
+    step = ragged_range(first[row] + low, many)
+    code, n = np.unique(step * len(index.ids) + np.repeat(item, many), return_counts=True)
+    code = code[n >= RARE]
+    step, item = code // len(index.ids), code % len(index.ids)
+    row = np.searchsorted(first, step, "right") - 1
+    return item, at[row] + STEP * (step - first[row]), at[row + 1], row
+
+
+def ragged_range(start, n):
+    """start[i] .. start[i] + n[i] - 1 one after another."""
+    ends = np.cumsum(n)
+    return np.repeat(start - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 def _search(held, cosine, cover, answer_cover):
     def run(batches):
         index = held.value
         for ids, h, at in _runs(batches):
-            rank = index.term.shape[1]
-            n = np.diff(at)
-            many = -(-n // STEP)
-            first = np.append(0, np.cumsum(many))
-            doc = np.repeat(np.arange(len(ids)), many)
-            start = np.repeat(at[:-1], many) + STEP * (np.arange(first[-1]) - np.repeat(first[:-1], many))
-            step = np.add.reduceat(index.term[h & np.uint32(TERMS - 1)], start, axis=0)
-            total = np.zeros((len(step) + 1, rank), np.float64)
-            np.cumsum(step, axis=0, dtype=np.float64, out=total[1:])
+            item, begin, end, row = _windows_of(index, h, at)
             out = []
-            for wide, item_ids, v, padded, length in index.groups:
-                last = np.maximum(first[doc + 1] - wide, first[doc])
-                begin = np.flatnonzero(np.arange(len(doc)) <= last)
-                end = np.minimum(begin + wide, first[doc[begin] + 1])
-                x = (total[end] - total[begin]).astype(np.float32)
-                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-                for lo in range(0, len(x), 20_000):
-                    c = x[lo : lo + 20_000] @ v.T
-                    w, i = np.nonzero(c >= cosine)
-                    for a in range(0, len(w), 4_000):
-                        ww, ii = w[a : a + 4_000], i[a : a + 4_000]
-                        from_, to = start[begin[lo + ww]], at[doc[begin[lo + ww]] + 1]
-                        place = from_[:, None] + np.arange(wide * STEP)
-                        seen = np.where(place < to[:, None], h[np.minimum(place, len(h) - 1)].astype(np.int64), -2)
-                        whole, answer = covers(padded[ii], length[ii], seen)
-                        ok = (whole >= cover) & (answer >= answer_cover)
-                        out += zip(ids[doc[begin[lo + ww[ok]]]].tolist(), item_ids[ii[ok]].tolist(), c[ww[ok], ii[ok]].astype(float).tolist(), whole[ok].tolist())
+            for lo in range(0, len(item), 4_000):
+                i, a, b, r = (x[lo : lo + 4_000] for x in (item, begin, end, row))
+                place = a[:, None] + np.arange(int(index.wide[i].max()) * STEP)
+                inside = (place < b[:, None]) & (place < (a + index.wide[i] * STEP)[:, None])
+                seen = h[np.minimum(place, len(h) - 1)]
+                v = index.term[np.where(inside, _terms(seen), TERMS)].sum(1)
+                c = (v * index.vector[i]).sum(1) / np.maximum(np.linalg.norm(v, axis=1), 1e-9)
+                near = np.flatnonzero(c >= cosine)
+                if not len(near):
+                    continue
+                i = i[near]
+                whole, answer = covers(index.words[i], index.n[i], np.where(inside[near], seen[near].astype(np.int64), -2))
+                ok = (whole >= cover) & (answer >= answer_cover)
+                out += zip(ids[r[near[ok]]].tolist(), index.ids[i[ok]].tolist(), c[near[ok]].astype(float).tolist(), whole[ok].tolist())
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names=["doc_id", "item_id", "cosine", "covered"])
 
@@ -204,7 +255,7 @@ def _search(held, cosine, cover, answer_cover):
 
 def read_items(benchmark: DataFrame) -> list:
     """(item_id, words) of every item long enough, on the driver: the benchmark, not the corpus."""
-    rows = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.lower(F.col("text").cast("string")).alias("text")).distinct().toArrow().combine_chunks()
+    rows = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct().toArrow().combine_chunks()
     out = []
     for batch in rows.to_batches():
         for lo, hi, h, at in _hashed(batch):
@@ -216,7 +267,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE,
     """(doc_id, item_id, cosine, covered) of every pair found; see the module for each edge case."""
     spark = workers(docs)
     share = spark.sparkContext.broadcast
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     tokens = materialize(base.mapInArrow(_tokenize, "doc_id long, words binary, block int, part binary"), "decontaminate-words")
     df = _summed(tokens.where("block is not null").select("block", "part"), np.int64)
     items = read_items(benchmark)
@@ -231,7 +282,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE,
     vectors = singular_vectors(z, omega, rank)
     found = None
     for lo in range(0, len(items), SLAB):
-        held = share(Index(items[lo : lo + SLAB], idf, vectors))
+        held = share(Index(items[lo : lo + SLAB], idf, vectors, cover))
         part = only.mapInArrow(_search(held, cosine, cover, answer_cover), schema)
         found = part if found is None else found.union(part)
     return found.groupBy("doc_id", "item_id").agg(F.max("cosine").alias("cosine"), F.max("covered").alias("covered"))
