@@ -360,12 +360,17 @@ def group_function(spark, d):
 # ---- ordered ---------------------------------------------------------------------------------------------
 
 
-def _window_query(name, make, sql):
+def _window_query(name, make, sql, single=False):
+    """single: compared as single-precision numbers, since averages over powers of two are ties of any
+    decimal rounding."""
+
     def run(spark, d):
-        return rounded(make(t(spark, d, "events").select("event_id", "ts", "user_id", "value")).select("event_id", "x"), "x", digits=7)
+        out = make(t(spark, d, "events").select("event_id", "ts", "user_id", "value")).select("event_id", "x")
+        return out.df.withColumn("x", F.col("x").cast("float").cast("double")) if single else rounded(out, "x", digits=7)
 
     run.__name__ = name
-    query(f"select event_id, round(({sql})::double, 7) as x from events")(run)
+    value = f"({sql})::float::double" if single else f"round(({sql})::double, 7)"
+    query(f"select event_id, {value} as x from events")(run)
 
 
 _W = "over (order by ts, event_id rows between {} and current row)"
@@ -373,7 +378,7 @@ _BY = ["ts", "event_id"]
 for _a, _f in (("sum", "sum"), ("mean", "avg"), ("min", "min"), ("max", "max"), ("std", "stddev_pop")):
     _window_query(f"rolling_{_a}", lambda f, a=_a: f.rolling("value", 7, a, _BY, name="x"), f"{_f}(value) " + _W.format("6 preceding"))
 for _a, _f in (("sum", "sum"), ("mean", "avg"), ("min", "min"), ("max", "max")):
-    _window_query(f"expanding_{_a}", lambda f, a=_a: f.expanding("value", a, _BY, name="x"), f"{_f}(value) " + _W.format("unbounded preceding"))
+    _window_query(f"expanding_{_a}", lambda f, a=_a: f.expanding("value", a, _BY, name="x"), f"{_f}(value) " + _W.format("unbounded preceding"), _a == "mean")
 _window_query("rolling_partitioned", lambda f: f.rolling("value", 3, "mean", _BY, partition_by="user_id", name="x"), "avg(value) over (partition by user_id order by ts, event_id rows between 2 preceding and current row)")
 _window_query("expanding_partitioned", lambda f: f.expanding("value", "sum", _BY, partition_by="user_id", name="x"), "sum(value) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row)")
 _window_query("shift_back", lambda f: f.shift("value", 2, _BY, name="x"), "lag(value, 2) over (order by ts, event_id)")
