@@ -256,36 +256,51 @@ def _bitmap(ids: DataFrame, many: int):
 def _read_again(n):
     def run(batches):
         for batch in batches:
-            rows = [(batch.column(0)[r].as_py(), int(_signature(g)), as_bytes(g)) for r, g in _sets(batch, n)]
+            rows = [(batch.column(0)[r].as_py(), int(_signature(g)), _pack(g)) for r, g in _sets(batch, n)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))], names=["doc_id", "sig", "grams"])
 
     return run
 
 
+def _pack(g):
+    """5 bytes of each hash: within a block of documents that is as good as all 8."""
+    return as_bytes(np.ascontiguousarray(g).view(np.uint8).reshape(-1, 8)[:, :5])
+
+
+def _unpack(raw):
+    out = np.zeros((len(raw) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+    return out.view(np.uint64).ravel()
+
+
+_SLICE = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
+
+
 def _slices(batches):
-    """Cut each set into as many fragments as its block needs."""
+    """Cut each set into as many fragments as each of its blocks needs."""
     for batch in batches:
-        block, parts, sig, grams = (batch.column(i) for i in range(4))
-        rows = []
-        for b, p, s, g in zip(block.to_pylist(), parts.to_pylist(), sig.to_pylist(), grams):
-            g = np.frombuffer(g.as_buffer(), np.uint64)
-            piece = (g >> np.uint64(32)) % np.uint64(p)
-            rows += [(b, k, s, as_bytes(g[piece == k]) if p > 1 else as_bytes(g)) for k in range(p)]
-            if len(rows) > 2000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.binary()))], names=["block", "part", "sig", "grams"])
-                rows = []
+        sig, grams, blocks, parts = (batch.column(i) for i in range(4))
+        rows, held = [], 0
+        for s, g, listed, many in zip(sig.to_pylist(), grams, blocks.to_pylist(), parts.to_pylist()):
+            g = _unpack(g.as_buffer())
+            for b, p in zip(listed, many):
+                piece = (g >> np.uint64(20)) % np.uint64(p)
+                rows += [(b, k, s, _pack(g[piece == k]) if p > 1 else _pack(g)) for k in range(p)]
+                held += len(g)
+            if held > 1_000_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _SLICE)], names=["block", "part", "sig", "grams"])
+                rows, held = [], 0
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.binary()))], names=["block", "part", "sig", "grams"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _SLICE)], names=["block", "part", "sig", "grams"])
 
 
 def _count_block(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
     """Overlap of each pair of the block within one fragment: a product of 0/1 matrices."""
     if not len(pairs) or not len(sets):
         return pd.DataFrame({"sig_a": [], "sig_b": [], "na": [], "nb": [], "c": []}).astype("int64")
-    name = sets["sig"].to_numpy()
-    order = np.argsort(name)
-    name, grams = name[order], [np.frombuffer(sets["grams"].iloc[i], np.uint64) for i in order]
+    name, first = np.unique(sets["sig"].to_numpy(), return_index=True)  # repeated rows count once
+    grams = [_unpack(sets["grams"].iloc[i]) for i in first]
     owner, all_grams = np.repeat(np.arange(len(grams)), [len(g) for g in grams]), np.concatenate(grams)
     token, inv, count = np.unique(all_grams, return_inverse=True, return_counts=True)
     shared = count > 1
@@ -335,12 +350,13 @@ def ngram_jaccard_pairs(docs: DataFrame, n: int = NGRAM, threshold: float = THRE
     spread = base.where("doc_id is not null").withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(bits)))
     run = _read_again(n)
     again = spread.mapInArrow(lambda batches: run(passes(batches)), "doc_id long, sig long, grams binary")
-    sets = again.join(involved.select("doc_id", "sig"), ["doc_id", "sig"]).select("sig", "grams").dropDuplicates(["sig"])
-
-    blocked = found.join(involved.select(F.col("sig").alias("sig_a"), "block"), "sig_a")
+    blocked = materialize(found.join(involved.select(F.col("sig").alias("sig_a"), "block"), "sig_a"), "jaccard-asked")
     member = blocked.select("block", F.explode(F.array("sig_a", "sig_b")).alias("sig")).distinct()
     parts = member.groupBy("block").agg(F.ceil(F.count("*") / BLOCK_DOCS).cast("int").alias("parts"))
-    pieces = member.join(parts, "block").join(sets, "sig").select("block", "parts", "sig", "grams").mapInArrow(_slices, "block long, part int, sig long, grams binary")
+    where = member.join(parts, "block").groupBy("sig").agg(F.collect_list("block").alias("blocks"), F.collect_list("parts").alias("parts"))
+    # the sets are shuffled twice: to their documents' blocks, and by block and fragment
+    sets = again.join(involved.select("doc_id", "sig").join(where, "sig"), ["doc_id", "sig"])
+    pieces = sets.select("sig", "grams", "blocks", "parts").mapInArrow(_slices, "block long, part int, sig long, grams binary")
     asked = blocked.join(parts, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "sig_a", "sig_b", "na", "nb")
     counted = asked.groupBy("block", "part").cogroup(pieces.groupBy("block", "part")).applyInPandas(_count_block, "sig_a long, sig_b long, na long, nb long, c long")
     overlap = counted.groupBy("sig_a", "sig_b").agg(F.min("na").alias("na"), F.min("nb").alias("nb"), F.sum("c").alias("c"))
