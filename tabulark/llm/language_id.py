@@ -32,7 +32,8 @@ CHUNK = 1 << 20
 
 
 def labelled_sample(docs: DataFrame, per_language: int = TRAIN_DOCS, seed: int = 7):
-    """{language: [text]}: the labelled documents of the smallest hash, per_language of each language."""
+    """{language: [text]}: the labelled documents of the smallest hash, per_language of each language. What
+    is broadcast and collected is that sample: per_language documents of each language, whatever the table."""
     from pyspark.sql import Window
 
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
@@ -41,7 +42,7 @@ def labelled_sample(docs: DataFrame, per_language: int = TRAIN_DOCS, seed: int =
         .select("lang", "doc_id", F.xxhash64(F.lit(seed), "doc_id").alias("h"))
         .withColumn("r", rank).where(F.col("r") <= per_language).select("doc_id", "r", F.col("lang").alias("l"))
     )
-    found = docs.select("doc_id", "lang", "text").join(rows, (docs["doc_id"] == rows["doc_id"]) & (docs["lang"] == rows["l"])).select("l", "r", "text").collect()
+    found = docs.select("doc_id", "lang", "text").join(F.broadcast(rows), (docs["doc_id"] == rows["doc_id"]) & (docs["lang"] == rows["l"])).select("l", "r", "text").collect()
     out: dict[str, list] = {}
     for row in sorted(found, key=lambda x: (x["l"], x["r"], x["text"])):
         out.setdefault(row["l"], []).append(row["text"])
