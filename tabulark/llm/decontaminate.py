@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ALNUM, as_bytes, materialize, text_chunks, word_hashes, words, workers
+from .shared import ALNUM, as_bytes, materialize, text_chunks, tidied, word_hashes, words, workers
 
 FEATURE_BITS, RANK, OVERSAMPLE = 14, 26, 6
 PASSAGE, STEP = 32, 8
@@ -268,7 +268,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE,
     spark = workers(docs)
     share = spark.sparkContext.broadcast
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    tokens = materialize(base.mapInArrow(_tokenize, "doc_id long, words binary, block int, part binary"), "decontaminate-words")
+    tokens = materialize(base.mapInArrow(tidied(_tokenize), "doc_id long, words binary, block int, part binary"), "decontaminate-words")
     df = _summed(tokens.where("block is not null").select("block", "part"), np.int64)
     items = read_items(benchmark)
     schema = "doc_id long, item_id long, cosine double, covered double"
@@ -278,12 +278,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE,
     idf = np.log((df.sum() / PASSAGE + 1) / (df + 1)).clip(0).astype(np.float32)
     only = tokens.where("block is null").select("doc_id", "words")
     omega = np.random.default_rng(23).standard_normal((TERMS, rank + OVERSAMPLE)).astype(np.float32)
-    z = _summed(only.mapInArrow(_products(share((idf, omega))), "block int, part binary"), np.float32)
+    z = _summed(only.mapInArrow(tidied(_products(share((idf, omega)))), "block int, part binary"), np.float32)
     vectors = singular_vectors(z, omega, rank)
     found = None
     for lo in range(0, len(items), SLAB):
         held = share(Index(items[lo : lo + SLAB], idf, vectors, cover))
-        part = only.mapInArrow(_search(held, cosine, cover, answer_cover), schema)
+        part = only.mapInArrow(tidied(_search(held, cosine, cover, answer_cover)), schema)
         found = part if found is None else found.union(part)
     return found.groupBy("doc_id", "item_id").agg(F.max("cosine").alias("cosine"), F.max("covered").alias("covered"))
 

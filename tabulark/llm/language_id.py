@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_chunks, workers
+from .shared import text_chunks, tidied, workers
 
 ORDER, SYMBOLS = 3, 40
 TRAIN_DOCS = 300  # labelled documents per language, chosen by hash; a quarter of them is held out
 REJECT_MARGIN = 0.35  # of the held-out mean rate, above the highest held-out rate
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 
 def labelled_sample(docs: DataFrame, per_language: int = TRAIN_DOCS, seed: int = 7):
@@ -150,7 +150,7 @@ def _score(held):
 def identify(docs: DataFrame, model: Ppm) -> DataFrame:
     """(doc_id, lang_found, bits_per_byte, margin, accepted); see the module for each edge case."""
     held = workers(docs).sparkContext.broadcast(model)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_score(held), "doc_id long, lang_found string, bits_per_byte double, margin double, accepted boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(_score(held)), "doc_id long, lang_found string, bits_per_byte double, margin double, accepted boolean")
 
 
 def keep_identified(docs: DataFrame, model: Ppm) -> DataFrame:
@@ -166,4 +166,4 @@ def keep_identified(docs: DataFrame, model: Ppm) -> DataFrame:
             if ok:
                 yield batch.filter(pa.concat_arrays(ok))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import NOT_SPACE, as_bytes, joined, materialize, mix, text_chunks, window_hash, windows, word_hashes, words, workers
+from .shared import as_bytes, joined, materialize, mix, NOT_SPACE, text_chunks, tidied, window_hash, windows, word_hashes, words, workers
 
 NGRAM, THRESHOLD = 3, 0.5
 BUCKET_BITS = 18  # size of the frequency sketch: it doesn't grow with the data
@@ -325,10 +325,10 @@ def ngram_jaccard_pairs(docs: DataFrame, n: int = NGRAM, threshold: float = THRE
     """Pairs (doc_id_a < doc_id_b, jaccard) of Jaccard >= threshold; see the module for each edge case."""
     spark, t = workers(docs), threshold
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"))
-    sizes = materialize(base.mapInArrow(_stage_sizes(n), "block int, doc_id long, n long, sig long, counts binary"), "jaccard-sizes")
+    sizes = materialize(base.mapInArrow(tidied(_stage_sizes(n)), "block int, doc_id long, n long, sig long, counts binary"), "jaccard-sizes")
     rank, pivots = global_order(sizes, fragment_tokens)
     fragments = len(pivots) + 1
-    keyed = base.mapInArrow(_cut(rank, pivots, n, t), "fragment int, sigs binary, sizes binary, lens binary, keys binary")
+    keyed = base.mapInArrow(tidied(_cut(rank, pivots, n, t)), "fragment int, sigs binary, sizes binary, lens binary, keys binary")
     found = materialize(candidates(keyed, fragments, t), "jaccard-candidates")
 
     known = sizes.where("block is null").select("doc_id", "sig").distinct()
@@ -349,14 +349,14 @@ def ngram_jaccard_pairs(docs: DataFrame, n: int = NGRAM, threshold: float = THRE
 
     spread = base.where("doc_id is not null").withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(bits)))
     run = _read_again(n)
-    again = spread.mapInArrow(lambda batches: run(passes(batches)), "doc_id long, sig long, grams binary")
+    again = spread.mapInArrow(tidied(lambda batches: run(passes(batches))), "doc_id long, sig long, grams binary")
     blocked = materialize(found.join(involved.select(F.col("sig").alias("sig_a"), "block"), "sig_a"), "jaccard-asked")
     member = blocked.select("block", F.explode(F.array("sig_a", "sig_b")).alias("sig")).distinct()
     parts = member.groupBy("block").agg(F.ceil(F.count("*") / BLOCK_DOCS).cast("int").alias("parts"))
     where = member.join(parts, "block").groupBy("sig").agg(F.collect_list("block").alias("blocks"), F.collect_list("parts").alias("parts"))
     # the sets are shuffled twice: to their documents' blocks, and by block and fragment
     sets = again.join(involved.select("doc_id", "sig").join(where, "sig"), ["doc_id", "sig"])
-    pieces = sets.select("sig", "grams", "blocks", "parts").mapInArrow(_slices, "block long, part int, sig long, grams binary")
+    pieces = sets.select("sig", "grams", "blocks", "parts").mapInArrow(tidied(_slices), "block long, part int, sig long, grams binary")
     asked = blocked.join(parts, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "sig_a", "sig_b", "na", "nb")
     counted = asked.groupBy("block", "part").cogroup(pieces.groupBy("block", "part")).applyInPandas(_count_block, "sig_a long, sig_b long, na long, nb long, c long")
     overlap = counted.groupBy("sig_a", "sig_b").agg(F.min("na").alias("na"), F.min("nb").alias("nb"), F.sum("c").alias("c"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import workers
+from .shared import tidied, workers
 
 KINDS = ["EMAIL", "PHONE", "IP", "CARD", "SECRET"]
 TAGS = 1 + 2 * len(KINDS)
@@ -307,7 +307,7 @@ def pii_spans(docs: DataFrame, tagger: Tagger) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.int32(), pa.int32()))], names=["doc_id", "kind", "start", "end"])
 
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").rlike("[0-9@]"))
-    return some.mapInArrow(run, "doc_id long, kind string, start int, end int")
+    return some.mapInArrow(tidied(run), "doc_id long, kind string, start int, end int")
 
 
 def redact(docs: DataFrame, tagger: Tagger) -> DataFrame:
@@ -324,5 +324,5 @@ def redact(docs: DataFrame, tagger: Tagger) -> DataFrame:
                 hot[k] = text
             yield batch.set_column(at, batch.schema.field(at), pa.array(hot, batch.schema.field(at).type))
 
-    done = docs.mapInArrow(run, docs.schema)
+    done = docs.mapInArrow(tidied(run), docs.schema)
     return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else done

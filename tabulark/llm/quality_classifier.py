@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ALNUM, SPACES, as_bytes, text_chunks, word_hashes, words, workers
+from .shared import ALNUM, as_bytes, SPACES, text_chunks, tidied, word_hashes, words, workers
 
 BITS = 18
 LEVELS = 64  # the first hash slots are those of the levels
@@ -66,7 +66,7 @@ def _sampled(docs: DataFrame, ids: DataFrame, most: int, seed: int):
     """Feature lists of the documents of `ids` with the smallest hashes."""
     order = [F.xxhash64(F.lit(seed), "doc_id"), F.col("doc_id")]
     few = ids.select("doc_id").orderBy(*order).limit(most)
-    got = docs.join(F.broadcast(few), "doc_id").select("doc_id", "text").mapInArrow(_feature_rows, "doc_id long, f binary, some boolean").where("some").select("doc_id", "f").collect()
+    got = docs.join(F.broadcast(few), "doc_id").select("doc_id", "text").mapInArrow(tidied(_feature_rows), "doc_id long, f binary, some boolean").where("some").select("doc_id", "f").collect()
     unique = {(r["doc_id"], bytes(r["f"])) for r in got}
     return [np.frombuffer(f, np.int32) for _, f in sorted(unique, key=lambda x: (hash_order(x[0]), x))]
 
@@ -185,7 +185,7 @@ def classified(docs: DataFrame, model: Classifier) -> DataFrame:
                 kept = (dense > 0) & (score >= c.level)
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(score, mask=np.full(hi - lo, not c.fitted) | (dense == 0)), pa.array(kept)], names=["doc_id", "score", "kept"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, kept boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), "doc_id long, score double, kept boolean")
 
 
 def quality_kept(docs: DataFrame, labels: DataFrame) -> DataFrame:

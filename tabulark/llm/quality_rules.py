@@ -4,7 +4,7 @@ Every document gets whole-number measures. A sketch is a log-linear histogram: a
 PRECISION bits, so a bucket is at most 1/32 of its value wide, and sketches merge by adding counts: in any
 order, across partitions, and from sources up to a language. A measure's fences stand FENCE spreads
 outside its quartiles; the spread is the distance of the quartiles, a quarter of the nearer one or the
-measure's resolution, whichever is largest. (Lengths are compared by ratio.) A document stays if all its
+measure's resolution, whichever is largest. (Lengths are compared by ratio, of at least 2 a spread.) A document stays if all its
 measures lie within the fences of its language and source; a source with fewer than MIN_GROUP documents
 of a language takes the fences of the language as a whole.
 
@@ -69,7 +69,7 @@ def fences(buckets: DataFrame, min_group: int = MIN_GROUP, fence: int = FENCE) -
     spread = lambda q: F.greatest(F.col("q3") - F.col("q1"), F.floor(F.col(q) / 4), slack)
     side = F.create_map(*[x for m, (s, _) in RULES.items() for x in (F.lit(m), F.lit(s))])[F.col("measure")]
     ratio = F.col("q1") * F.col("q1") * F.col("q1") * F.col("q1") / (F.col("q3") * F.col("q3") * F.col("q3"))
-    low = F.when(F.col("measure") == "n_words", F.floor(ratio)).when(side != "high", F.col("q1") - fence * spread("q1"))
+    low = F.when(F.col("measure") == "n_words", F.least(F.floor(ratio), F.floor(F.col("q1") / 8))).when(side != "high", F.col("q1") - fence * spread("q1"))
     high = F.when(side != "low", F.col("q3") + fence * spread("q3"))
     return quart.select("lang", "source", "own", "measure", low.cast("long").alias("low"), high.cast("long").alias("high"))
 
@@ -113,7 +113,7 @@ g as (select lang, source, true as own, measure, bucket, n from z where size >=
 c as (select *, sum(n) over (partition by lang, source, own, measure order by bucket) as cum, sum(n) over (partition by lang, source, own, measure) as size from g),
 q as (select lang, source, own, measure, min(bucket) filter (cum * 4 >= size) as q1, min(bucket) filter (cum * 4 >= size * 3) as q3 from c group by all),
 f as (select *, case measure when 'word_length' then 500 when 'symbols' then 15 when 'capitals' then 30 when 'repeated_lines' then 100 else 1 end as r from q),
-h as (select lang, source, own, measure, case measure when 'n_words' then floor(q1::double * q1 * q1 * q1 / (q3::double * q3 * q3)) when 'word_length' then q1 - 3 * greatest(q3 - q1, q1 // 4, r) end as low,
+h as (select lang, source, own, measure, case measure when 'n_words' then least(floor(q1::double * q1 * q1 * q1 / (q3::double * q3 * q3)), q1 // 8) when 'word_length' then q1 - 3 * greatest(q3 - q1, q1 // 4, r) end as low,
         case when measure <> 'n_words' then q3 + 3 * greatest(q3 - q1, q3 // 4, r) end as high from f),
 j as (select m.*, x.measure, m.doc_id as id, case x.measure when 'n_words' then m.n_words when 'word_length' then m.word_length when 'symbols' then m.symbols when 'capitals' then m.capitals else m.repeated_lines end as v,
         case when o.own then o.low else w.low end as low, case when o.own then o.high else w.high end as high

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import units
-from .shared import text_chunks, workers
+from .shared import text_chunks, tidied, workers
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁".encode()
@@ -314,7 +314,7 @@ def _encode(held):
 def encode_documents(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """(doc_id, ids, n_tokens, exact) of every document; see the module for each edge case."""
     held = workers(docs).sparkContext.broadcast(Codec(read_model(model)))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_encode(held), "doc_id long, ids array<int>, n_tokens int, exact boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(_encode(held)), "doc_id long, ids array<int>, n_tokens int, exact boolean")
 
 
 def decode_documents(encoded: DataFrame, model: str = MODEL) -> DataFrame:
@@ -326,4 +326,4 @@ def decode_documents(encoded: DataFrame, model: str = MODEL) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if x is None else codec.decode(x) for x in batch.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
 
-    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(tidied(run), "doc_id long, text string")

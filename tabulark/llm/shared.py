@@ -3,16 +3,19 @@ and numpy kernels that work on the UTF-8 bytes of a whole Arrow batch at once.""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
+from ..storage import materialize, shared_dir
+
+__all__ = ["ALNUM", "NOT_SPACE", "SPACES", "as_bytes", "joined", "long_windows", "materialize", "mix", "shared_dir", "table", "text_chunks", "tidied", "window_hash", "windows", "word_hashes", "words", "workers"]
 
 CHUNK_BYTES = 2 << 20
+ARROW_ROWS = 2000
 _R = np.uint64(0x9E3779B97F4A7C15)
 _R_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0xD6E8FEB86659FD93)
@@ -27,29 +30,34 @@ for _a, _b in ((48, 58), (65, 91), (97, 123)):
     ALNUM[_a:_b] = True
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Where it is unset a folder is made for local masters only:
-    on a cluster a machine-local folder would be lost with its executor, so that is an error."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="tabulark-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+def workers(docs: DataFrame) -> SparkSession:
+    """The session of docs, with this package on its executors. Texts are long: where Arrow batches have
+    Spark's default of 10,000 rows, they get ARROW_ROWS."""
+    spark = docs.sparkSession
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    return ship(spark)
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts lineage, survives executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def tidied(run):
+    """run, a function over batches, whose worker gives memory back before and after: Python workers are
+    kept for later stages, and so is what their allocators hold."""
 
+    def inner(batches):
+        _give_back()
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
 
-def workers(docs: DataFrame) -> SparkSession:
-    """The session of docs, with this package on its executors."""
-    return ship(docs.sparkSession)
+    return inner
+
+
+def _give_back():
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

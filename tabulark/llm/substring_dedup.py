@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import NOT_SPACE, as_bytes, joined, long_windows, materialize, mix, text_chunks, word_hashes, words, workers
+from .shared import as_bytes, joined, long_windows, materialize, mix, NOT_SPACE, text_chunks, tidied, word_hashes, words, workers
 
 BLOCK = 25
 MIN_WORDS = 2 * BLOCK
@@ -227,12 +227,12 @@ def repeats(docs: DataFrame) -> DataFrame:
     bytes_in = base.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     ranges = max(1, math.ceil(bytes_in / BYTES_PER_WORD / RANGE_WINDOWS))
     kept = "batch long, gaps binary, docs binary, sigs binary, counts binary"
-    probed = base.mapInArrow(_probe(ranges), PIECE).groupBy("part").applyInPandas(_shared(5, True), kept)
+    probed = base.mapInArrow(tidied(_probe(ranges)), PIECE).groupBy("part").applyInPandas(_shared(5, True), kept)
     hits = materialize(probed, "repeat-hits")
     places = hits.groupBy("batch").applyInPandas(_hit_rows, "doc_id long, sig long, places binary")
     where = materialize(places.groupBy("doc_id", "sig").agg(F.first("places").alias("places")), "repeat-places")
     texts = where.join(base.where("doc_id is not null"), "doc_id").groupBy("doc_id", "sig", "text").agg(F.first("places").alias("places"))
-    cut = texts.select("doc_id", "sig", "places", "text").mapInArrow(_extend(ranges), PIECE)
+    cut = texts.select("doc_id", "sig", "places", "text").mapInArrow(tidied(_extend(ranges)), PIECE)
     found = materialize(cut.groupBy("part").applyInPandas(_shared(8, False), kept), "repeat-stretches")
     return found.groupBy("batch").applyInPandas(_stretch_rows, "doc_id long, start_word int, n_words int")
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import units
-from .shared import shared_dir, text_chunks, workers
+from .shared import shared_dir, text_chunks, tidied, workers
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -168,7 +168,7 @@ def write_token_records(docs: DataFrame, folder: str | None = None, vocabulary:
     index is computed."""
     spark = workers(docs)
     folder = folder or f"{shared_dir(spark)}/records-{uuid.uuid4().hex}"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_write(folder, vocabulary), SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(_write(folder, vocabulary)), SCHEMA)
 
 
 def read_records(folder: str, shard: str, offsets, dtype=np.uint16):

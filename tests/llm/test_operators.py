@@ -1,0 +1,324 @@
+"""Small cases of every operator: brute force, round trips, held-out accuracy, and rows that are odd."""
+
+import random
+import re
+
+import numpy as np
+import pytest
+from oracle import connect, rows
+from pyspark.sql import functions as F
+
+from tabulark.llm import chat_format, decontaminate, language_id, ngram_join, pii, quality_classifier, quality_rules, queries, sentencepiece_codec, substring_dedup, token_records
+from tabulark.storage import shared_dir
+
+SF = "/root/testdata/sf0.001"
+ODD = [(None, "a text without an id and of some words"), (1, None), (2, ""), (3, " \n\t "), (4, "word"), (4, "word"), (5, "x" * 300_000), (6, "née ☃ " * 40), (7, "a b c d e f g h " * 3000)]
+R = random.Random(5)
+WORDS = ["".join(R.choice("abcdefghijklmnop") for _ in range(R.randint(2, 7))) for _ in range(800)]
+
+
+def prose(n, r):
+    return " ".join(r.choice(WORDS) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def con():
+    return connect(SF)
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_query_equals_sql(spark, con, name):
+    assert rows(queries.QUERIES[name](spark, SF).toArrow()) == rows(con.execute(queries.SQL[name]).to_arrow_table())
+
+
+# ---- 1
+
+
+def test_jaccard_pairs_equal_brute_force(spark, docs):
+    r = random.Random(1)
+    base = [prose(r.randint(5, 80), r) for _ in range(12)]
+    texts = []
+    for i in range(60):
+        w = r.choice(base).split()
+        for _ in range(r.randint(0, 5)):
+            w[r.randrange(len(w))] = r.choice(WORDS)
+        texts.append((i, " ".join(w)))
+    grams = {i: {tuple(t.lower().split()[k : k + 3]) for k in range(len(t.split()) - 2)} for i, t in texts}
+    want = {}
+    for a in grams:
+        for b in grams:
+            if a < b and (j := len(grams[a] & grams[b]) / len(grams[a] | grams[b])) >= 0.5:
+                want[a, b] = j
+    got = {(p.doc_id_a, p.doc_id_b): p.jaccard for p in ngram_join.ngram_jaccard_pairs(docs(texts), fragment_tokens=200).collect()}
+    first = {}
+    for i, g in grams.items():
+        first.setdefault(frozenset(g), i)
+    leaders = set(first.values())
+    want = {p: j for p, j in want.items() if (p[0] in leaders and p[1] in leaders) or (j == 1.0 and p[0] == first[frozenset(grams[p[1]])])}
+    assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in want)
+
+
+def test_one_document_of_each_group_stays(spark, docs):
+    pairs = spark.createDataFrame([(1, 2, 0.9), (2, 3, 0.6), (7, 9, 1.0)], "doc_id_a long, doc_id_b long, jaccard double")
+    kept = ngram_join.keep_one_of_each(docs([(i, "t") for i in (1, 2, 3, 4, 7, 9, None)]), pairs)
+    assert sorted((r.doc_id for r in kept.collect()), key=lambda x: (x is None, x)) == [1, 4, 7, None]
+
+
+# ---- 2
+
+
+def test_pii_held_out_spans(spark):
+    r = random.Random(2)
+    texts = [prose(200, r) for _ in range(60)]
+    tagger = pii.fit_tagger(texts)
+    x, y = pii.training_windows(texts, 200, seed=77)
+    em = tagger.emissions(x.T)
+    found = np.array([tagger.viterbi(em[:, i]) for i in range(len(x))])
+    assert (found == y)[y > 0].mean() > 0.95 and (found > 0)[y == 0].mean() < 0.01
+
+
+def test_pii_windows_are_reconciled_and_odd_rows_pass(spark, docs):
+    r = random.Random(2)
+    tagger = pii.fit_tagger([prose(200, r) for _ in range(60)])
+    mails = [f"{WORDS[k]}.{k:02d}@mail{k % 9}.example.com" for k in range(10, 40)]
+    long = " ".join(f"{prose(9, r)} {m}" for m in mails)
+    table = docs([(10, long), *ODD]).withColumn("kind", F.lit("clash"))
+    spans = [s for s in pii.pii_spans(table, tagger).collect() if s.doc_id == 10]
+    hit = sum(any(long[s.start : s.end] == m for s in spans) for m in mails)
+    assert hit >= 28
+    out = {r_.doc_id: r_ for r_ in pii.redact(table, tagger).where("doc_id in (1, 2, 10)").collect()}
+    assert out[1].text is None and out[2].text == "" and out[10].n_chars == len(out[10].text) and out[10].text.count("[EMAIL]") >= 28
+
+
+# ---- 3
+
+
+def test_repeats_equal_brute_force(spark, docs):
+    r = random.Random(3)
+    shared = [prose(n, r) for n in (49, 50, 63, 120)]
+    texts = []
+    for i in range(25):
+        parts = [prose(r.randint(0, 60), r)]
+        for _ in range(r.randint(0, 3)):
+            parts += [r.choice(shared), prose(r.randint(1, 30), r)]
+        texts.append((i, " ".join(parts)))
+    texts += [(30, "la " * 120), texts[0]]
+    where, split = {}, {i: t.split() for i, t in texts}
+    for i, w in split.items():
+        for k in range(len(w) - 49):
+            where.setdefault(tuple(w[k : k + 50]), []).append((i, k))
+    hit = sorted({p for v in where.values() if len(v) > 1 for p in v})
+    want, last = [], None
+    for i, k in hit:
+        if last and last[0] == i and k - last[1] <= 50:
+            want[-1][2] = k + 50 - want[-1][1]
+        else:
+            want.append([i, k, 50])
+        last = (i, k)
+    got = sorted([s.doc_id, s.start_word, s.n_words] for s in substring_dedup.repeats(docs(texts)).collect())
+    assert got == want
+
+
+# ---- 4
+
+
+def test_chats_that_are_not_valid(spark):
+    t = [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 1, "assistant", "a"), (2, 0, "assistant", "a"), (3, 0, "user", None), (4, 0, "user", "q"), (4, 0, "user", "p"), (5, None, "user", "q"), (6, 0, "user", "q"), (7, 0, None, "q"), (None, 0, "user", "q"), (8, 0, "user", ""), (8, 1, "assistant", "")]
+    out = chat_format.format_chats(spark.createDataFrame(t, "conv_id long, turn long, role string, text string").withColumn("error", F.lit("clash"))).collect()
+    errors = {r.conv_id: r.error for r in out}
+    assert errors == {1: None, 2: "assistant after start", 3: "null text", 4: "repeated turn", 5: "null turn", 6: "ends in user", 7: "null after start", 8: None}
+    assert [(r.segment, r.text, r.loss) for r in sorted(out, key=lambda r: r.segment) if r.conv_id == 1][3:] == [(3, "<|assistant|>\n", False), (4, "a", True), (5, "<|end|>\n", True)]
+
+
+# ---- 5
+
+
+def test_code_lengths_equal_a_context_tree_read_step_by_step():
+    texts = {"a": ["abracadabra abraca", "bra cada bra"], "b": ["xyzzy xyz zzyx", "zyx zyx"]}
+    m = language_id.Ppm(texts, order=2, symbols=12)
+    for k, lang in enumerate(m.langs):
+        train = [t.encode() for t in texts[lang]]
+        raw = b"abra xyz"
+        s = [m.classes[32]] * 2 + [m.classes[c] for c in raw]
+        bits = 0.0
+        for at in range(2, len(s)):
+            gone, p = set(), 1.0
+            for order in (2, 1, 0):
+                ctx, seen = tuple(s[at - order : at]), {}
+                for t in train:
+                    u = [m.classes[32]] * 2 + [m.classes[c] for c in t]
+                    for j in range(2, len(u)):
+                        if tuple(u[j - order : j]) == ctx:
+                            seen[u[j]] = seen.get(u[j], 0) + 1
+                if not seen:
+                    continue
+                n, d = sum(seen.values()), len(seen)
+                if s[at] in seen:
+                    q = seen[s[at]] / (n + d)
+                    break
+                p *= d / (n + d)
+            else:
+                q = None
+            if q is not None and order == 2:
+                bits -= np.log2(p * q)
+            else:
+                bits = None
+                break
+        got = m.lengths(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0, k]
+        assert got > 0 and (bits is None or abs(got - bits) < 1e-3)
+        total = (2.0 ** -m.table[:, k].reshape(-1, 12)).sum(1)
+        assert np.allclose(total, 1, atol=1e-4)
+
+
+def test_language_held_out(spark):
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    found = language_id.identify(d, language_id.Ppm(language_id.labelled_sample(d, 20))).join(d.select("doc_id", "lang"), "doc_id").collect()
+    assert sum(r.lang == r.lang_found for r in found) / len(found) > 0.9
+
+
+# ---- 6
+
+
+def test_fences_follow_the_group(spark, docs):
+    r = random.Random(6)
+    texts = [(i, prose(60, r)) for i in range(80)] + [(100, " ".join(f"{w}$$$" for w in prose(60, r).split()))]
+    kept = {x.doc_id for x in quality_rules.quality_filter(docs(texts + ODD[:4])).collect()}
+    assert kept == set(range(80)) | {None}
+
+
+# ---- 7
+
+
+def test_items_are_found_whole_and_paraphrased(spark, docs):
+    r = random.Random(7)
+    items = [(i, prose(r.randint(12, 60), r)) for i in range(30)]
+    bench = spark.createDataFrame(items + [(98, None), (None, "x"), (99, "too short")], "item_id long, text string")
+    texts = [(i, prose(150, r)) for i in range(60)]
+    want = set()
+    for i, text in items[:20]:
+        w = text.split()
+        if i % 2:
+            for k in range(0, len(w) - 8, 7):
+                w[k] = r.choice(WORDS)
+        texts.append((100 + i, f"{prose(70, r)} {' '.join(w)} {prose(90, r)}"))
+        want.add((100 + i, i))
+    got = {(x.doc_id, x.item_id) for x in decontaminate.contaminated(docs(texts + ODD), bench).collect()}
+    assert len(got & want) >= 18 and not got - want
+
+
+def test_common_subsequence_equals_dynamic_programming():
+    r = np.random.default_rng(1)
+    a, b = r.integers(0, 5, (20, 9)), r.integers(0, 5, (20, 14))
+    for x, y, n in zip(a, b, decontaminate.common_subsequence(a, b)):
+        t = np.zeros((10, 15), int)
+        for i in range(9):
+            for j in range(14):
+                t[i + 1, j + 1] = t[i, j] + 1 if x[i] == y[j] else max(t[i, j + 1], t[i + 1, j])
+        assert t[-1, -1] == n
+
+
+# ---- 8
+
+
+def test_records_round_trip_and_checksums(spark, docs, tmp_path):
+    import tiktoken
+
+    folder = "file://" + str(tmp_path)
+    index = token_records.write_token_records(docs(ODD + [(9, "two words\nand a line")]), folder).collect()
+    coder = token_records.Encoder(token_records.VOCABULARY)
+    texts = dict(x for x in ODD if x[0]) | {9: "two words\nand a line"}
+    assert isinstance(coder.bpe, tiktoken.Encoding) and len(index) == len(ODD) + 1
+    for row in index:
+        (doc, ids), = token_records.read_records(folder, row.shard, [row.offset])
+        assert doc == (-1 if row.doc_id is None else row.doc_id)
+        if row.doc_id:
+            assert coder.bpe.decode([int(i) for i in ids]) == (texts[row.doc_id] or "")
+            assert list(ids) == coder.bpe.encode_ordinary(texts[row.doc_id] or "")
+    raw = bytearray((tmp_path / index[-1].shard).read_bytes())
+    raw[index[-1].offset + 14] ^= 1
+    with pytest.raises(ValueError):
+        token_records.unframe(bytes(raw), index[-1].offset)
+
+
+# ---- 9
+
+
+def test_classifier_on_held_out_documents():
+    r = random.Random(9)
+    bad = ["rot", "muck", "slime", "grime"]
+    made = lambda good: prose(80, r) if good else " ".join([*prose(75, r).split(), *r.choices(bad, k=5)])
+    import pyarrow as pa
+
+    def lists(texts):
+        out = []
+        for lo, hi, data, offsets in quality_classifier.text_chunks(pa.array(texts)):
+            row, f, _ = quality_classifier.features(data, offsets)
+            out += [f[row == k].astype(np.int32) for k in range(hi - lo)]
+        return out
+
+    truth = [r.random() < 0.7 for _ in range(900)]
+    c = quality_classifier.Classifier(lists([made(True) for _ in range(400)]), lists([made(g) for g in truth]))
+    score = lambda t: np.array([c.weights[f].sum() + c.bias for f in lists(t)])
+    assert abs(c.prior - 0.7) < 0.15
+    assert (score([made(True) for _ in range(200)]) >= c.level).mean() > 0.95
+    good, poor = score([made(True) for _ in range(200)]), score([made(False) for _ in range(200)])
+    assert (good[:, None] > poor[None]).mean() > 0.95
+    assert (poor < c.level).mean() > 0.6
+
+
+# ---- 10
+
+
+def test_sentencepiece_decodes_back_and_is_the_best_path(spark, docs):
+    codec = sentencepiece_codec.Codec(sentencepiece_codec.read_model(sentencepiece_codec.MODEL))
+    texts = [(i, t) for i, t in ODD if t is not None and len(t) < 1000] + [(20, "Hello  world,\n naïve ☃ \U0001f600 end ")]
+    out = sentencepiece_codec.encode_documents(docs(texts + [(21, None)]))
+    for r, (_, t) in zip(sorted(out.where("doc_id is not null and doc_id < 21").distinct().collect(), key=lambda x: x.doc_id), sorted({x for x in texts if x[0] is not None})):
+        assert r.exact and codec.decode(r.ids) == t and list(codec.encode(t)) == r.ids
+    assert out.where("doc_id = 21").first().ids is None
+    tiny = sentencepiece_codec.Codec([("<unk>", 0, 2), ("▁", -2.0, 1), ("a", -1.5, 1), ("b", -1.6, 1), ("ab", -2.9, 1), ("▁a", -3.0, 1), ("ba", -2.5, 1), ("aba", -4.4, 1)])
+
+    def best(s):
+        paths = {0: [(0.0, ())]}
+        for e in range(1, len(s) + 1):
+            paths[e] = [(sc + p[1], ids + (i,)) for b in range(e) for i, p in enumerate(tiny.pieces) if p[2] == 1 and p[0] == s[b:e] for sc, ids in paths[b]]
+        return max(x[0] for x in paths[len(s)])
+
+    for s in ("abab", "baab", "a", "bbbaaabab"):
+        ids = tiny.encode(s)
+        assert abs(sum(tiny.pieces[i][1] for i in ids) - best("▁" + s)) < 1e-9
+
+
+# ---- all
+
+
+@pytest.mark.parametrize("rows_", [[], ODD], ids=["empty", "odd"])
+def test_odd_tables(spark, docs, rows_, tmp_path):
+    d = docs(rows_).withColumn("score", F.lit(1)).withColumn("h", F.lit("x")).withColumn("block", F.lit(2))
+    labels = spark.createDataFrame([(4, 1, 0), (4, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, None), (2, "word")], "item_id long, text string")
+    model = language_id.Ppm(language_id.labelled_sample(d))
+    assert language_id.identify(d, model).count() == len(rows_)
+    assert language_id.keep_identified(d, model).columns == d.columns
+    assert ngram_join.keep_one_of_each(d, ngram_join.ngram_jaccard_pairs(d)).count() == len(rows_)
+    assert {r.doc_id for r in substring_dedup.repeats(d).collect()} == ({6, 7} if rows_ else set())  # both repeat themselves
+    assert decontaminate.contaminated(d, bench).count() == 0
+    quality_rules.quality_filter(d).collect()
+    assert quality_classifier.quality_kept(d, labels).count() == len([t for _, t in rows_ if t and t.strip()])
+    assert sentencepiece_codec.encode_documents(d.where("n_chars < 1000")).count() == len([t for _, t in rows_ if t is not None and len(t) < 1000])
+    assert chat_format.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_pipeline_equals_its_stages_run_apart(spark):
+    import corpus_pipeline
+
+    out = corpus_pipeline.run(spark, SF)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = {r.doc_id for r in out.select("doc_id").collect()}
+    pairs = {(p.doc_id_a, p.doc_id_b) for p in ngram_join.ngram_jaccard_pairs(docs).collect()}
+    leaks = {r.doc_id for r in decontaminate.contaminated(docs, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
+    assert not kept & leaks and not any(a in kept and b in kept for a, b in pairs)
+    codec = sentencepiece_codec.Codec(sentencepiece_codec.read_model(sentencepiece_codec.MODEL))
+    texts = [codec.decode(r.ids) for r in out.collect()]
+    assert not any(re.search(r"\d+\.\d+\.\d+\.\d+|@mail\d", t) for t in texts)
+    assert shared_dir(spark)
