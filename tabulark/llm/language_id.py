@@ -7,8 +7,10 @@ without the bytes that the longer one had. Below the empty context all symbols a
 statistics frozen, the code length of a byte depends on its last ORDER bytes only, so each tree is
 unfolded to a table of code lengths and a text's exact code length is a sum of look-ups.
 
-Bytes are counted as SYMBOLS classes: the most frequent bytes of the training text have one each
-(upper case ASCII as lower case), all others share the last. A text starts in the context of blanks.
+Case of ASCII letters is ignored; of the rest every byte value is told apart, in two steps. The most frequent
+bytes of the training text are a symbol each and all others share the last of SYMBOLS, which the trees
+predict; which byte of the shared symbol it is, is predicted in the same way from the byte before, then
+without it, and below that all its members are alike. A text starts in the context of blanks.
 
 A text is rejected ("und") if it has no bytes, or if its best rate is above the highest rate that
 held-out training documents had, plus a margin. Ties go to the language first in the alphabet.
@@ -50,7 +52,8 @@ def labelled_sample(docs: DataFrame, per_language: int = TRAIN_DOCS, seed: int =
 
 
 class Ppm:
-    """Frozen context trees of all languages, unfolded: table[context and byte classes, language] = bits."""
+    """Frozen context trees of all languages, unfolded: table[context and byte classes, language] = bits, and
+    member[byte before and byte, language] = bits of a byte within the shared class, 0 for bytes of their own."""
 
     def __init__(self, texts: dict[str, list[str]], order: int = ORDER, symbols: int = SYMBOLS, margin: float = REJECT_MARGIN):
         self.order, self.symbols, self.langs = order, symbols, sorted(texts)
@@ -66,8 +69,13 @@ class Ppm:
         self.classes[top] = np.arange(len(top))
         self.classes = self.classes[fold].astype(np.int32)
         self.table = np.zeros((symbols ** (order + 1), max(1, len(self.langs))), np.float32)
+        self.fold = fold.astype(np.uint8)
+        own = np.unique(fold)
+        self.shared = own[self.classes[own] == symbols - 1]
+        self.member = np.zeros((1 << 16, self.table.shape[1]), np.float32)
         for i, k in enumerate(self.langs):
             self.table[:, i] = self._unfold(train[k])
+            self.member[:, i] = self._members(train[k])
         rates = [r for i, k in enumerate(self.langs) for b in held[k] if (r := self.lengths(np.frombuffer(b, np.uint8), np.array([0, len(b)]))[0].min() / len(b)) == r]
         self.reject = float(np.max(rates) + margin * np.mean(rates)) if rates else 0.0
 
@@ -87,16 +95,32 @@ class Ppm:
                     code = code * a + s[self.order - j : self.order - j + m]
                 count += np.bincount(code, minlength=len(count))
             count = count.reshape(-1, a)
-            n, d = count.sum(1, keepdims=True), (count > 0).sum(1, keepdims=True)
-            lower = np.tile(p, (count.shape[0] // p.shape[0], 1))
-            seen = count > 0
-            rest = np.where(seen, 0.0, lower)
-            left = rest.sum(1, keepdims=True)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                mine = np.where(left > 0, np.where(seen, count / (n + d), d / (n + d) * rest / left), count / n)
-            p = np.where(n > 0, mine, lower)
+            p = self._escaped(count, np.tile(p, (count.shape[0] // p.shape[0], 1)))
         return -np.log2(p).ravel()
 
+    @staticmethod
+    def _escaped(count, lower):
+        """Probabilities by method C, from the counts in each context and those of the next shorter one."""
+        n, d = count.sum(1, keepdims=True), (count > 0).sum(1, keepdims=True)
+        seen = count > 0
+        rest = np.where(seen, 0.0, lower)
+        left = rest.sum(1, keepdims=True)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            mine = np.where(left > 0, np.where(seen, count / (n + d), d / (n + d) * rest / left), count / n)
+        return np.where(n > 0, mine, lower)
+
+    def _members(self, raws):
+        count = np.zeros(1 << 16, np.int64)
+        for raw in raws:
+            s = self.fold[np.frombuffer(b" " + raw, np.uint8)].astype(np.int64)
+            count += np.bincount(s[:-1] * 256 + s[1:], minlength=1 << 16)
+        count = count.reshape(256, 256)[:, self.shared]
+        bits = np.zeros((256, 256))
+        if len(self.shared):
+            p = self._escaped(count.sum(0, keepdims=True), np.full((1, len(self.shared)), 1.0 / len(self.shared)))
+            bits[:, self.shared] = -np.log2(self._escaped(count, np.tile(p, (256, 1))))
+        return bits.ravel()
+
     def lengths(self, data, offsets):
         """Bits of each row in each language."""
         s = self.classes[data]
@@ -113,8 +137,13 @@ class Ppm:
                 at = at[at < n]
                 back[at] = np.where(at < self._end_of(at, offsets), self.classes[32], back[at])
             code += back * np.int32(a**j)
+        bits = self.table[code]
+        at = np.flatnonzero(s == a - 1)
+        before = self.fold[data[np.maximum(at - 1, 0)]].astype(np.int32)
+        before[np.isin(at, begin)] = 32
+        bits[at] += self.member[before * 256 + self.fold[data[at]]]
         total = np.zeros((n + 1, self.table.shape[1]))
-        np.cumsum(self.table[code], axis=0, dtype=np.float64, out=total[1:])
+        np.cumsum(bits, axis=0, dtype=np.float64, out=total[1:])
         return total[offsets[1:]] - total[offsets[:-1]]
 
     @staticmethod

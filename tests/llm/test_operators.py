@@ -170,6 +170,25 @@ def test_code_lengths_equal_a_context_tree_read_step_by_step():
         assert np.allclose(total, 1, atol=1e-4)
 
 
+def test_code_lengths_tell_every_byte_apart():
+    m = language_id.Ppm({"a": ["the Über cat 12, 97", "thé hat 3"], "b": ["на дворе", "трава 4"]}, order=2, symbols=8)
+    for before in (b"", b"th", b"\xc3", b"\xd0", b"1", b"zq"):
+        rows_ = [before + bytes([c]) for c in range(256) if not 65 <= c <= 90]
+        bits = lambda x: m.lengths(np.frombuffer(b"".join(x), np.uint8), np.cumsum([0, *map(len, x)]))
+        own = bits(rows_) - (bits([before]) if before else 0)
+        assert np.allclose((2.0**-own).sum(0), 1, atol=1e-4)
+
+
+def test_other_scripts_and_digits_are_not_cheap():
+    r = random.Random(5)
+    m = language_id.Ppm({k: [f"{prose(60, r)} {r.randrange(10**40)}" for _ in range(40)] for k in "ab"}, symbols=18)
+    rate = lambda t: m.lengths(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())])).min() / len(t.encode())
+    usual = rate(prose(60, r))
+    for text in ("Все люди рождаются свободными", "人人生而自由,在尊严和权利上一律平等", "सभी मनुष्यों को गौरव", "كل الناس أحرار"):
+        assert rate(text) > 7 > usual
+    assert rate("".join(str(r.randrange(10)) for _ in range(300))) > 3.2
+
+
 def test_language_held_out(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     found = language_id.identify(d, language_id.Ppm(language_id.labelled_sample(d, 20))).join(d.select("doc_id", "lang"), "doc_id").collect()
