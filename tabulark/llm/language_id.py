@@ -12,8 +12,12 @@ bytes of the training text are a symbol each and all others share the last of SY
 predict; which byte of the shared symbol it is, is predicted in the same way from the byte before, then
 without it, and below that all its members are alike. A text starts in the context of blanks.
 
-A text is rejected ("und") if it has no bytes, or if its best rate is above the highest rate that
-held-out training documents had, plus a margin. Ties go to the language first in the alphabet.
+A text is rejected ("und") if it has no bytes, or if its rate in its best language is above that language's
+level: the HIGH quantile of the rates of the held-out documents labelled with it, plus a margin of their
+median. The quantile counts for no more than the median plus the margin, so noise among the labels, if
+less than half of them, can't lift the level further. A language of fewer than LEAST_HELD held-out
+documents takes the highest level of the others, or if all are, that of all together. Ties go to the
+language first in the alphabet.
 Defined results: null or blank texts are rejected with null rates; null doc_ids, repeated rows and
 other columns do not matter; every byte of a text counts. An empty training sample rejects all.
 """
@@ -29,7 +33,8 @@ from .shared import text_chunks, tidied, workers
 
 ORDER, SYMBOLS = 3, 40
 TRAIN_DOCS = 300  # labelled documents per language, chosen by hash; a quarter of them is held out
-REJECT_MARGIN = 0.35  # of the held-out mean rate, above the highest held-out rate
+REJECT_MARGIN = 0.35  # of the held-out median rate, above the HIGH quantile of held-out rates
+HIGH, LEAST_HELD = 0.9, 8
 CHUNK = 1 << 19
 
 
@@ -76,8 +81,21 @@ class Ppm:
         for i, k in enumerate(self.langs):
             self.table[:, i] = self._unfold(train[k])
             self.member[:, i] = self._members(train[k])
-        rates = [r for i, k in enumerate(self.langs) for b in held[k] if (r := self.lengths(np.frombuffer(b, np.uint8), np.array([0, len(b)]))[0].min() / len(b)) == r]
-        self.reject = float(np.max(rates) + margin * np.mean(rates)) if rates else 0.0
+        rates = [np.array([self.lengths(np.frombuffer(b, np.uint8), np.array([0, len(b)]))[0, i] / len(b) for b in held[k] if b]) for i, k in enumerate(self.langs)]
+        self.reject = self._levels(rates, margin)
+
+    @staticmethod
+    def _levels(rates, margin):
+        """Highest rate that is accepted in each language."""
+
+        def level(x):
+            return min(np.quantile(x, HIGH), (1 + margin) * np.median(x)) + margin * np.median(x)
+
+        many = [level(x) for x in rates if len(x) >= LEAST_HELD]
+        if not sum(map(len, rates)):
+            return np.zeros(max(1, len(rates)))
+        rest = max(many) if many else level(np.concatenate(rates))
+        return np.array([level(x) if len(x) >= LEAST_HELD else rest for x in rates])
 
     def _symbols(self, raw: bytes):
         return np.concatenate([np.full(self.order, self.classes[32]), self.classes[np.frombuffer(raw, np.uint8)]])
@@ -169,7 +187,7 @@ def _score(held):
                 else:
                     best, rate, gap = np.full(len(size), -1), np.full(len(size), np.inf), np.zeros(len(size))
                 blank = np.array([not data[a:b].tobytes().strip() for a, b in zip(offsets, offsets[1:])], bool)
-                ok = ~blank & (rate <= model.reject)
+                ok = ~blank & (rate <= model.reject[best])
                 hide = blank | np.isinf(rate)
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(langs[np.where(ok, best, -1)], pa.string()), pa.array(rate, mask=hide), pa.array(gap, mask=hide), pa.array(ok)], names=["doc_id", "lang_found", "bits_per_byte", "margin", "accepted"])
 

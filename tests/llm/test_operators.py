@@ -189,6 +189,25 @@ def test_other_scripts_and_digits_are_not_cheap():
     assert rate("".join(str(r.randrange(10)) for _ in range(300))) > 3.2
 
 
+def test_noise_among_the_labels_does_not_raise_the_level(spark, docs):
+    r = random.Random(15)
+    noise = lambda: "".join(r.choice("#$%^&*@!~<>{}|+=QXZ0123456789") for _ in range(200))
+    texts = {k: [prose(60, r) for _ in range(80)] for k in "ab"}
+    clean = language_id.Ppm(texts)
+    odd = language_id.Ppm({k: [noise() if i in (3, 43, 79) else t for i, t in enumerate(x)] for k, x in texts.items()})
+    most = language_id.Ppm({k: [noise() if i % 16 == 3 else t for i, t in enumerate(x)] for k, x in texts.items()})  # a quarter of those held out
+    assert np.max(odd.reject) < 1.35 * np.min(clean.reject) and np.max(most.reject) < 2 * np.min(clean.reject)
+    rows_ = [(0, noise()), (1, "Все люди рождаются свободными и равными"), (2, "人人生而自由,在尊严和权利上一律平等"), *((10 + i, prose(60, r)) for i in range(20))]
+    for m in (clean, odd):
+        assert {x.doc_id for x in language_id.identify(docs(rows_), m).where("accepted").collect()} == set(range(10, 30))
+
+
+def test_level_is_of_each_language():
+    r = random.Random(16)
+    m = language_id.Ppm({"a": ["ab" * r.randint(20, 60) for _ in range(80)], "b": [prose(60, r) for _ in range(80)]})
+    assert m.reject[0] < 1 < m.reject[1]
+
+
 def test_language_held_out(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     found = language_id.identify(d, language_id.Ppm(language_id.labelled_sample(d, 20))).join(d.select("doc_id", "lang"), "doc_id").collect()
