@@ -10,7 +10,8 @@ Defined results: words are runs without ASCII white space, in lower case. A text
 is one n-gram of all its words. Null, empty and blank texts have no n-grams and join nothing; rows
 with a null doc_id are left out. Repeated rows count once, a document is never paired with itself.
 Documents of equal sets stand together: each is paired with the smallest doc_id among them at Jaccard
-1, and only that one stands for the set in other pairs, so groups of copies stay linear.
+1, and only that one stands for the set in other pairs, so groups of copies stay linear. With `every`
+each member stands for itself, in all pairs of the group and of its set's near pairs.
 Columns other than doc_id and text are ignored.
 """
 
@@ -321,7 +322,7 @@ def _count_block(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
-def ngram_jaccard_pairs(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, fragment_tokens: int = FRAGMENT_TOKENS) -> DataFrame:
+def ngram_jaccard_pairs(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, fragment_tokens: int = FRAGMENT_TOKENS, every: bool = False) -> DataFrame:
     """Pairs (doc_id_a < doc_id_b, jaccard) of Jaccard >= threshold; see the module for each edge case."""
     spark, t = workers(docs), threshold
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"))
@@ -364,6 +365,11 @@ def ngram_jaccard_pairs(docs: DataFrame, n: int = NGRAM, threshold: float = THRE
     close = overlap.where(jaccard >= t).select("sig_a", "sig_b", jaccard.alias("jaccard"))
     ra, rb = (involved.select(F.col("sig").alias(f"sig_{x}"), F.col("doc_id").alias(f"r{x}")) for x in "ab")
     near = close.join(ra, "sig_a").join(rb, "sig_b").where("ra <> rb").select(F.least("ra", "rb").alias("doc_id_a"), F.greatest("ra", "rb").alias("doc_id_b"), "jaccard")
+    if every:
+        links = near.union(rep.select("rep", "rep", F.lit(1.0)))
+        ma, mb = (known.join(rep, "sig").select(F.col("rep").alias(f"doc_id_{x}"), F.col("doc_id").alias(f"m{x}")) for x in "ab")
+        own = (F.col("doc_id_a") != F.col("doc_id_b")) | (F.col("ma") < F.col("mb"))
+        return links.join(ma, "doc_id_a").join(mb, "doc_id_b").where(own).groupBy(F.least("ma", "mb").alias("doc_id_a"), F.greatest("ma", "mb").alias("doc_id_b")).agg(F.max("jaccard").alias("jaccard"))
     copies = known.join(rep, "sig").where("doc_id <> rep").select(F.col("rep").alias("doc_id_a"), F.col("doc_id").alias("doc_id_b"), F.lit(1.0).alias("jaccard"))
     return near.union(copies).groupBy("doc_id_a", "doc_id_b").agg(F.max("jaccard").alias("jaccard"))
 

@@ -58,6 +58,17 @@ def test_jaccard_pairs_equal_brute_force(spark, docs):
     assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in want)
 
 
+def test_every_pair_of_copies_and_their_near_documents(spark, docs):
+    r = random.Random(11)
+    w = [r.choice(WORDS) for _ in range(40)]
+    near = [*w[:-1], "other"]
+    texts = [(i, " ".join(near if i in (3, 8) else w)) for i in range(10)] + [(20, prose(30, r)), (4, " ".join(w))]
+    grams = {i: {tuple(t.split()[k : k + 3]) for k in range(len(t.split()) - 2)} for i, t in texts}
+    want = {(a, b): j for a in grams for b in grams if a < b and (j := len(grams[a] & grams[b]) / len(grams[a] | grams[b])) >= 0.5}
+    got = [(p.doc_id_a, p.doc_id_b, p.jaccard) for p in ngram_join.ngram_jaccard_pairs(docs(texts), every=True).collect()]
+    assert len(got) == len(want) == 45 and all(abs(want[a, b] - j) < 1e-9 for a, b, j in got)
+
+
 def test_one_document_of_each_group_stays(spark, docs):
     pairs = spark.createDataFrame([(1, 2, 0.9), (2, 3, 0.6), (7, 9, 1.0)], "doc_id_a long, doc_id_b long, jaccard double")
     kept = ngram_join.keep_one_of_each(docs([(i, "t") for i in (1, 2, 3, 4, 7, 9, None)]), pairs)
