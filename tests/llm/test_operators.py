@@ -75,6 +75,15 @@ def test_one_document_of_each_group_stays(spark, docs):
     assert sorted((r.doc_id for r in kept.collect()), key=lambda x: (x is None, x)) == [1, 4, 7, None]
 
 
+def test_repeated_rows_leave_one_row(spark, docs):
+    import corpus_pipeline
+
+    same, other = "one two three four five", "six seven eight nine ten"
+    table = docs([(1, same), (1, same), (2, same), (3, other), (None, same), (None, same), (None, other), (4, None), (4, None)])
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, table, SF).collect()]
+    assert sorted(kept, key=str) == sorted([(1, same), (3, other), (None, same), (None, other), (4, None)], key=str)
+
+
 # ---- 2
 
 
