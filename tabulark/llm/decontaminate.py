@@ -12,9 +12,12 @@
 4. A pair above COSINE is checked word by word: the longest common subsequence of item and window must
    cover COVER of the item, and of its answer (its last ANSWER words) ANSWER_COVER.
 
+Items of fewer than LEAST words are searched for exactly: their whole sequence of words, where each code
+point of a script without blanks counts as a word. One word alone is not searched for.
+
 Items are compared in slabs of SLAB, so what a task holds of the benchmark has a bound at any size of it.
 Defined results: (doc_id, item_id, cosine, covered) with the best of each pair. Null and blank texts and
-items match nothing, nor do items of fewer than LEAST words; rows with a null doc_id or item_id are left
+items match nothing, nor do items of one word or code point; pairs found exactly have cosine and cover 1; rows with a null doc_id or item_id are left
 out. Repeated rows count once in the result, ties of cosine or cover do not matter, other columns neither.
 Documents shorter than an item's window are one window.
 """
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ALNUM, as_bytes, materialize, text_chunks, tidied, word_hashes, words, workers
+from .shared import ALNUM, as_bytes, materialize, text_chunks, tidied, window_hash, windows, word_hashes, words, workers
 
 FEATURE_BITS, RANK, OVERSAMPLE = 14, 26, 6
 PASSAGE, STEP = 32, 8
@@ -253,14 +256,69 @@ def _search(held, cosine, cover, answer_cover):
     return run
 
 
-def read_items(benchmark: DataFrame) -> list:
-    """(item_id, words) of every item long enough, on the driver: the benchmark, not the corpus."""
+def _units(batch):
+    """As _hashed, with 64-bit hashes, and each code point of a script without blanks (Thai to Khmer, kana, CJK) a word."""
+    for lo, hi, data, offsets in text_chunks(batch.column(1)):
+        data = _LOW[data]
+        after = np.append(data[1:], np.uint8(0))
+        wide = (data >= 0xE3) & (data <= 0xE9) | (data == 0xE0) & (after >= 0xB8) & (after <= 0xBB) | (data == 0xF0) & (after >= 0xA0) & (after <= 0xB3)
+        wide |= (data == 0xE1) & ((after >= 0x80) & (after <= 0x82) | (after >= 0x9E) & (after <= 0x9F))
+        own = np.flatnonzero(wide)
+        stop = own + 3 + (data[own] == 0xF0)
+        rest = data.copy()
+        for k in range(4):
+            rest[own[own + k < stop] + k] = 32
+        start, end, _ = words(rest, offsets, ALNUM)
+        sign = (data[own] == 0xE3) & (after[own] == 0x80)  # ideographic blank, comma, brackets
+        start, end = np.append(start, own[~sign]), np.append(end, stop[~sign])
+        order = np.argsort(start)
+        start, end = start[order], end[order]
+        yield lo, hi, word_hashes(data, start, end), np.searchsorted(start, offsets)
+
+
+def _exact(held):
+    """Documents that hold a short item whole: by the window of its first LEAST words, then by the others."""
+
+    def run(batches):
+        ids, items = held.value
+        heads = {}
+        for k, w in enumerate(items):
+            heads.setdefault(min(len(w), LEAST), []).append((int(window_hash(w[:LEAST])), k))
+        heads = {n: (np.array([h for h, _ in x], np.uint64), np.array([k for _, k in x])) for n, x in ((n, sorted(x)) for n, x in heads.items())}
+        for batch in batches:
+            known = ~np.asarray(batch.column(0).is_null())
+            for lo, hi, h, at in _units(batch):
+                row, out = np.repeat(np.arange(hi - lo), np.diff(at)), set()
+                for n, (head, item) in heads.items():
+                    g, first = windows(h, row, n)
+                    a, b = np.searchsorted(head, g, "left"), np.searchsorted(head, g, "right")
+                    place, k = np.repeat(first, b - a), item[ragged_range(a, b - a)]
+                    if n == LEAST:
+                        whole = [p + len(items[i]) <= at[row[p] + 1] and np.array_equal(h[p : p + len(items[i])], items[i]) for p, i in zip(place, k)]
+                        place, k = place[np.array(whole, bool)], k[np.array(whole, bool)]
+                    out.update((r, i) for r, i in np.unique(np.stack([row[place], k], 1), axis=0).tolist() if known[lo + r])
+                if out:
+                    doc, item = zip(*sorted(out))
+                    one = pa.array(np.ones(len(doc)))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([lo + r for r in doc])), pa.array(ids[list(item)]), one, one], names=["doc_id", "item_id", "cosine", "covered"])
+
+    return run
+
+
+def read_items(benchmark: DataFrame):
+    """(item_id, words) of every item long enough, and of the shorter ones of two words or code points and
+    more, on the driver: the benchmark, not the corpus."""
     rows = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct().toArrow().combine_chunks()
-    out = []
+    out, short = [], []
     for batch in rows.to_batches():
-        for lo, hi, h, at in _hashed(batch):
-            out += [(batch.column(0)[lo + r].as_py(), h[at[r] : at[r + 1]]) for r in range(hi - lo) if at[r + 1] - at[r] >= LEAST]
-    return sorted(out, key=lambda x: (x[0], x[1].tobytes()))
+        for (lo, hi, h, at), (_, _, u, ut) in zip(_hashed(batch), _units(batch)):
+            for r in range(hi - lo):
+                item = batch.column(0)[lo + r].as_py()
+                if at[r + 1] - at[r] >= LEAST:
+                    out.append((item, h[at[r] : at[r + 1]]))
+                elif ut[r + 1] - ut[r] > 1:
+                    short.append((item, u[ut[r] : ut[r + 1]]))
+    return tuple(sorted(x, key=lambda y: (y[0], y[1].tobytes())) for x in (out, short))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, cover: float = COVER, answer_cover: float = ANSWER_COVER, rank: int = RANK) -> DataFrame:
@@ -270,17 +328,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE,
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     tokens = materialize(base.mapInArrow(tidied(_tokenize), "doc_id long, words binary, block int, part binary"), "decontaminate-words")
     df = _summed(tokens.where("block is not null").select("block", "part"), np.int64)
-    items = read_items(benchmark)
+    items, short = read_items(benchmark)
     schema = "doc_id long, item_id long, cosine double, covered double"
+    found = None
+    for lo in range(0, len(short), SLAB):
+        held = share((np.array([i for i, _ in short[lo : lo + SLAB]], np.int64), [w for _, w in short[lo : lo + SLAB]]))
+        part = base.mapInArrow(tidied(_exact(held)), schema)
+        found = part if found is None else found.union(part)
     if df is None or not items:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], schema) if found is None else found.distinct()
     df = df.ravel()
     idf = np.log((df.sum() / PASSAGE + 1) / (df + 1)).clip(0).astype(np.float32)
     only = tokens.where("block is null").select("doc_id", "words")
     omega = np.random.default_rng(23).standard_normal((TERMS, rank + OVERSAMPLE)).astype(np.float32)
     z = _summed(only.mapInArrow(tidied(_products(share((idf, omega)))), "block int, part binary"), np.float32)
     vectors = singular_vectors(z, omega, rank)
-    found = None
     for lo in range(0, len(items), SLAB):
         held = share(Index(items[lo : lo + SLAB], idf, vectors, cover))
         part = only.mapInArrow(tidied(_search(held, cosine, cover, answer_cover)), schema)

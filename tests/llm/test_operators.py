@@ -264,6 +264,13 @@ def test_items_are_found_whole_and_paraphrased(spark, docs):
     assert len(got & want) >= 18 and not got - want
 
 
+def test_short_items_are_found_whole(spark, docs):
+    bench = spark.createDataFrame([(1, "Two words"), (2, "人人生而自由,在尊严和权利上一律平等"), (3, "すべての人間は自由である"), (4, "née à Ürz"), (5, "one two three four five six seven")], "item_id long, text string")
+    texts = [(1, "here are TWO, words."), (2, "two wordsmiths, two more words"), (3, "他说:人人生而自由,在尊严和权利上一律平等。"), (4, "人人生而自由,在尊严上一律平等"), (5, "宣言:すべての人間は、自由である。"), (6, "renée à Ürz"), (7, "née à Ürz"), (8, "zero one two three four five six seven eight"), (9, "one two three four five six eight seven"), (10, "words"), (None, "two words")]
+    got = {(x.doc_id, x.item_id) for x in decontaminate.contaminated(docs(texts), bench).collect()}
+    assert got == {(1, 1), (3, 2), (5, 3), (7, 4), (8, 5)}
+
+
 def test_common_subsequence_equals_dynamic_programming():
     r = np.random.default_rng(1)
     a, b = r.integers(0, 5, (20, 9)), r.integers(0, 5, (20, 14))
