@@ -16,7 +16,7 @@ from ..errors import InvalidOption, check_batch, check_columns
 from ..storage import materialize
 from .select import col, orders
 
-BLOCK = 1_000_000
+BLOCK = 250_000
 ROLLING = {"sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max, "std": F.stddev_pop, "count": F.count}
 RANKS = ("average", "min", "max", "dense", "first")
 
@@ -160,7 +160,9 @@ def percentile_rank(df: DataFrame, column: str, method: str = "average", partiti
 
 
 def neighbours(df: DataFrame, column: str, order_by, partition_by=None, block: int = BLOCK) -> DataFrame:
-    """df with __i (position), and the last (__pv, __pi) and next (__nv, __ni) present value and its position."""
+    """df with __i (position), and the last (__pv, __pi) and next (__nv, __ni) present value and its position.
+    The next value is the last one in descending order: a frame that ends at the end of its partition would be
+    evaluated anew for every row."""
     check_columns(df, column)
     kind = dict(df.dtypes)[column]
     v = F.nanvl(col(column), F.lit(None).cast(kind)) if kind in ("double", "float") else col(column)
@@ -168,17 +170,14 @@ def neighbours(df: DataFrame, column: str, order_by, partition_by=None, block: i
     if partition_by:
         w = Window.partitionBy(*_parts(partition_by)).orderBy(*orders(df, order_by, "fill"))
         placed = df.withColumn("__i", F.row_number().over(w).cast("long")).withColumn("__x", here(F.col("__i")))
-        p = F.last("__x", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-        n = F.first("__x", True).over(w.rowsBetween(0, Window.unboundedFollowing))
+        p, n = (F.last("__x", True).over(Window.partitionBy(*_parts(partition_by)).orderBy(o).rowsBetween(Window.unboundedPreceding, 0)) for o in (F.asc("__i"), F.desc("__i")))
         out = placed.withColumn("__p", p).withColumn("__q", n)
     else:
         placed = with_position(df, order_by, "__i").withColumn("__x", here(F.col("__i"))).withColumn("__b", F.floor((F.col("__i") - 1) / block))
-        w = Window.partitionBy("__b").orderBy("__i")
         sums = placed.groupBy("__b").agg(F.max_by("__x", F.when(F.col("__x").isNotNull(), F.col("__i"))).alias("l"), F.min_by("__x", F.when(F.col("__x").isNotNull(), F.col("__i"))).alias("f"))
         lined = Window.orderBy("__b")  # one row per block
-        sums = sums.select("__b", F.last("l", True).over(lined.rowsBetween(Window.unboundedPreceding, -1)).alias("__lp"), F.first("f", True).over(lined.rowsBetween(1, Window.unboundedFollowing)).alias("__fn"))
-        p = F.last("__x", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-        n = F.first("__x", True).over(w.rowsBetween(0, Window.unboundedFollowing))
+        sums = sums.select("__b", F.last("l", True).over(lined.rowsBetween(Window.unboundedPreceding, -1)).alias("__lp"), F.last("f", True).over(Window.orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)).alias("__fn"))
+        p, n = (F.last("__x", True).over(Window.partitionBy("__b").orderBy(o).rowsBetween(Window.unboundedPreceding, 0)) for o in (F.asc("__i"), F.desc("__i")))
         out = placed.withColumn("__p", p).withColumn("__q", n).join(sums, "__b").withColumn("__p", F.coalesce("__p", "__lp")).withColumn("__q", F.coalesce("__q", "__fn")).drop("__b", "__lp", "__fn")
     return out.select(*[col(c) for c in df.columns], "__i", F.col("__p.v").alias("__pv"), F.col("__p.i").alias("__pi"), F.col("__q.v").alias("__nv"), F.col("__q.i").alias("__ni"))
 

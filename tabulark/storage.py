@@ -20,9 +20,55 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts lineage, survives executors."""
-    spark = df.sparkSession
+def _store(spark: SparkSession, path: str):
+    """(Hadoop file system, Hadoop path)."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def new_folder(spark: SparkSession, tag: str) -> str:
+    """A name in the shared folder; what is written there is deleted when the application ends."""
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    store, at = _store(spark, path)
+    store.mkdirs(at)
+    store.deleteOnExit(at)
+    return path
+
+
+def _written(df: DataFrame, tag: str):
+    spark = df.sparkSession
+    path = new_folder(spark, tag)
+    df.write.mode("append").parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df: DataFrame, tag: str) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back: cuts lineage, survives executors. It is
+    there until the application ends."""
+    return _written(df, tag)[0]
+
+
+class Scratch:
+    """Tables an operator writes on its way to a result that it writes too: leaving the `with` block deletes
+    them, and lets Spark drop the shuffle files of the plans that are done."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self):
+        return self
+
+    def write(self, df: DataFrame, tag: str) -> DataFrame:
+        out, path = _written(df, tag)
+        self.paths.append(path)
+        return out
+
+    def drop(self):
+        for path in self.paths:
+            store, at = _store(self.spark, path)
+            store.delete(at, True)
+        self.paths = []
+        self.spark._jvm.System.gc()
+
+    def __exit__(self, *_):
+        self.drop()
