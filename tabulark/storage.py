@@ -26,6 +26,11 @@ def _store(spark: SparkSession, path: str):
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    store, at = _store(spark, path)
+    store.delete(at, True)
+
+
 def new_folder(spark: SparkSession, tag: str) -> str:
     """A name in the shared folder; what is written there is deleted when the application ends."""
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
@@ -65,8 +70,7 @@ class Scratch:
 
     def drop(self):
         for path in self.paths:
-            store, at = _store(self.spark, path)
-            store.delete(at, True)
+            delete(self.spark, path)
         self.paths = []
         self.spark._jvm.System.gc()
 
