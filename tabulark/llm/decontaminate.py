@@ -5,21 +5,24 @@
 2. A randomised SVD of the matrix of all TF-IDF passages, distributed: every task multiplies its passages
    by a random matrix and back, the products are summed, and the single-pass Nystroem form of the
    eigenproblem (Halko, Martinsson, Tropp 2011; Tropp et al. 2017) gives the right singular vectors.
-3. Windows of every document, as wide as the item (in steps of STEP words), are compared with benchmark
-   items by the cosine of the latent vectors. Step 4 needs COVER of an item's n words in the window, so of any
-   n - ceil(COVER n) + RARE of them at least RARE: windows that have fewer of the item's rarest ones can't
-   pass it and aren't compared. No pair is lost by that.
+3. Windows of every document, as wide as the item (in steps of STEP words, or an eighth of a long item), are
+   compared with benchmark items by the cosine of the latent vectors. Step 4 needs COVER of an item's n words in the
+   window, so of any n - ceil(COVER n) + RARE of them at least RARE: windows that have fewer of the item's rarest
+   ones can't pass it and, with prune, aren't compared. No pair is lost by that: prune=False compares every window
+   with every item and finds the same.
 4. A pair above COSINE is checked word by word: the longest common subsequence of item and window must
    cover COVER of the item, and of its answer (its last ANSWER words) ANSWER_COVER.
 
 Items of fewer than LEAST words are searched for exactly: their whole sequence of words, where each code
 point of a script without blanks counts as a word. One word alone is not searched for.
 
-Items are compared in slabs of SLAB, so what a task holds of the benchmark has a bound at any size of it.
+Items are compared in slabs of SLAB items and SLAB_WORDS words, so what a task holds of the benchmark has a bound
+at any size of it. Windows and subsequences of long items are compared few at a time.
 Defined results: (doc_id, item_id, cosine, covered) with the best of each pair. Null and blank texts and
 items match nothing, nor do items of one word or code point; pairs found exactly have cosine and cover 1; rows with a null doc_id or item_id are left
 out. Repeated rows count once in the result, ties of cosine or cover do not matter, other columns neither.
-Documents shorter than an item's window are one window.
+Documents shorter than an item's window are one window. Empty tables find nothing; documents and items of any
+length are searched whole.
 """
 
 from __future__ import annotations
@@ -30,12 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ALNUM, as_bytes, materialize, text_chunks, tidied, window_hash, windows, word_hashes, words, workers
+from .shared import ALNUM, Scratch, as_bytes, materialize, text_chunks, tidied, window_hash, windows, without, word_hashes, words, workers
 
 FEATURE_BITS, RANK, OVERSAMPLE = 14, 26, 6
 PASSAGE, STEP = 32, 8
 COSINE, COVER, ANSWER, ANSWER_COVER, LEAST, RARE = 0.4, 0.6, 8, 0.5, 8, 3
-SLAB = 20_000
+SLAB, SLAB_WORDS = 20_000, 1_000_000
+HELD = 8_000_000  # numbers that a comparison holds at once
 CHUNK_WORDS = 250_000
 GATE_BITS = 22
 BLOCKS = 64  # a matrix of terms is summed in so many parts
@@ -166,11 +170,11 @@ class Index:
         self.term = np.append(idf[:, None] * vectors, np.zeros((1, vectors.shape[1]), np.float32), axis=0).astype(np.float32)
         self.ids = np.array([i for i, _ in items], np.int64)
         self.n = np.array([len(w) for _, w in items], np.int64)
-        self.wide = -(-self.n // STEP) + 1
-        self.words = np.zeros((len(items), int(self.n.max())), np.int64) - 1
+        self.step = np.maximum(STEP, 2 ** np.floor(np.log2(np.maximum(self.n // 8, 1))).astype(np.int64))
+        self.wide = -(-self.n // self.step) + 1
+        self.flat, self.at = np.concatenate([w for _, w in items]).astype(np.int64), np.cumsum(self.n) - self.n
         word, item = [], []
         for i, (_, w) in enumerate(items):
-            self.words[i, : len(w)] = w
             few = len(w) - int(np.ceil(cover * len(w) - 1e-9)) + RARE
             rarest = np.argsort(-idf[_terms(w)], kind="stable")[:few]
             u = np.unique(w[rarest])
@@ -184,11 +188,16 @@ class Index:
         v = np.array([self.term[_terms(w)].sum(0) for _, w in items], np.float32)
         self.vector = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
 
+    def padded(self, i):
+        """Words of the items i, filled up with -1."""
+        place = np.arange(int(self.n[i].max()))
+        return np.where(place < self.n[i][:, None], self.flat[np.minimum(self.at[i][:, None] + place, len(self.flat) - 1)], -1)
+
 
 def common_subsequence(items: np.ndarray, windows: np.ndarray):
     """Length of the longest common subsequence of each row of items (padded with -1) and of windows
     (padded with -2)."""
-    best = np.zeros((len(items), items.shape[1] + 1), np.int16)
+    best = np.zeros((len(items), items.shape[1] + 1), np.int32)
     for k in range(windows.shape[1]):
         grown = np.maximum(best[:, 1:], best[:, :-1] + (items == windows[:, k : k + 1]))
         best[:, 1:] = np.maximum.accumulate(grown, axis=1)
@@ -202,26 +211,39 @@ def covers(items: np.ndarray, n: np.ndarray, windows: np.ndarray):
     return common_subsequence(items, windows) / n, common_subsequence(answer, windows) / np.minimum(n, ANSWER)
 
 
-def _windows_of(index, h, at):
-    """(item, first word, end of the row) of every window with RARE or more of an item's rarest words."""
-    place = np.flatnonzero(index.gate[h & np.uint32((1 << GATE_BITS) - 1)])
-    a, b = np.searchsorted(index.word, h[place], "left"), np.searchsorted(index.word, h[place], "right")
-    hits = b - a
-    place, item = np.repeat(place, hits), index.item[ragged_range(a, hits)]
+def _windows_of(index, h, at, prune):
+    """(item, first word, row) of every window with RARE or more of an item's rarest words; without prune of all."""
+    if prune:
+        place = np.flatnonzero(index.gate[h & np.uint32((1 << GATE_BITS) - 1)])
+        a, b = np.searchsorted(index.word, h[place], "left"), np.searchsorted(index.word, h[place], "right")
+        hits = b - a
+        place, item = np.repeat(place, hits), index.item[ragged_range(a, hits)]
+    else:
+        place, item = np.repeat(np.arange(0, len(h)), len(index.ids)), np.tile(np.arange(len(index.ids)), len(h))
     row = np.searchsorted(at, place, "right") - 1
-    steps = -(-np.diff(at) // STEP)
-    first = np.cumsum(steps) - steps
-    own = (place - at[row]) // STEP
+    step = index.step[item]
+    steps = -(-np.diff(at)[row] // step)
+    own = (place - at[row]) // step
     # windows begin at steps own - wide + 1 .. own of the row, none after the last that fits
-    last = np.minimum(own, np.maximum(steps[row] - index.wide[item], 0))
+    last = np.minimum(own, np.maximum(steps - index.wide[item], 0))
     low = np.maximum(np.minimum(own - index.wide[item] + 1, last), 0)
     many = last - low + 1
-    step = ragged_range(first[row] + low, many)
-    code, n = np.unique(step * len(index.ids) + np.repeat(item, many), return_counts=True)
-    code = code[n >= RARE]
-    step, item = code // len(index.ids), code % len(index.ids)
-    row = np.searchsorted(first, step, "right") - 1
-    return item, at[row] + STEP * (step - first[row]), at[row + 1], row
+    begin = np.repeat(at[row], many) + np.repeat(step, many) * ragged_range(low, many)
+    code, n = np.unique(begin * len(index.ids) + np.repeat(item, many), return_counts=True)
+    code = code[n >= RARE] if prune else code
+    begin, item = code // len(index.ids), code % len(index.ids)
+    return item, begin, np.searchsorted(at, begin, "right") - 1
+
+
+def _lots(size, most):
+    """Slices of consecutive entries of sizes `size`, ascending, whose number times the largest is at most `most`."""
+    lo = 0
+    while lo < len(size):
+        hi = lo + 1
+        while hi < len(size) and (hi + 1 - lo) * size[hi] <= most and hi - lo < 4_000:
+            hi += 1
+        yield slice(lo, hi)
+        lo = hi
 
 
 def ragged_range(start, n):
@@ -230,16 +252,19 @@ def ragged_range(start, n):
     return np.repeat(start - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
-def _search(held, cosine, cover, answer_cover):
+def _search(held, cosine, cover, answer_cover, prune):
     def run(batches):
         index = held.value
         for ids, h, at in _runs(batches):
-            item, begin, end, row = _windows_of(index, h, at)
+            item, begin, row = _windows_of(index, h, at, prune)
+            span = index.wide[item] * index.step[item]
+            order = np.argsort(span, kind="stable")
+            item, begin, row, span = item[order], begin[order], row[order], span[order]
             out = []
-            for lo in range(0, len(item), 4_000):
-                i, a, b, r = (x[lo : lo + 4_000] for x in (item, begin, end, row))
-                place = a[:, None] + np.arange(int(index.wide[i].max()) * STEP)
-                inside = (place < b[:, None]) & (place < (a + index.wide[i] * STEP)[:, None])
+            for lot in _lots(span, HELD // index.term.shape[1]):
+                i, a, r, wide = item[lot], begin[lot], row[lot], span[lot]
+                place = a[:, None] + np.arange(int(wide[-1]))
+                inside = (place < at[r + 1][:, None]) & (place < (a + wide)[:, None])
                 seen = h[np.minimum(place, len(h) - 1)]
                 v = index.term[np.where(inside, _terms(seen), TERMS)].sum(1)
                 c = (v * index.vector[i]).sum(1) / np.maximum(np.linalg.norm(v, axis=1), 1e-9)
@@ -247,7 +272,7 @@ def _search(held, cosine, cover, answer_cover):
                 if not len(near):
                     continue
                 i = i[near]
-                whole, answer = covers(index.words[i], index.n[i], np.where(inside[near], seen[near].astype(np.int64), -2))
+                whole, answer = covers(index.padded(i), index.n[i], np.where(inside[near], seen[near].astype(np.int64), -2))
                 ok = (whole >= cover) & (answer >= answer_cover)
                 out += zip(ids[r[near[ok]]].tolist(), index.ids[i[ok]].tolist(), c[near[ok]].astype(float).tolist(), whole[ok].tolist())
             if out:
@@ -321,36 +346,45 @@ def read_items(benchmark: DataFrame):
     return tuple(sorted(x, key=lambda y: (y[0], y[1].tobytes())) for x in (out, short))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, cover: float = COVER, answer_cover: float = ANSWER_COVER, rank: int = RANK) -> DataFrame:
+def _slabs(items):
+    """Runs of items of at most SLAB and SLAB_WORDS, one item at least."""
+    lo, held = 0, 0
+    for k, (_, w) in enumerate(items):
+        if k > lo and (k - lo >= SLAB or held + len(w) > SLAB_WORDS):
+            yield items[lo:k]
+            lo, held = k, 0
+        held += len(w)
+    if items:
+        yield items[lo:]
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, cover: float = COVER, answer_cover: float = ANSWER_COVER, rank: int = RANK, prune: bool = True) -> DataFrame:
     """(doc_id, item_id, cosine, covered) of every pair found; see the module for each edge case."""
     spark = workers(docs)
     share = spark.sparkContext.broadcast
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    tokens = materialize(base.mapInArrow(tidied(_tokenize), "doc_id long, words binary, block int, part binary"), "decontaminate-words")
-    df = _summed(tokens.where("block is not null").select("block", "part"), np.int64)
-    items, short = read_items(benchmark)
     schema = "doc_id long, item_id long, cosine double, covered double"
-    found = None
-    for lo in range(0, len(short), SLAB):
-        held = share((np.array([i for i, _ in short[lo : lo + SLAB]], np.int64), [w for _, w in short[lo : lo + SLAB]]))
-        part = base.mapInArrow(tidied(_exact(held)), schema)
-        found = part if found is None else found.union(part)
-    if df is None or not items:
-        return spark.createDataFrame([], schema) if found is None else found.distinct()
-    df = df.ravel()
-    idf = np.log((df.sum() / PASSAGE + 1) / (df + 1)).clip(0).astype(np.float32)
-    only = tokens.where("block is null").select("doc_id", "words")
-    omega = np.random.default_rng(23).standard_normal((TERMS, rank + OVERSAMPLE)).astype(np.float32)
-    z = _summed(only.mapInArrow(tidied(_products(share((idf, omega)))), "block int, part binary"), np.float32)
-    vectors = singular_vectors(z, omega, rank)
-    for lo in range(0, len(items), SLAB):
-        held = share(Index(items[lo : lo + SLAB], idf, vectors, cover))
-        part = only.mapInArrow(tidied(_search(held, cosine, cover, answer_cover)), schema)
-        found = part if found is None else found.union(part)
-    return found.groupBy("doc_id", "item_id").agg(F.max("cosine").alias("cosine"), F.max("covered").alias("covered"))
+    with Scratch(spark) as scratch:
+        tokens = scratch.write(base.mapInArrow(tidied(_tokenize), "doc_id long, words binary, block int, part binary"), "decontaminate-words")
+        df = _summed(tokens.where("block is not null").select("block", "part"), np.int64)
+        items, short = read_items(benchmark)
+        found = spark.createDataFrame([], schema)
+        for slab in _slabs(short):
+            held = share((np.array([i for i, _ in slab], np.int64), [w for _, w in slab]))
+            found = found.union(base.mapInArrow(tidied(_exact(held)), schema))
+        if df is not None and items:
+            df = df.ravel()
+            idf = np.log((df.sum() / PASSAGE + 1) / (df + 1)).clip(0).astype(np.float32)
+            only = tokens.where("block is null").select("doc_id", "words")
+            omega = np.random.default_rng(23).standard_normal((TERMS, rank + OVERSAMPLE)).astype(np.float32)
+            z = _summed(only.mapInArrow(tidied(_products(share((idf, omega)))), "block int, part binary"), np.float32)
+            vectors = singular_vectors(z, omega, rank)
+            for slab in _slabs(items):
+                held = share(Index(slab, idf, vectors, cover))
+                found = found.union(only.mapInArrow(tidied(_search(held, cosine, cover, answer_cover, prune)), schema))
+        return materialize(found.groupBy("doc_id", "item_id").agg(F.max("cosine").alias("cosine"), F.max("covered").alias("covered")), "decontaminate-found")
 
 
 def keep_clean(docs: DataFrame, found: DataFrame) -> DataFrame:
     """docs without the documents that hold an item; rows with a null doc_id stay."""
-    gone = found.select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    return without(docs, found.select("doc_id").distinct())

@@ -3,16 +3,23 @@
 A document is the set of its word n-grams. One total order over all n-grams (rare before frequent,
 then by hash) is cut into fragments. Each document's prefix of that order goes, piece by piece, to the
 fragments; every fragment counts on its own how many n-grams two sets share in it, and the counts are
-summed per pair. Pairs whose sum can still reach the threshold are counted over the whole order, again
-per fragment, and summed. No pair of Jaccard >= threshold can be missed.
+summed per pair. Of a set with very many copies only the first document takes part. A pair whose sum can still reach the threshold is a candidate; no pair of Jaccard >=
+threshold can be missed. A fragment knows a gram by 32 bits, which can only add candidates.
+
+Candidates are then counted in full. A set's label is the smallest set among it and its candidates; a pair
+belongs to the block of its smaller set's label, and each set goes, as its text, once to each of its blocks.
+A block counts all its pairs by products of 0/1 matrices, tile by tile, on 64-bit hashes of the n-grams, and
+says for each set how many others it is linked to and whom it hangs together with: what leaves a block is
+linear in its sets, however many links they have. Blocks of more than TILE sets are cut into pairs of tiles,
+each a task of its own.
 
 Defined results: words are runs without ASCII white space, in lower case. A text of fewer than n words
-is one n-gram of all its words. Null, empty and blank texts have no n-grams and join nothing; rows
-with a null doc_id are left out. Repeated rows count once, a document is never paired with itself.
-Documents of equal sets stand together: each is paired with the smallest doc_id among them at Jaccard
-1, and only that one stands for the set in other pairs, so groups of copies stay linear. With `every`
-each member stands for itself, in all pairs of the group and of its set's near pairs.
-Columns other than doc_id and text are ignored.
+is one n-gram of all its words. near_classes gives a row for each document and set: class_id is the smallest
+doc_id that is connected to it by links, n_links the number of other sets at Jaccard >= threshold, n_copies the
+number of doc_ids with the same set, itself included. Null, empty and blank texts have no n-grams and link
+nothing: their class is their own. Rows with a null doc_id are left out. Repeated rows count once, a set is
+never linked to itself; ties do not matter, as no order enters the result. Empty tables give no rows. Texts of
+any length count whole. Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -25,14 +32,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import as_bytes, joined, materialize, mix, NOT_SPACE, text_chunks, tidied, window_hash, windows, word_hashes, words, workers
+from .shared import NOT_SPACE, Scratch, as_bytes, delete, joined, materialize, mix, one_of_repeated, text_chunks, tidied, window_hash, windows, without, word_hashes, words, workers
 
 NGRAM, THRESHOLD = 3, 0.5
 BUCKET_BITS = 18  # size of the frequency sketch: it doesn't grow with the data
 SKETCH_ROWS = 16
-FRAGMENT_TOKENS = 2_000_000
-BLOCK_DOCS = 256  # documents of a block that one fragment may hold
-MOST_BITS = 1 << 28
+FRAGMENT_TOKENS = 4_000_000
+HOT_RUN = 64  # sets that share a gram, from which on they are counted by matrices
+HOT_SETS, HOT_COPIES = 100_000, 50  # the sets with most copies, which only their first document sends
+BUCKETS = 4  # of pairs to be summed, for each fragment
+TILE, INNER = 16_384, 1_024  # sets of a task's tile, and of the products in it
+TASK_TEXT = 12_000_000  # characters of small blocks that are counted together
+BROADCAST_ROWS = 1_000_000  # sets to be read again are looked up in a broadcast table up to so many, else by a join
 _EPS = 1e-9
 
 
@@ -133,7 +144,8 @@ def _keys(g, rank):
     return (rank[g >> np.uint64(64 - BUCKET_BITS)].astype(np.uint64) << np.uint64(59)) | (g >> np.uint64(5))
 
 
-def _cut(rank, pivots, n, t):
+def _cut(rank, pivots, n, t, hot):
+    hot_sig, hot_first = hot
     names = ["fragment", "sigs", "sizes", "lens", "keys"]
 
     def flush(keys, sig, size):
@@ -148,16 +160,20 @@ def _cut(rank, pivots, n, t):
         for a, b in zip(np.append(0, cut), np.append(cut, len(piece))):
             head = np.append(a, np.flatnonzero(np.diff(owner[a:b])) + a + 1)
             who = owner[head]
-            rows.append((int(piece[a]), as_bytes(sig[who]), as_bytes(size[who]), as_bytes(np.diff(np.append(head, b)).astype(np.int32)), as_bytes(key[a:b])))
+            rows.append((int(piece[a]), as_bytes(sig[who]), as_bytes(size[who]), as_bytes(np.diff(np.append(head, b)).astype(np.int32)), as_bytes(key[a:b].astype(np.uint32))))
         return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), [pa.int32()] + [pa.binary()] * 4)], names=names)
 
     def run(batches):
         keys, sig, size, held = [], [], [], 0
         for batch in batches:
-            for _r, g in _sets(batch, n):
+            for r, g in _sets(batch, n):
+                own = _signature(g)
+                at = np.searchsorted(hot_sig, own)
+                if at < len(hot_sig) and hot_sig[at] == own and batch.column(0)[r].as_py() != hot_first[at]:
+                    continue
                 k = np.sort(_keys(g, rank))[: int(_prefix(np.int64(len(g)), t))]
                 keys.append(k)
-                sig.append(_signature(g))
+                sig.append(own)
                 size.append(len(g))
                 held += len(k)
                 if held > 1_500_000:
@@ -176,240 +192,423 @@ def _needs(na, nb, t):
     return np.maximum(1, over - np.maximum(_least(na, t), _least(nb, t)) + 1)
 
 
-def _count_fragment(fragments: int, t: float):
-    """Partial overlaps of one fragment. A count of 1 is not sent for pairs that need more than one in
-    each fragment; reach() adds it back as an upper bound."""
+_PAIRS = "bucket int, names binary, sizes binary, a binary, b binary, c binary"
+_PAIR_SCHEMA = pa.schema([("bucket", pa.int32()), *((x, pa.binary()) for x in ("names", "sizes", "a", "b", "c"))])
+
+
+def _bucketed(name, n, a, b, c, buckets):
+    """Pairs of places in name, packed by the bucket of a."""
+    bucket = (mix(name.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)[a]
+    order = np.argsort(bucket, kind="stable")
+    a, b, c, bucket = a[order], b[order], c[order], bucket[order]
+    rows = []
+    cut = np.flatnonzero(np.diff(bucket)) + 1
+    for lo, hi in zip(np.append(0, cut), np.append(cut, len(bucket))):
+        used, at = np.unique(np.concatenate([a[lo:hi], b[lo:hi]]), return_inverse=True)
+        at = at.astype(np.int32)
+        rows.append((int(bucket[lo]), as_bytes(name[used]), as_bytes(n[used].astype(np.int32)), as_bytes(at[: hi - lo]), as_bytes(at[hi - lo :]), as_bytes(c[lo:hi].astype(np.int32))))
+    return rows
+
+
+def _cells(table, name):
+    return table.column(name).to_pylist()
+
+
+def _slack(needs, fragments):
+    """Largest count that need not be sent: of counts that add up to needs over all fragments, one is above it."""
+    return (needs - 1) // fragments
+
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"sig_a": pd.Series(dtype="int64"), "sig_b": pd.Series(dtype="int64"), "na": pd.Series(dtype="int64"), "nb": pd.Series(dtype="int64"), "c": pd.Series(dtype="int64")})
-        sig, size = joined(pdf["sigs"], np.int64), joined(pdf["sizes"], np.int32)
-        owner, key = np.repeat(np.arange(len(sig), dtype=np.int32), joined(pdf["lens"], np.int32)), joined(pdf["keys"], np.uint64)
-        del pdf
+def _pair_events(key, owner, size, t, wide):
+    """(code of the pair, its count) of all pairs in the same run of keys, sizes ascending in each run."""
+    i, d, held, codes, counts = np.arange(len(key)), 1, 0, [], []
+    while True:
+        i = i[i + d < len(key)]
+        j = i + d
+        ok = (key[i] == key[j]) & (size[i] >= t * size[j] - _EPS)
+        i, j = i[ok], j[ok]
+        if not len(i):
+            break
+        codes.append(np.minimum(owner[i], owner[j]).astype(np.int64) * wide + np.maximum(owner[i], owner[j]))
+        counts.append(np.ones(len(i), np.int32))
+        held += len(i)
+        if held > 3_000_000:
+            codes, counts = _folded(codes, counts)
+            held = len(codes[0]) // 2
+        d += 1
+    return _folded(codes, counts) if codes else ([], [])
+
+
+def _hang_together(run, owner):
+    """For each entry the smallest owner that hangs together with it through shared runs."""
+    u, own = np.unique(owner, return_inverse=True)
+    label = np.arange(len(u))
+    order = np.argsort(own, kind="stable")
+    run_head, own_head = np.flatnonzero(np.append(True, np.diff(run) != 0)), np.flatnonzero(np.append(True, np.diff(own[order]) != 0))
+    spread = np.cumsum(np.append(False, np.diff(run) != 0))
+    while True:
+        low = np.minimum.reduceat(label[own], run_head)[spread]
+        new = np.minimum.reduceat(low[order], own_head)
+        new = new[new]
+        if np.array_equal(new, label):
+            return u[label[own]]
+        label = new
+
+
+def _count_fragment(fragments: int, t: float, buckets: int):
+    """Partial overlaps of one fragment. N-grams that HOT_RUN sets or more share are counted apart: sets that hang
+    together through them, as near copies do, by products of 0/1 matrices where that is less work than pair by pair.
+    A count is not sent if the pair must have a larger one somewhere; the sum adds it back as an upper bound."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sig, size = joined(_cells(table, "sigs"), np.int64), joined(_cells(table, "sizes"), np.int32)
+        owner, key = np.repeat(np.arange(len(sig), dtype=np.int32), joined(_cells(table, "lens"), np.int32)), joined(_cells(table, "keys"), np.uint32)
+        del table
         order = np.argsort(key)
         key, owner = key[order], owner[order]
         same = key[1:] == key[:-1]
-        shared = np.append(same, False) | np.append(False, same)
+        shared = (np.append(same, False) | np.append(False, same))[: len(key)]
         key, owner = key[shared], owner[shared]
-        if not len(key):
-            return empty
-        name, doc = np.unique(sig, return_inverse=True)
-        n = np.zeros(len(name), np.int64)
-        n[doc] = size
-        owner = doc[owner]
-        order = np.lexsort((owner, n[owner], key))
-        key, owner = key[order], owner[order]
-        fresh = np.append(True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1]))
-        key, owner = key[fresh], owner[fresh]
-        size = n[owner]
-        i, d, held, codes, counts = np.arange(len(key)), 1, 0, [], []
-        wide = np.int64(len(name))
-
-        def fold():
-            u, inv = np.unique(np.concatenate(codes), return_inverse=True)
-            return [u], [np.bincount(inv, weights=np.concatenate(counts)).astype(np.int64)]
-
-        while True:
-            i = i[i + d < len(key)]
-            j = i + d
-            ok = (key[i] == key[j]) & (size[i] >= t * size[j] - _EPS)
-            i, j = i[ok], j[ok]
-            if not len(i):
-                break
-            a, b = np.minimum(owner[i], owner[j]).astype(np.int64), np.maximum(owner[i], owner[j])
-            codes.append(a * wide + b)
-            counts.append(np.ones(len(a), np.int64))
-            held += len(a)
-            if held > 3_000_000:
-                codes, counts = fold()
-                held = len(codes[0])
-            d += 1
-        if not codes:
-            return empty
-        (code,), (c,) = fold()
-        a, b = code // wide, code % wide
-        ok = (c > 1) | (_needs(n[a], n[b], t) <= fragments)
-        a, b, c = a[ok], b[ok], c[ok]
-        return pd.DataFrame({"sig_a": name[a], "sig_b": name[b], "na": n[a], "nb": n[b], "c": c})
+        del order, same, shared
+        rows = []
+        if len(key):
+            name, doc = np.unique(sig, return_inverse=True)
+            n = np.zeros(len(name), np.int64)
+            n[doc] = size
+            owner = doc[owner]
+            order = np.lexsort((owner, n[owner], key))
+            key, owner = key[order], owner[order]
+            fresh = np.append(True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1]))
+            key, owner = key[fresh], owner[fresh]
+            head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            many = np.diff(np.append(head, len(key)))
+            many = np.repeat(many, many)
+            wide = np.int64(len(name))
+
+            def send(a, b, c):
+                ok = c > _slack(_needs(n[a], n[b], t), fragments)
+                if ok.any():
+                    rows.extend(_bucketed(name, n, a[ok], b[ok], c[ok], buckets))
+
+            def one_by_one(pick):
+                for code, c in zip(*_pair_events(key[pick], owner[pick], n[owner[pick]], t, wide)):
+                    send(code // wide, code % wide, c)
+
+            one_by_one(many < HOT_RUN)
+            at = np.flatnonzero(many >= HOT_RUN)
+            if len(at):
+                group = _hang_together(key[at], owner[at])
+                order = np.argsort(group, kind="stable")
+                at, group = at[order], group[order]
+                cut = np.append(np.append(0, np.flatnonzero(np.diff(group)) + 1), len(group))
+                rest = []
+                for lo, hi in zip(cut, cut[1:]):
+                    part = at[lo:hi]
+                    u, own = np.unique(owner[part], return_inverse=True)
+                    if len(u) ** 2 > 4 * many[part].sum():
+                        rest.append(part)
+                        continue
+                    col = np.cumsum(np.append(False, np.diff(key[part].astype(np.int64)) != 0))
+                    for a, b, c in _products(own, col, int(col[-1]) + 1, len(u)):
+                        na, nb = n[u[a : a + c.shape[0]], None], n[None, u[b : b + c.shape[1]]]
+                        ok = (c > 0) & (np.minimum(na, nb) >= t * np.maximum(na, nb) - _EPS)
+                        i, j = np.nonzero(np.triu(ok, 1) if a == b else ok)
+                        send(u[a + i].astype(np.int64), u[b + j].astype(np.int64), c[i, j].astype(np.int32))
+                if rest:
+                    one_by_one(np.sort(np.concatenate(rest)))
+        return pa.table([pa.array(x, f.type) for x, f in zip(zip(*rows), _PAIR_SCHEMA)] if rows else [pa.array([], f.type) for f in _PAIR_SCHEMA], schema=_PAIR_SCHEMA)
 
     return run
 
 
-def candidates(keyed: DataFrame, fragments: int, t: float) -> DataFrame:
-    """Sum of the partial overlaps per pair, and the pairs that can still reach t."""
-    part = keyed.groupBy("fragment").applyInPandas(_count_fragment(fragments, t), "sig_a long, sig_b long, na long, nb long, c long")
-    total = part.groupBy("sig_a", "sig_b").agg(F.min("na").alias("na"), F.min("nb").alias("nb"), F.sum("c").alias("c"))
-    over = F.ceil(F.lit(t / (1 + t)) * (F.col("na") + F.col("nb")) - _EPS)
-    need = F.greatest(F.lit(1), over - F.ceil(t * F.greatest("na", "nb") - _EPS) + 1)
-    return total.where(F.col("c") + F.when(need > fragments, fragments).otherwise(0) >= need).select("sig_a", "sig_b", "na", "nb")
-
-
-def _bitmap(ids: DataFrame, many: int):
-    """Bits of the doc_ids to be read again, at 16 bits an id and MOST_BITS at most; beyond, more rows
-    pass it than need to and the join that follows removes them."""
-    bits = 1 << min(MOST_BITS.bit_length() - 1, max(16, int(16 * max(1, many)).bit_length()))
-    at = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
-    cells = ids.select(at.alias("b")).groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(b & 63))")).alias("v")).toArrow()
-    field = np.zeros(bits // 64, np.int64)
-    field[cells["w"].to_numpy()] = cells["v"].to_numpy()
-    return bits, field.view(np.uint8)
-
-
-def _read_again(n):
-    def run(batches):
-        for batch in batches:
-            rows = [(batch.column(0)[r].as_py(), int(_signature(g)), _pack(g)) for r, g in _sets(batch, n)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))], names=["doc_id", "sig", "grams"])
+def _folded(codes, counts):
+    u, inv = np.unique(np.concatenate(codes), return_inverse=True)
+    return [u], [np.bincount(inv, weights=np.concatenate(counts)).astype(np.int32)]
 
-    return run
 
+_NEAR = pa.schema([("sig", pa.int64()), ("others", pa.list_(pa.int64()))])
 
-def _pack(g):
-    """5 bytes of each hash: within a block of documents that is as good as all 8."""
-    return as_bytes(np.ascontiguousarray(g).view(np.uint8).reshape(-1, 8)[:, :5])
 
+def _sum_bucket(fragments: int, t: float):
+    """Candidates (sig, others above it) of a bucket: sums of the partial overlaps that can still reach t."""
 
-def _unpack(raw):
-    out = np.zeros((len(raw) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-    return out.view(np.uint64).ravel()
+    def run(table: pa.Table) -> pa.Table:
+        names = [np.frombuffer(x, np.int64) for x in _cells(table, "names")]
+        every, at = np.unique(np.concatenate(names), return_inverse=True)
+        n = np.zeros(len(every), np.int64)
+        n[at] = joined(_cells(table, "sizes"), np.int32)
+        base = np.cumsum([0, *map(len, names)])
+        codes, counts, held = [], [], 0
+        for k, (a, b, c) in enumerate(zip(*(_cells(table, x) for x in "abc"))):
+            own = at[base[k] : base[k + 1]].astype(np.int64)
+            codes.append(own[np.frombuffer(a, np.int32)] * len(every) + own[np.frombuffer(b, np.int32)])
+            counts.append(np.frombuffer(c, np.int32))
+            held += len(counts[-1])
+            if held > 3_000_000:
+                codes, counts = _folded(codes, counts)
+                held = len(codes[0]) // 2
+        (code,), (c,) = _folded(codes, counts)
+        a, b = code // len(every), code % len(every)
+        need = _needs(n[a], n[b], t)
+        ok = c + _slack(need, fragments) * fragments >= need
+        a, b = a[ok], b[ok]
+        head = np.append(0, np.flatnonzero(np.diff(a)) + 1) if len(a) else np.zeros(0, np.int64)
+        return pa.table([pa.array(every[a[head]]), pa.ListArray.from_arrays(pa.array(np.append(head, len(a)).astype(np.int32)), pa.array(every[b]))], schema=_NEAR)
 
+    return run
 
-_SLICE = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
 
+def candidates(keyed: DataFrame, fragments: int, t: float) -> DataFrame:
+    """(sig, others): for each set those above it whose summed partial overlap can still reach t."""
+    counts = 2 * fragments  # of frequent and of other n-grams
+    part = keyed.groupBy("fragment").applyInArrow(_count_fragment(counts, t, BUCKETS * fragments), _PAIRS)
+    return part.groupBy("bucket").applyInArrow(_sum_bucket(counts, t), "sig long, others array<long>")
 
-def _slices(batches):
-    """Cut each set into as many fragments as each of its blocks needs."""
-    for batch in batches:
-        sig, grams, blocks, parts = (batch.column(i) for i in range(4))
-        rows, held = [], 0
-        for s, g, listed, many in zip(sig.to_pylist(), grams, blocks.to_pylist(), parts.to_pylist()):
-            g = _unpack(g.as_buffer())
-            for b, p in zip(listed, many):
-                piece = (g >> np.uint64(20)) % np.uint64(p)
-                rows += [(b, k, s, _pack(g[piece == k]) if p > 1 else _pack(g)) for k in range(p)]
-                held += len(g)
-            if held > 1_000_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _SLICE)], names=["block", "part", "sig", "grams"])
-                rows, held = [], 0
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _SLICE)], names=["block", "part", "sig", "grams"])
+
+def _row_sets(column, n):
+    """Sorted n-gram hashes of every row."""
+    out = [np.zeros(0, np.uint64)] * len(column)
+    for lo, _hi, data, offsets in text_chunks(column):
+        g, at = _grams(data, offsets, n)
+        for r in range(len(offsets) - 1):
+            out[lo + r] = np.unique(g[at[r] : at[r + 1]])
+    return out
 
 
-def _count_block(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
-    """Overlap of each pair of the block within one fragment: a product of 0/1 matrices."""
-    if not len(pairs) or not len(sets):
-        return pd.DataFrame({"sig_a": [], "sig_b": [], "na": [], "nb": [], "c": []}).astype("int64")
-    name, first = np.unique(sets["sig"].to_numpy(), return_index=True)  # repeated rows count once
-    grams = [_unpack(sets["grams"].iloc[i]) for i in first]
-    owner, all_grams = np.repeat(np.arange(len(grams)), [len(g) for g in grams]), np.concatenate(grams)
-    token, inv, count = np.unique(all_grams, return_inverse=True, return_counts=True)
+def _incidence(sets):
+    """(owner, column, columns) of the grams that two sets or more have, sorted by column."""
+    owner = np.repeat(np.arange(len(sets)), [len(g) for g in sets])
+    _, inv, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = count > 1
-    column = np.cumsum(shared) - 1
     ok = shared[inv]
-    owner, col = owner[ok], column[inv[ok]]
+    col = (np.cumsum(shared) - 1)[inv[ok]]
     order = np.argsort(col, kind="stable")
-    owner, col = owner[order], col[order]
-    width, step = int(shared.sum()), max(64, 4_000_000 // max(1, len(name)))
-    total = np.zeros((len(name), len(name)), np.float32)
-    for lo in range(0, width, step):
-        a, b = np.searchsorted(col, (lo, lo + step))
-        x = np.zeros((len(name), min(step, width - lo)), np.float32)
-        x[owner[a:b], col[a:b] - lo] = 1
-        total += x @ x.T
-    out = pairs[["sig_a", "sig_b", "na", "nb"]].copy()
-    out["c"] = total[np.searchsorted(name, out["sig_a"]), np.searchsorted(name, out["sig_b"])].astype("int64")
-    return out
+    return owner[ok][order], col[order], int(shared.sum())
+
+
+def _matrix(owner, col, lo, hi, a, b):
+    """0/1 matrix of the rows a..b and columns lo..hi."""
+    p, q = np.searchsorted(col, (lo, hi))
+    o, c = owner[p:q], col[p:q]
+    ok = (o >= a) & (o < b)
+    x = np.zeros((b - a, hi - lo), np.float32)
+    x[o[ok] - a, c[ok] - lo] = 1
+    return x
+
+
+def _products(owner, col, width, rows, between=None):
+    """(first row, first column, overlap matrix) of each pair of inner tiles of a 0/1 matrix, given by its ones sorted
+    by column. between: the first `between` rows against the others only."""
+    for a in range(0, rows, INNER):
+        ea = min(a + INNER, rows)
+        for b in range(a, rows, INNER):
+            eb = min(b + INNER, rows)
+            if between is not None and (a >= between or eb <= between):
+                continue
+            step = max(64, 3_000_000 // max(ea - a, eb - b))
+            c = np.zeros((ea - a, eb - b), np.float32)
+            for lo in range(0, width, step):
+                hi = min(width, lo + step)
+                x = _matrix(owner, col, lo, hi, a, ea)
+                c += x @ (x if a == b else _matrix(owner, col, lo, hi, b, eb)).T
+            yield a, b, c
+
+
+def _tiles(sets, between=None):
+    """As _products, with the Jaccard of each pair of sets."""
+    n = np.array([len(g) for g in sets], np.int64)
+    for a, b, c in _products(*_incidence(sets), len(sets), between):
+        yield a, b, c / np.maximum(n[a : a + c.shape[0], None] + n[None, b : b + c.shape[1]] - c, 1).astype(np.float64)
+
+
+def _merge(root, near, a, b):
+    """Roots of all sets, with the links of one tile added: two sweeps by minima, and what they leave one by one."""
+    rows, cols = np.arange(a, a + near.shape[0]), np.arange(b, b + near.shape[1])
+    none = len(root)
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return int(x)
+
+    for _ in range(2):
+        low = np.minimum(root[rows], np.where(near, root[cols][None, :], none).min(1, initial=none))
+        for x in np.flatnonzero(low < root[rows]):
+            p, q = find(rows[x]), find(low[x])
+            root[max(p, q)] = min(p, q)
+        _flatten(root)
+    i, j = np.nonzero(near & (root[rows][:, None] != root[cols][None, :]))
+    for p, q in np.unique(np.stack([root[rows[i]], root[cols[j]]], 1), axis=0).tolist():
+        p, q = find(p), find(q)
+        root[max(p, q)] = min(p, q)
+    _flatten(root)
+
+
+def _flatten(root):
+    while True:
+        up = root[root]
+        if np.array_equal(up, root):
+            return
+        root[:] = up
+
+
+_LINKS = "sig_a long, sig_b long, n long, jaccard double"
+_LINK_SCHEMA = pa.schema([("sig_a", pa.int64()), ("sig_b", pa.int64()), ("n", pa.int64()), ("jaccard", pa.float64())])
+
+
+def _count_task(n: int, t: float, pairs: bool):
+    """For each set of each block of a task (set, root in the block, links counted there); with pairs the links
+    themselves (set, other set, 1, jaccard)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        block, tile, sig, own = (table.column(x).to_numpy() for x in ("block", "tile", "sig", "label"))
+        cross = table.column("ti")[0].as_py() != table.column("tj")[0].as_py()
+        sets = _row_sets(table.column("text"), n)
+        del table
+        ok = np.array([len(g) > 0 and int(_signature(g)) == s for g, s in zip(sets, sig.tolist())], bool)  # a doc_id may have another text too
+        order = np.lexsort((sig, tile, block))
+        order = order[ok[order]]
+        block, tile, sig, own = block[order], tile[order], sig[order], own[order]
+        fresh = np.append(True, (block[1:] != block[:-1]) | (sig[1:] != sig[:-1]))[: len(order)]
+        order, block, tile, sig, own = order[fresh], block[fresh], tile[fresh], sig[fresh], own[fresh]
+        cut = np.append(np.append(0, np.flatnonzero(np.diff(block)) + 1), len(block))
+        out = []
+        for lo, hi in zip(cut, cut[1:]):
+            other = np.flatnonzero(np.diff(tile[lo:hi]))
+            if hi - lo < 2 or (cross and not len(other)):
+                continue
+            s, mine = sig[lo:hi], own[lo:hi] == block[lo]
+            links, root = np.zeros(hi - lo, np.int64), np.arange(hi - lo)
+            for a, b, j in _tiles([sets[k] for k in order[lo:hi]], int(other[0]) + 1 if len(other) else None):
+                ra, rb = np.arange(a, a + j.shape[0]), np.arange(b, b + j.shape[1])
+                near = (j >= t - _EPS) & ((ra[:, None] < rb[None, :]) if a == b else True)
+                near &= np.where(s[ra][:, None] < s[rb][None, :], mine[ra][:, None], mine[rb][None, :])
+                if len(other):
+                    near &= tile[lo:hi][ra][:, None] != tile[lo:hi][rb][None, :]
+                links[ra] += near.sum(1)
+                links[rb] += near.sum(0)
+                if pairs:
+                    x, y = np.nonzero(near)
+                    out.append((s[ra[x]], s[rb[y]], np.ones(len(x), np.int64), j[x, y]))
+                elif near.any():
+                    _merge(root, near, a, b)
+            if not pairs:
+                some = links > 0
+                out.append((s[some], s[root[some]], links[some], np.ones(int(some.sum()))))
+        return pa.table([pa.array(np.concatenate(c)) for c in zip(*out)] if out else [pa.array([], f.type) for f in _LINK_SCHEMA], schema=_LINK_SCHEMA)
+
+    return run
 
 
-def ngram_jaccard_pairs(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, fragment_tokens: int = FRAGMENT_TOKENS, every: bool = False) -> DataFrame:
-    """Pairs (doc_id_a < doc_id_b, jaccard) of Jaccard >= threshold; see the module for each edge case."""
-    spark, t = workers(docs), threshold
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"))
-    sizes = materialize(base.mapInArrow(tidied(_stage_sizes(n)), "block int, doc_id long, n long, sig long, counts binary"), "jaccard-sizes")
+def _sets_of(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text"))
+
+
+def _links(scratch: Scratch, docs: DataFrame, n: int, t: float, fragment_tokens: int, pairs: bool, tile: int, broadcast_rows: int):
+    """(doc_id, sig) of every document with n-grams; links as _count_task gives them."""
+    base = _sets_of(docs)
+    sizes = scratch.write(base.mapInArrow(tidied(_stage_sizes(n)), "block int, doc_id long, n long, sig long, counts binary"), "jaccard-sizes")
     rank, pivots = global_order(sizes, fragment_tokens)
     fragments = len(pivots) + 1
-    keyed = base.mapInArrow(tidied(_cut(rank, pivots, n, t)), "fragment int, sigs binary, sizes binary, lens binary, keys binary")
-    found = materialize(candidates(keyed, fragments, t), "jaccard-candidates")
-
     known = sizes.where("block is null").select("doc_id", "sig").distinct()
-    rep = known.groupBy("sig").agg(F.min("doc_id").alias("rep"))
-    ends = found.select(F.col("sig_a").alias("sig"), F.col("sig_b").alias("other")).union(found.select("sig_b", "sig_a"))
-    label = ends.groupBy("sig").agg(F.min("other").alias("m")).select("sig", F.least("sig", "m").alias("block"))
-    involved = materialize(label.join(rep, "sig").select("sig", "block", F.col("rep").alias("doc_id")), "jaccard-involved")
-    many = involved.count()
-    bits, field = _bitmap(involved, many)
-    held = spark.sparkContext.broadcast(field)
-
-    def passes(batches):
-        bitmap = held.value
-        for batch in batches:
-            at = batch.column(2).to_numpy()
-            ok = (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1
-            yield batch.filter(pa.array(ok.astype(bool)))
-
-    spread = base.where("doc_id is not null").withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(bits)))
-    run = _read_again(n)
-    again = spread.mapInArrow(tidied(lambda batches: run(passes(batches))), "doc_id long, sig long, grams binary")
-    blocked = materialize(found.join(involved.select(F.col("sig").alias("sig_a"), "block"), "sig_a"), "jaccard-asked")
-    member = blocked.select("block", F.explode(F.array("sig_a", "sig_b")).alias("sig")).distinct()
-    parts = member.groupBy("block").agg(F.ceil(F.count("*") / BLOCK_DOCS).cast("int").alias("parts"))
-    where = member.join(parts, "block").groupBy("sig").agg(F.collect_list("block").alias("blocks"), F.collect_list("parts").alias("parts"))
-    # the sets are shuffled twice: to their documents' blocks, and by block and fragment
-    sets = again.join(involved.select("doc_id", "sig").join(where, "sig"), ["doc_id", "sig"])
-    pieces = sets.select("sig", "grams", "blocks", "parts").mapInArrow(tidied(_slices), "block long, part int, sig long, grams binary")
-    asked = blocked.join(parts, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "sig_a", "sig_b", "na", "nb")
-    counted = asked.groupBy("block", "part").cogroup(pieces.groupBy("block", "part")).applyInPandas(_count_block, "sig_a long, sig_b long, na long, nb long, c long")
-    overlap = counted.groupBy("sig_a", "sig_b").agg(F.min("na").alias("na"), F.min("nb").alias("nb"), F.sum("c").alias("c"))
-    jaccard = F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))
-    close = overlap.where(jaccard >= t).select("sig_a", "sig_b", jaccard.alias("jaccard"))
-    ra, rb = (involved.select(F.col("sig").alias(f"sig_{x}"), F.col("doc_id").alias(f"r{x}")) for x in "ab")
-    near = close.join(ra, "sig_a").join(rb, "sig_b").where("ra <> rb").select(F.least("ra", "rb").alias("doc_id_a"), F.greatest("ra", "rb").alias("doc_id_b"), "jaccard")
-    if every:
-        links = near.union(rep.select("rep", "rep", F.lit(1.0)))
-        ma, mb = (known.join(rep, "sig").select(F.col("rep").alias(f"doc_id_{x}"), F.col("doc_id").alias(f"m{x}")) for x in "ab")
-        own = (F.col("doc_id_a") != F.col("doc_id_b")) | (F.col("ma") < F.col("mb"))
-        return links.join(ma, "doc_id_a").join(mb, "doc_id_b").where(own).groupBy(F.least("ma", "mb").alias("doc_id_a"), F.greatest("ma", "mb").alias("doc_id_b")).agg(F.max("jaccard").alias("jaccard"))
-    copies = known.join(rep, "sig").where("doc_id <> rep").select(F.col("rep").alias("doc_id_a"), F.col("doc_id").alias("doc_id_b"), F.lit(1.0).alias("jaccard"))
-    return near.union(copies).groupBy("doc_id_a", "doc_id_b").agg(F.max("jaccard").alias("jaccard"))
-
-
-def components(pairs: DataFrame) -> DataFrame:
-    """(doc_id, root): the smallest doc_id of each connected group, by large-star and small-star steps
-    (Kiveris et al. 2014), each round written to the shared folder."""
-    edges = materialize(pairs.select(F.col("doc_id_a").alias("u"), F.col("doc_id_b").alias("v")).where("u <> v").distinct(), "groups")
+    hot = known.groupBy("sig").agg(F.count("*").alias("k"), F.min("doc_id").alias("first")).where(F.col("k") > HOT_COPIES).orderBy(F.desc("k"), "sig").limit(HOT_SETS).select("sig", "first").toPandas().sort_values("sig")
+    keyed = base.mapInArrow(tidied(_cut(rank, pivots, n, t, (hot["sig"].to_numpy(np.int64), hot["first"].to_numpy(np.int64)))), "fragment int, sigs binary, sizes binary, lens binary, keys binary")
+    found = scratch.write(candidates(keyed, fragments, t), "jaccard-candidates")
+
+    pair = found.select("sig", F.explode("others").alias("other"))
+    least = pair.groupBy(F.col("other").alias("sig")).agg(F.min("sig").alias("m"))
+    label = found.select("sig").join(least, "sig", "full").select("sig", F.least("sig", "m").alias("label"))
+    member = found.join(label, "sig").select("label", F.explode(F.concat("others", F.array("sig"))).alias("sig")).distinct()
+    rep = known.groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
+    asked = scratch.write(member.withColumnRenamed("label", "block").join(label, "sig").join(rep, "sig").select("doc_id", "sig", "label", "block"), "jaccard-asked")
+
+    large = {r["block"]: -(-r["n"] // tile) for r in asked.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > tile).collect()}  # one row for TILE sets at most
+    rows = asked.count()
+    volume = sizes.agg(F.sum("n").alias("n"), F.count("sig").alias("k")).first()
+    tasks = 1 + int(7 * rows * (volume["n"] or 0) / max(1, volume["k"]) / TASK_TEXT)
+    base = base.where("doc_id is not null and text is not null")
+    texts = asked.join(base.hint("shuffle_merge"), "doc_id") if rows > broadcast_rows else base.join(F.broadcast(asked), "doc_id")
+    many = F.create_map(*[F.lit(x) for item in large.items() for x in item])[F.col("block")].cast("int") if large else F.lit(None).cast("int")
+    spread = texts.withColumn("many", many).withColumn("tile", F.when(F.col("many").isNull(), 0).otherwise(F.pmod(F.xxhash64("sig"), F.col("many").cast("long"))).cast("int"))
+    spread = spread.withColumn("other", F.explode(F.when(F.col("many").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("many") - 1))))
+    # small blocks share a task by hash; of large ones each pair of tiles is one
+    task = [F.when(F.col("many").isNull(), F.pmod(F.xxhash64("block"), F.lit(tasks))).otherwise(F.lit(-1)).alias("task"), F.when(F.col("many").isNotNull(), F.col("block")).alias("big"), F.least("tile", "other").alias("ti"), F.greatest("tile", "other").alias("tj")]
+    tasked = spread.select(*task, "block", "tile", "sig", "label", "text")
+    return known, rep, tasked.groupBy("task", "big", "ti", "tj").applyInArrow(_count_task(n, t, pairs), _LINKS)
+
+
+def near_classes(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, fragment_tokens: int = FRAGMENT_TOKENS, tile: int = TILE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """(doc_id, class_id, n_links, n_copies) of every document and set; see the module for each edge case."""
+    with Scratch(workers(docs)) as scratch:
+        known, rep, links = _links(scratch, docs, n, threshold, fragment_tokens, False, tile, broadcast_rows)
+        links = scratch.write(links, "jaccard-links")
+        root = components(scratch, links.select("sig_a", "sig_b"))
+        many = known.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"))
+        linked = links.groupBy(F.col("sig_a").alias("sig")).agg(F.sum("n").alias("n_links"))
+        group = linked.join(root, "sig", "left").select("sig", "n_links", F.coalesce("root", "sig").alias("root"))
+        first = group.join(many, "sig").groupBy("root").agg(F.min("rep").alias("first"))
+        of_set = many.join(group.join(first, "root"), "sig", "left").select("sig", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("first", "rep").alias("class_id"))
+        found = known.join(of_set, "sig").select("doc_id", "class_id", "n_links", "n_copies")
+        ids = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+        blank = ids.join(known.select("doc_id"), "doc_id", "left_anti").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
+        return materialize(found.union(blank), "near-classes")
+
+
+def ngram_jaccard_pairs(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, fragment_tokens: int = FRAGMENT_TOKENS, tile: int = TILE, broadcast_rows: int = BROADCAST_ROWS):
+    """Every link, between sets: (doc_id_a < doc_id_b, jaccard) of the smallest doc_ids that have them, and the
+    membership (doc_id, set_id): set_id is the smallest doc_id of the same set."""
+    with Scratch(workers(docs)) as scratch:
+        known, rep, links = _links(scratch, docs, n, threshold, fragment_tokens, True, tile, broadcast_rows)
+        a, b = (rep.select(F.col("sig").alias(f"sig_{x}"), F.col("doc_id").alias(f"r{x}")) for x in "ab")
+        pairs = links.join(a, "sig_a").join(b, "sig_b").where("ra <> rb").select(F.least("ra", "rb").alias("doc_id_a"), F.greatest("ra", "rb").alias("doc_id_b"), "jaccard").distinct()
+        return materialize(pairs, "near-pairs"), materialize(known.join(rep.withColumnRenamed("doc_id", "set_id"), "sig").select("doc_id", "set_id"), "near-members")
+
+
+def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
+    """(sig, root): the smallest set of each connected group of edges (two columns), by large-star and small-star
+    steps (Kiveris et al. 2014), each round written to the shared folder and the one before deleted."""
+    u, v = edges.columns
+    edges = scratch.write(edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u <> v").distinct(), "groups")
     before = None
     while True:
+        old = scratch.paths.pop()
         both = edges.union(edges.select("v", "u"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         small_low = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(small_low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m")), F.struct(F.col("v").alias("u"), F.col("m")))).alias("e")).select("e.u", F.col("e.m").alias("v")).where("u <> v").distinct()
-        edges = materialize(small, "groups")
+        edges = scratch.write(small, "groups")
+        delete(scratch.spark, old)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
         before = state
-    return edges.select(F.col("u").alias("doc_id"), F.col("v").alias("root"))
+    return edges.select(F.col("u").alias("sig"), F.col("v").alias("root"))
 
 
-def keep_one_of_each(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Documents without those that follow the smallest doc_id of their group; rows that repeat a
-    doc_id that stays all stay, as do rows with a null doc_id."""
-    gone = components(pairs).select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+def keep_one_of_each(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """docs without those of another document's class, and one of the rows that are equal in doc_id and text, null
+    or not. A doc_id with several texts stays if one of them is the first of its class."""
+    gone = classes.groupBy("doc_id").agg(F.min(F.col("class_id") != F.col("doc_id")).alias("all")).where("all").select("doc_id")
+    return one_of_repeated(without(docs, gone))
 
 
 SQL = r"""
-with w as (select distinct doc_id, list_filter(string_split_regex(lower(text), '[\t\n\f\r ]+'), lambda x: x <> '') as w
+with recursive w as (select distinct doc_id, list_filter(string_split_regex(lower(text), '[\t\n\f\r ]+'), lambda x: x <> '') as w
            from documents where doc_id is not null and text is not null),
-g as (select doc_id, list_sort(list_distinct(case when len(w) >= 3
+g as (select distinct doc_id, list_sort(list_distinct(case when len(w) >= 3
         then list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
         else [array_to_string(w, ' ')] end)) as s from w where len(w) > 0),
-r as (select s, min(doc_id) as rep, len(s) as n from g group by s),
+r as (select s, min(doc_id) as rep, count(*) as n_copies, len(s) as n from g group by s),
 t as (select rep, n, unnest(s) as x from r),
-o as (select a.rep as a, b.rep as b, a.n as na, b.n as nb, count(*) as c from t a join t b on a.x = b.x and a.rep < b.rep group by all)
-select a as doc_id_a, b as doc_id_b, c / (na + nb - c)::double as jaccard from o where c / (na + nb - c)::double >= 0.5
-union select r.rep, g.doc_id, 1.0::double from g join r using (s) where g.doc_id <> r.rep
+o as (select a.rep as a, b.rep as b, a.n as na, b.n as nb, count(*) as c from t a join t b on a.x = b.x and a.rep < b.rep group by all),
+l as (select a, b from o where c / (na + nb - c)::double >= 0.5 union all select b, a from o where c / (na + nb - c)::double >= 0.5),
+reach(a, b) as (select a, b from l union select reach.a, l.b from reach join l on reach.b = l.a),
+k as (select a as rep, min(least(a, b)) as class_id from reach group by a),
+m as (select a as rep, count(*) as n_links from l group by a)
+select g.doc_id, coalesce(k.class_id, r.rep) as class_id, coalesce(m.n_links, 0) as n_links, r.n_copies
+from g join r using (s) left join k using (rep) left join m using (rep)
+union all select distinct doc_id, doc_id, 0, 1 from documents where doc_id is not null and doc_id not in (select doc_id from g)
 """

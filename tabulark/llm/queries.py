@@ -7,7 +7,7 @@ from .shared import table
 
 
 def op1_ngram_jaccard(spark, sf_dir):
-    return ngram_join.ngram_jaccard_pairs(table(spark, sf_dir, "documents"))
+    return ngram_join.near_classes(table(spark, sf_dir, "documents"))
 
 
 def op2_pii(spark, sf_dir):

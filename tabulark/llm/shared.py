@@ -8,13 +8,16 @@ import ctypes
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ship
-from ..storage import materialize, shared_dir
+from ..storage import Scratch, delete, materialize, new_folder, shared_dir
 
-__all__ = ["ALNUM", "NOT_SPACE", "SPACES", "as_bytes", "joined", "long_windows", "materialize", "mix", "shared_dir", "table", "text_chunks", "tidied", "window_hash", "windows", "word_hashes", "words", "workers"]
+__all__ = ["ALNUM", "NOT_SPACE", "SPACES", "Scratch", "as_bytes", "delete", "joined", "long_windows", "materialize", "mix", "new_folder", "one_of_repeated", "shared_dir", "table", "text_chunks", "tidied", "window_hash", "windows", "without", "word_hashes", "words", "workers"]
 
 CHUNK_BYTES = 2 << 20
+BROADCAST_IDS = 1_000_000  # ids of rows to be removed are broadcast up to so many
+MOST_BITS = 1 << 28  # of the bitmap that parts the rows beyond
 ARROW_ROWS = 2000
 _R = np.uint64(0x9E3779B97F4A7C15)
 _R_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -64,6 +67,51 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def without(docs: DataFrame, gone: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """The rows of docs whose doc_id is not in gone (distinct doc_ids); null doc_ids stay. Up to `most` ids are
+    broadcast. Beyond, a bitmap of bounded size lets pass the rows that can't be in gone, and only the others are
+    shuffled to be joined."""
+    gone = gone.select(F.col("doc_id").alias("__gone")).where("__gone is not null")
+    many = gone.count()
+    match = docs["doc_id"] == gone["__gone"]
+    if many <= most:
+        return docs.join(F.broadcast(gone), match, "left_anti") if many else docs
+    bits = 1 << min(MOST_BITS.bit_length() - 1, max(16, int(16 * many).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(bits))
+    cells = gone.select(place("__gone").alias("b")).groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(b & 63))")).alias("v")).toArrow()
+    field = np.zeros(bits // 64, np.int64)
+    field[cells["w"].to_numpy()] = cells["v"].to_numpy()
+    held = workers(docs).sparkContext.broadcast(field.view(np.uint8))
+
+    def passing(want):
+        def run(batches):
+            for batch in batches:
+                at = batch.column(batch.num_columns - 1)
+                b = at.fill_null(0).to_numpy(zero_copy_only=False)
+                hit = ((held.value[b >> 3] >> (b & 7).astype(np.uint8)) & 1).astype(bool) & ~np.asarray(at.is_null())
+                yield batch.select(range(batch.num_columns - 1)).filter(pa.array(hit == want))
+
+        return run
+
+    marked = docs.withColumn("__place", F.when(F.col("doc_id").isNotNull(), place("doc_id")))
+    free, maybe = (marked.mapInArrow(tidied(passing(want)), docs.schema) for want in (False, True))
+    return free.union(maybe.join(gone, maybe["doc_id"] == gone["__gone"], "left_anti"))
+
+
+def one_of_repeated(docs: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """docs with one of the rows that are equal in doc_id and text (null or not). Texts are only shuffled for rows
+    whose doc_id and hash of the text are repeated."""
+    mark = F.xxhash64("text")
+    twice = docs.groupBy(F.col("doc_id").alias("__d"), mark.alias("__h")).count().where("count > 1").select("__d", "__h")
+    many = twice.count()
+    if not many:
+        return docs
+    if many <= most:
+        twice = F.broadcast(twice)
+    hit = docs["doc_id"].eqNullSafe(twice["__d"]) & (mark == twice["__h"])
+    return docs.join(twice, hit, "left_anti").union(docs.join(twice, hit, "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
 def text_chunks(column: pa.Array, target: int = CHUNK_BYTES):
     """Yield (first row, last row + 1, bytes, offsets) over runs of whole rows of about `target` bytes.
     Null rows have no bytes."""

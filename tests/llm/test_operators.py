@@ -8,7 +8,7 @@ import pytest
 from oracle import connect, rows
 from pyspark.sql import functions as F
 
-from tabulark.llm import chat_format, decontaminate, language_id, ngram_join, pii, quality_classifier, quality_rules, queries, sentencepiece_codec, substring_dedup, token_records
+from tabulark.llm import chat_format, decontaminate, language_id, ngram_join, pii, quality_classifier, quality_rules, queries, sentencepiece_codec, shared, substring_dedup, token_records
 from tabulark.storage import shared_dir
 
 SF = "/root/testdata/sf0.001"
@@ -34,7 +34,26 @@ def test_query_equals_sql(spark, con, name):
 # ---- 1
 
 
-def test_jaccard_pairs_equal_brute_force(spark, docs):
+def classes_by_brute_force(texts, t=0.5):
+    """({(doc_id, class_id, n_links, n_copies)}, {(doc_id_a, doc_id_b): jaccard} of the sets' first documents)."""
+    grams = {}
+    for i, text in set(texts):
+        w = (text or "").lower().split()
+        grams.setdefault(frozenset(tuple(w[k : k + 3]) for k in range(len(w) - 2)) if len(w) >= 3 else frozenset([tuple(w)] if w else []), set()).add(i)
+    sets = [g for g in grams if g]
+    first = {g: min(grams[g]) for g in sets}
+    near = {(a, b): len(a & b) / len(a | b) for a in sets for b in sets if a != b and len(a & b) / len(a | b) >= t}
+    root = dict(first)
+    for _ in sets:
+        for a, b in near:
+            root[a] = root[b] = min(root[a], root[b])
+    rows_ = {(i, root[g], sum(a == g for a, _ in near), len(grams[g])) for g in sets for i in grams[g]}
+    known = {r[0] for r in rows_}
+    return rows_ | {(i, i, 0, 1) for i, _ in texts if i not in known}, {(first[a], first[b]): j for (a, b), j in near.items() if first[a] < first[b]}
+
+
+@pytest.mark.parametrize("options", [{}, {"tile": 3, "broadcast_rows": 0}], ids=["whole", "tiled"])
+def test_classes_and_pairs_equal_brute_force(spark, docs, options):
     r = random.Random(1)
     base = [prose(r.randint(5, 80), r) for _ in range(12)]
     texts = []
@@ -43,36 +62,38 @@ def test_jaccard_pairs_equal_brute_force(spark, docs):
         for _ in range(r.randint(0, 5)):
             w[r.randrange(len(w))] = r.choice(WORDS)
         texts.append((i, " ".join(w)))
-    grams = {i: {tuple(t.lower().split()[k : k + 3]) for k in range(len(t.split()) - 2)} for i, t in texts}
-    want = {}
-    for a in grams:
-        for b in grams:
-            if a < b and (j := len(grams[a] & grams[b]) / len(grams[a] | grams[b])) >= 0.5:
-                want[a, b] = j
-    got = {(p.doc_id_a, p.doc_id_b): p.jaccard for p in ngram_join.ngram_jaccard_pairs(docs(texts), fragment_tokens=200).collect()}
-    first = {}
-    for i, g in grams.items():
-        first.setdefault(frozenset(g), i)
-    leaders = set(first.values())
-    want = {p: j for p, j in want.items() if (p[0] in leaders and p[1] in leaders) or (j == 1.0 and p[0] == first[frozenset(grams[p[1]])])}
-    assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in want)
-
-
-def test_every_pair_of_copies_and_their_near_documents(spark, docs):
-    r = random.Random(11)
-    w = [r.choice(WORDS) for _ in range(40)]
-    near = [*w[:-1], "other"]
-    texts = [(i, " ".join(near if i in (3, 8) else w)) for i in range(10)] + [(20, prose(30, r)), (4, " ".join(w))]
-    grams = {i: {tuple(t.split()[k : k + 3]) for k in range(len(t.split()) - 2)} for i, t in texts}
-    want = {(a, b): j for a in grams for b in grams if a < b and (j := len(grams[a] & grams[b]) / len(grams[a] | grams[b])) >= 0.5}
-    got = [(p.doc_id_a, p.doc_id_b, p.jaccard) for p in ngram_join.ngram_jaccard_pairs(docs(texts), every=True).collect()]
-    assert len(got) == len(want) == 45 and all(abs(want[a, b] - j) < 1e-9 for a, b, j in got)
+    texts += [(70, texts[3][1]), (71, texts[3][1].upper()), (72, ""), (73, None), (74, "one two"), (75, "One  two"), texts[5], (5, texts[9][1])]
+    want, pairs = classes_by_brute_force(texts)
+    got = ngram_join.near_classes(docs(texts), fragment_tokens=200, **options).collect()
+    assert len(got) == len(want) and {tuple(x) for x in got} == want and max(x.n_links for x in got) > 3
+    found, members = ngram_join.ngram_jaccard_pairs(docs(texts), fragment_tokens=200, **options)
+    found = found.collect()
+    assert len(found) == len(pairs) and all(abs(pairs[x.doc_id_a, x.doc_id_b] - x.jaccard) < 1e-9 for x in found)
+    assert {(x.doc_id, x.set_id) for x in members.collect()} >= {(3, 3), (70, 3), (71, 3), (75, 74)}
+
+
+def test_a_large_group_of_near_copies(spark, docs):
+    r = random.Random(12)
+    w = [r.choice(WORDS) for _ in range(60)]
+    texts = [(i, " ".join([*w[: i % 50], f"own{i}", *w[i % 50 :]])) for i in range(5000)] + [(6000 + i, prose(40, r)) for i in range(50)]
+    got = {x.doc_id: x for x in ngram_join.near_classes(docs(texts), tile=2000).collect()}
+    assert all(got[i].class_id == 0 and got[i].n_links == 4999 and got[i].n_copies == 1 for i in range(5000))
+    assert all(got[i].class_id == i and got[i].n_links == 0 for i in range(6000, 6050))
 
 
 def test_one_document_of_each_group_stays(spark, docs):
-    pairs = spark.createDataFrame([(1, 2, 0.9), (2, 3, 0.6), (7, 9, 1.0)], "doc_id_a long, doc_id_b long, jaccard double")
-    kept = ngram_join.keep_one_of_each(docs([(i, "t") for i in (1, 2, 3, 4, 7, 9, None)]), pairs)
-    assert sorted((r.doc_id for r in kept.collect()), key=lambda x: (x is None, x)) == [1, 4, 7, None]
+    classes = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, 4), (7, 7), (9, 7), (10, 10), (10, 7)], "doc_id long, class_id long")
+    kept = ngram_join.keep_one_of_each(docs([(i, "t") for i in (1, 2, 3, 4, 7, 9, 10, None)]), classes)
+    assert sorted((r.doc_id for r in kept.collect()), key=lambda x: (x is None, x)) == [1, 4, 7, 10, None]
+
+
+@pytest.mark.parametrize("most", [0, 100])
+def test_rows_are_removed_by_broadcast_or_by_bitmap(spark, docs, most):
+    table = docs([(i % 40, f"t{i}") for i in range(80)] + [(None, "x"), (None, None)])
+    gone = spark.createDataFrame([(i,) for i in range(0, 40, 3)] + [(77,)], "doc_id long")
+    kept = shared.without(table, gone, most).collect()
+    assert len(kept) == 2 * 26 + 2 and all(r.doc_id is None or r.doc_id % 3 for r in kept)
+    assert shared.one_of_repeated(table.union(table), most).count() == 82
 
 
 def test_repeated_rows_leave_one_row(spark, docs):
@@ -271,6 +292,95 @@ def test_short_items_are_found_whole(spark, docs):
     assert got == {(1, 1), (3, 2), (5, 3), (7, 4), (8, 5)}
 
 
+def test_long_repeated_and_tied_items(spark, docs):
+    r = random.Random(21)
+    long = prose(20_000, r)
+    w = long.split()
+    for k in range(0, 19_000, 9):
+        w[k] = "other"
+    bench = spark.createDataFrame([(1, long), (2, "three short words"), (3, prose(30, r)), (4, "la " * 40), (5, "la " * 40), (1, long)], "item_id long, text string")
+    table = docs([(1, f"{prose(500, r)} {' '.join(w)} {prose(700, r)}"), (2, f"with {prose(90, r)} three short words. {prose(60, r)}"), (3, prose(25_000, r)), (4, "la " * 41), (4, "la " * 41)])
+    got = decontaminate.contaminated(table, bench).collect()
+    assert sorted((x.doc_id, x.item_id) for x in got) == [(1, 1), (2, 2), (4, 4), (4, 5)]
+
+
+def test_search_equals_brute_force_over_all_windows(spark, docs):
+    r = random.Random(22)
+    items = [(i, prose(r.choice([8, 15, 30, 70]), r)) for i in range(12)]
+    texts = []
+    for i in range(25):
+        w = prose(r.randint(0, 120), r).split()
+        for _, text in r.sample(items, 2):
+            part = text.split()
+            for k in range(len(part)):
+                if r.random() < r.choice([0.0, 0.1, 0.3, 0.6]):
+                    part[k] = r.choice(WORDS)
+            at = r.randint(0, len(w))
+            w[at:at] = part
+        texts.append((i, " ".join(w)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = lambda **o: {(x.doc_id, x.item_id): (round(x.cosine, 3), round(x.covered, 6)) for x in decontaminate.contaminated(docs(texts), bench, **o).collect()}
+    pruned, every = found(cosine=0.2), found(cosine=0.2, prune=False)
+    assert pruned.keys() == every.keys() and len(every) > 10 and all(pruned[p][1] == every[p][1] for p in every)
+
+    def covered(item, words):
+        def common(a, b):
+            row = [0] * (len(a) + 1)
+            for y in b:
+                old = 0
+                for k, x in enumerate(a):
+                    old, row[k + 1] = row[k + 1], (old + 1 if x == y else max(row[k + 1], row[k]))
+            return row[-1]
+
+        n, best = len(item), 0.0
+        wide = (-(-n // 8) + 1) * 8
+        steps = max(1, -(-len(words) // 8) - (-(-n // 8) + 1) + 1)
+        for k in range(steps):
+            part = words[8 * k : 8 * k + wide]
+            if common(item[-8:], part) >= 4:
+                best = max(best, common(item, part) / n)
+        return best
+
+    want = {(d, i): c for d, t in texts for i, x in items if (c := covered(x.split(), t.split())) >= 0.6}
+    assert every.keys() == want.keys()  # at so low a cosine the retrieval passes them all
+    assert all(abs(every[p][1] - want[p]) < 1e-6 for p in want)
+
+
+def test_singular_vectors_equal_numpy():
+    r = np.random.default_rng(4)
+    a = r.standard_normal((400, 12)) @ np.diag(2.0 ** -np.arange(12)) @ r.standard_normal((12, 90))
+    omega = r.standard_normal((90, 20)).astype(np.float32)
+    v = decontaminate.singular_vectors((a.T @ (a @ omega)).astype(np.float32), omega, 5)
+    want = np.linalg.svd(a)[2][:5]
+    assert np.allclose(np.linalg.svd(want @ v)[1], 1, atol=1e-3) and np.allclose(np.abs((want * v.T).sum(1)), 1, atol=1e-2)
+
+
+def test_passages_and_their_products_equal_a_plain_matrix(spark):
+    r = random.Random(23)
+    import pyarrow as pa
+
+    texts = [prose(n, r) for n in (3, 32, 33, 100)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4)), pa.array(texts)], names=["doc_id", "text"])
+    out = list(decontaminate._tokenize([batch]))
+    idf = np.random.default_rng(1).random(decontaminate.TERMS).astype(np.float32)
+    omega = np.random.default_rng(2).standard_normal((decontaminate.TERMS, 7)).astype(np.float32)
+    rows_ = []
+    for _, h, at in decontaminate._runs(out[:1]):
+        for a, b in zip(at, at[1:]):
+            for k in range(a, b, decontaminate.PASSAGE):
+                row = np.zeros(decontaminate.TERMS)
+                np.add.at(row, h[k : min(b, k + decontaminate.PASSAGE)] & (decontaminate.TERMS - 1), 1)
+                row *= idf
+                rows_.append((row, (idf[h[k : min(b, k + decontaminate.PASSAGE)] & (decontaminate.TERMS - 1)] ** 2).sum()))
+    assert len(rows_) == 1 + 1 + 2 + 4
+    df = np.concatenate([np.frombuffer(x, np.int64) for x in out[1].column(3).to_pylist()])
+    assert np.array_equal(df, sum((row > 0).astype(int) for row, _ in rows_))
+    held = type("Held", (), {"value": (idf, omega)})
+    got = np.concatenate([np.frombuffer(x, np.float32) for x in next(iter(decontaminate._products(held)(out[:1]))).column(1).to_pylist()]).reshape(-1, 7)
+    want = sum(np.outer(row, row @ omega / norm) for row, norm in rows_)
+    assert np.allclose(got, want, atol=1e-3)
+
+
 def test_common_subsequence_equals_dynamic_programming():
     r = np.random.default_rng(1)
     a, b = r.integers(0, 5, (20, 9)), r.integers(0, 5, (20, 14))
@@ -365,7 +475,7 @@ def test_odd_tables(spark, docs, rows_, tmp_path):
     model = language_id.Ppm(language_id.labelled_sample(d))
     assert language_id.identify(d, model).count() == len(rows_)
     assert language_id.keep_identified(d, model).columns == d.columns
-    assert ngram_join.keep_one_of_each(d, ngram_join.ngram_jaccard_pairs(d)).count() == len(rows_)
+    assert ngram_join.keep_one_of_each(d, ngram_join.near_classes(d)).count() == max(0, len(rows_) - 1)  # one of the repeated rows
     assert {r.doc_id for r in substring_dedup.repeats(d).collect()} == ({6, 7} if rows_ else set())  # both repeat themselves
     assert decontaminate.contaminated(d, bench).count() == 0
     quality_rules.quality_filter(d).collect()
@@ -380,7 +490,7 @@ def test_pipeline_equals_its_stages_run_apart(spark):
     out = corpus_pipeline.run(spark, SF)
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = {r.doc_id for r in out.select("doc_id").collect()}
-    pairs = {(p.doc_id_a, p.doc_id_b) for p in ngram_join.ngram_jaccard_pairs(docs).collect()}
+    pairs = {(p.doc_id_a, p.doc_id_b) for p in ngram_join.ngram_jaccard_pairs(docs)[0].collect()}
     leaks = {r.doc_id for r in decontaminate.contaminated(docs, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
     assert not kept & leaks and not any(a in kept and b in kept for a, b in pairs)
     codec = sentencepiece_codec.Codec(sentencepiece_codec.read_model(sentencepiece_codec.MODEL))
