@@ -14,7 +14,7 @@ def identify_language(spark, docs, sf_dir):
 def drop_near_duplicates(spark, docs, sf_dir):
     """Of each group of documents linked by n-gram Jaccard, the one with the smallest doc_id stays;
     of rows equal in doc_id and text, null or not, one stays."""
-    return ngram_join.keep_one_of_each(docs, ngram_join.ngram_jaccard_pairs(docs)).dropDuplicates(["doc_id", "text"])
+    return ngram_join.keep_one_of_each(docs, ngram_join.near_classes(docs))
 
 
 def drop_contaminated(spark, docs, sf_dir):
