@@ -3,14 +3,11 @@
 For each language a tree of byte contexts of up to ORDER bytes is counted from labelled text. A byte is
 predicted in its longest context that was seen there; a byte new in a context costs an escape
 (method C: as many escapes as the context has different bytes), and the next shorter context is asked,
-without the bytes that the longer one had. Below the empty context all symbols are alike. With the
-statistics frozen, the code length of a byte depends on its last ORDER bytes only, so each tree is
-unfolded to a table of code lengths and a text's exact code length is a sum of look-ups.
-
-Case of ASCII letters is ignored; of the rest every byte value is told apart, in two steps. The most frequent
-bytes of the training text are a symbol each and all others share the last of SYMBOLS, which the trees
-predict; which byte of the shared symbol it is, is predicted in the same way from the byte before, then
-without it, and below that all its members are alike. A text starts in the context of blanks.
+without the bytes that the longer one had. Below the empty context all byte values are alike. With the
+statistics frozen, an escape from a context costs the same whatever follows, so a byte's code length is the
+sum of the escapes of the contexts that don't have it and its length in the first that has. The trees stay
+sparse: contexts and their bytes are keys of hash tables, shared by the languages, with a value for each.
+Case of ASCII letters is ignored; all other byte values are told apart. A text starts in a context of blanks.
 
 A text is rejected ("und") if it has no bytes, or if its rate in its best language is above that language's
 level: the HIGH quantile of the rates of the held-out documents labelled with it, plus a margin of their
@@ -19,7 +16,8 @@ less than half of them, can't lift the level further. A language of fewer than L
 documents takes the highest level of the others, or if all are, that of all together. Ties go to the
 language first in the alphabet.
 Defined results: null or blank texts are rejected with null rates; null doc_ids, repeated rows and
-other columns do not matter; every byte of a text counts. An empty training sample rejects all.
+other columns do not matter; every byte of a text counts, however long it is. An empty training sample rejects
+all; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,11 +29,12 @@ from pyspark.sql import functions as F
 
 from .shared import text_chunks, tidied, workers
 
-ORDER, SYMBOLS = 3, 40
+ORDER = 4
 TRAIN_DOCS = 300  # labelled documents per language, chosen by hash; a quarter of them is held out
 REJECT_MARGIN = 0.35  # of the held-out median rate, above the HIGH quantile of held-out rates
 HIGH, LEAST_HELD = 0.9, 8
-CHUNK = 1 << 19
+CHUNK = 1 << 18
+BYTES = 230  # byte values, without capital letters
 
 
 def labelled_sample(docs: DataFrame, per_language: int = TRAIN_DOCS, seed: int = 7):
@@ -56,65 +55,74 @@ def labelled_sample(docs: DataFrame, per_language: int = TRAIN_DOCS, seed: int =
     return out
 
 
-class Ppm:
-    """Frozen context trees of all languages, unfolded: table[context and byte classes, language] = bits, and
-    member[byte before and byte, language] = bits of a byte within the shared class, 0 for bytes of their own."""
-
-    def __init__(self, texts: dict[str, list[str]], order: int = ORDER, symbols: int = SYMBOLS, margin: float = REJECT_MARGIN):
-        self.order, self.symbols, self.langs = order, symbols, sorted(texts)
-        fold = np.arange(256)
-        fold[65:91] += 32
-        train = {k: [t.encode() for i, t in enumerate(texts[k]) if i % 4 != 3 or len(texts[k]) < 4] for k in self.langs}
-        held = {k: [t.encode() for i, t in enumerate(texts[k]) if i % 4 == 3 or len(texts[k]) < 4] for k in self.langs}
-        count = sum((np.bincount(fold[np.frombuffer(b, np.uint8)], minlength=256) for k in self.langs for b in train[k]), np.zeros(256, np.int64))
-        count[32] += 1 << 40  # a blank always has a class: texts start with it
-        top = np.argsort(-count, kind="stable")[: symbols - 1]
-        top = top[count[top] > 0]
-        self.classes = np.full(256, symbols - 1, np.int32)
-        self.classes[top] = np.arange(len(top))
-        self.classes = self.classes[fold].astype(np.int32)
-        self.table = np.zeros((symbols ** (order + 1), max(1, len(self.langs))), np.float32)
-        self.fold = fold.astype(np.uint8)
-        own = np.unique(fold)
-        self.shared = own[self.classes[own] == symbols - 1]
-        self.member = np.zeros((1 << 16, self.table.shape[1]), np.float32)
-        for i, k in enumerate(self.langs):
-            self.table[:, i] = self._unfold(train[k])
-            self.member[:, i] = self._members(train[k])
-        rates = [np.array([self.lengths(np.frombuffer(b, np.uint8), np.array([0, len(b)]))[0, i] / len(b) for b in held[k] if b]) for i, k in enumerate(self.langs)]
-        self.reject = self._levels(rates, margin)
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
 
-    @staticmethod
-    def _levels(rates, margin):
-        """Highest rate that is accepted in each language."""
 
-        def level(x):
-            return min(np.quantile(x, HIGH), (1 + margin) * np.median(x)) + margin * np.median(x)
+class _Keys:
+    """Places of codes in a sorted array: a slot for each hash, and a search among those whose slot was taken."""
+
+    def __init__(self, keys):
+        self.keys = keys if len(keys) else np.zeros(1, np.uint64) - np.uint64(1)
+        self.shift = np.uint64(64 - max(8, int(4 * len(self.keys)).bit_length()))
+        h = self._hash(self.keys)
+        self.slot = np.zeros(1 << (64 - int(self.shift)), np.int32)
+        self.slot[h[::-1]] = np.arange(len(self.keys))[::-1]
+        self.over = np.flatnonzero(self.slot[h] != np.arange(len(self.keys)))
+        self.crowded = np.zeros(len(self.slot), bool)
+        self.crowded[h[self.over]] = True
+
+    def _hash(self, code):
+        return ((code * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def find(self, code):
+        """(place, whether it is there)."""
+        h = self._hash(code)
+        at = self.slot[h]
+        there = self.keys[at] == code
+        more = np.flatnonzero(~there & self.crowded[h])
+        if len(more):
+            own = self.keys[self.over]
+            p = np.minimum(np.searchsorted(own, code[more]), len(own) - 1)
+            ok = own[p] == code[more]
+            at[more[ok]], there[more[ok]] = self.over[p[ok]], True
+        return at, there
 
-        many = [level(x) for x in rates if len(x) >= LEAST_HELD]
-        if not sum(map(len, rates)):
-            return np.zeros(max(1, len(rates)))
-        rest = max(many) if many else level(np.concatenate(rates))
-        return np.array([level(x) if len(x) >= LEAST_HELD else rest for x in rates])
 
-    def _symbols(self, raw: bytes):
-        return np.concatenate([np.full(self.order, self.classes[32]), self.classes[np.frombuffer(raw, np.uint8)]])
-
-    def _unfold(self, raws):
-        a = self.symbols
-        p = np.full((1, a), 1.0 / a)
-        for k in range(self.order + 1):
-            count = np.zeros(a ** (k + 1), np.int64)
-            for raw in raws:
-                s = self._symbols(raw)
-                m = len(s) - self.order
-                code = np.zeros(m, np.int64)
-                for j in range(k, -1, -1):
-                    code = code * a + s[self.order - j : self.order - j + m]
-                count += np.bincount(code, minlength=len(count))
-            count = count.reshape(-1, a)
-            p = self._escaped(count, np.tile(p, (count.shape[0] // p.shape[0], 1)))
-        return -np.log2(p).ravel()
+class Ppm:
+    """Frozen context trees of all languages. low[byte before and byte, language] = bits, for contexts of one byte;
+    for longer ones pairs of (keys of context and byte, bits) and (keys of contexts, bits of the escape)."""
+
+    def __init__(self, texts: dict[str, list[str]], order: int = ORDER, margin: float = REJECT_MARGIN):
+        self.order, self.langs = order, sorted(texts)
+        part = lambda k, held: [t.encode(errors="replace") for i, t in enumerate(texts[k]) if (i % 4 == 3) == held or len(texts[k]) < 4]
+        codes = [self._codes(b"".join(raws := part(k, False)), np.cumsum([0, *map(len, raws)])) for k in self.langs]
+        wide = max(1, len(self.langs))
+        self.low, self.known, self.escapes = np.zeros((1 << 16, wide)), [], []
+        for i, code in enumerate(codes):
+            p = np.full((1, 256), 1.0 / BYTES)
+            p[0, 65:91] = 0
+            for k in (0, 1):
+                count = np.bincount((code & np.uint64((1 << 8 * (k + 1)) - 1)).astype(np.int64), minlength=256 ** (k + 1)).reshape(-1, 256)
+                p = self._escaped(count, np.tile(p, (len(count) // len(p), 1)))
+            with np.errstate(divide="ignore"):
+                self.low[:, i] = -np.log2(p).ravel()
+        for k in range(2, order + 1):
+            self._grow(k, [code & np.uint64((1 << 8 * (k + 1)) - 1) for code in codes])
+        rates = [np.array([self.lengths(np.frombuffer(b, np.uint8), np.array([0, len(b)]))[0, i] / len(b) for b in part(k, True) if b]) for i, k in enumerate(self.langs)]
+        self.reject = self._levels(rates, margin)
+
+    def _codes(self, data, offsets):
+        """Each byte with the `order` bytes before it in its row, blanks before the first."""
+        data = _FOLD[np.frombuffer(data, np.uint8) if isinstance(data, bytes) else data]
+        size = np.diff(offsets)
+        at = np.arange(len(data)) + np.repeat(self.order * np.arange(1, len(size) + 1), size)
+        padded = np.full(len(data) + self.order * len(size), 32, np.uint64)
+        padded[at] = data
+        code = padded[at]
+        for j in range(1, self.order + 1):
+            code |= padded[at - j] << np.uint64(8 * j)
+        return code
 
     @staticmethod
     def _escaped(count, lower):
@@ -127,47 +135,61 @@ class Ppm:
             mine = np.where(left > 0, np.where(seen, count / (n + d), d / (n + d) * rest / left), count / n)
         return np.where(n > 0, mine, lower)
 
-    def _members(self, raws):
-        count = np.zeros(1 << 16, np.int64)
-        for raw in raws:
-            s = self.fold[np.frombuffer(b" " + raw, np.uint8)].astype(np.int64)
-            count += np.bincount(s[:-1] * 256 + s[1:], minlength=1 << 16)
-        count = count.reshape(256, 256)[:, self.shared]
-        bits = np.zeros((256, 256))
-        if len(self.shared):
-            p = self._escaped(count.sum(0, keepdims=True), np.full((1, len(self.shared)), 1.0 / len(self.shared)))
-            bits[:, self.shared] = -np.log2(self._escaped(count, np.tile(p, (256, 1))))
-        return bits.ravel()
+    def _grow(self, k, codes):
+        """Contexts of k bytes: the trees of all languages by one more level."""
+        keys = np.unique(np.concatenate([np.unique(c) for c in codes])) if codes else np.zeros(0, np.uint64)
+        contexts = np.unique(keys >> np.uint64(8))
+        of = np.searchsorted(contexts, keys >> np.uint64(8))
+        bits, escapes = self._bits(k - 1, keys & np.uint64((1 << 8 * k) - 1)).astype(np.float64), np.zeros((len(contexts), self.low.shape[1]))
+        for i, code in enumerate(codes):
+            own, count = np.unique(code, return_counts=True)
+            at = np.searchsorted(keys, own)
+            n = np.bincount(of[at], weights=count, minlength=len(contexts))
+            d = np.bincount(of[at], minlength=len(contexts))
+            left = 1 - np.bincount(of[at], weights=2.0 ** -bits[at, i], minlength=len(contexts))
+            all_seen = d >= BYTES
+            with np.errstate(divide="ignore", invalid="ignore"):
+                escapes[:, i] = np.where(d > 0, np.log2(n + d) - np.log2(d) + np.log2(np.maximum(left, 1e-12)), 0)
+            bits[:, i] += escapes[of, i]
+            bits[at, i] = np.log2(n[of[at]] + np.where(all_seen, 0, d)[of[at]]) - np.log2(count)
+        self.known.append((_Keys(keys), bits.astype(np.float32)))
+        self.escapes.append((_Keys(contexts), escapes.astype(np.float32)))
+
+    def _bits(self, k, code):
+        """Bits of the last byte of each code in each language, after the k bytes before it."""
+        if k < 2 or not len(code):
+            return self.low[(code & np.uint64(0xFFFF)).astype(np.int64)]
+        (keys, bits), (contexts, escapes) = self.known[k - 2], self.escapes[k - 2]
+        at, there = keys.find(code)
+        out = bits[at]
+        new = np.flatnonzero(~there)
+        if len(new):
+            rest = self._bits(k - 1, code[new] & np.uint64((1 << 8 * k) - 1))
+            at, there = contexts.find(code[new] >> np.uint64(8))
+            out[new] = rest + np.where(there[:, None], escapes[at], 0)
+        return out
 
     def lengths(self, data, offsets):
         """Bits of each row in each language."""
-        s = self.classes[data]
-        n = len(s)
-        a = self.symbols
-        code = s.copy()
-        begin = offsets[:-1][offsets[1:] > offsets[:-1]]
-        for j in range(1, self.order + 1):
-            back = np.empty(n, np.int32)
-            back[j:] = s[:-j] if n > j else s[:0]
-            back[: min(j, n)] = self.classes[32]
-            for q in range(j):
-                at = begin + q
-                at = at[at < n]
-                back[at] = np.where(at < self._end_of(at, offsets), self.classes[32], back[at])
-            code += back * np.int32(a**j)
-        bits = self.table[code]
-        at = np.flatnonzero(s == a - 1)
-        before = self.fold[data[np.maximum(at - 1, 0)]].astype(np.int32)
-        before[np.isin(at, begin)] = 32
-        bits[at] += self.member[before * 256 + self.fold[data[at]]]
-        total = np.zeros((n + 1, self.table.shape[1]))
-        np.cumsum(bits, axis=0, dtype=np.float64, out=total[1:])
-        return total[offsets[1:]] - total[offsets[:-1]]
+        total = np.zeros((len(offsets) - 1, self.low.shape[1]))
+        full = np.flatnonzero(np.diff(offsets) > 0)
+        if len(full) and self.langs:
+            bits = self._bits(self.order, self._codes(data, offsets))
+            total[full] = np.add.reduceat(bits, offsets[full], axis=0, dtype=np.float64)
+        return total
 
     @staticmethod
-    def _end_of(at, offsets):
-        """End of the row that begins at or before each place, if the place is within reach of its start."""
-        return offsets[np.searchsorted(offsets, at, "right")]
+    def _levels(rates, margin):
+        """Highest rate that is accepted in each language."""
+
+        def level(x):
+            return min(np.quantile(x, HIGH), (1 + margin) * np.median(x)) + margin * np.median(x)
+
+        many = [level(x) for x in rates if len(x) >= LEAST_HELD]
+        if not sum(map(len, rates)):
+            return np.zeros(max(1, len(rates)))
+        rest = max(many) if many else level(np.concatenate(rates))
+        return np.array([level(x) if len(x) >= LEAST_HELD else rest for x in rates])
 
 
 def _score(held):
