@@ -55,7 +55,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 class Scratch:
     """Tables an operator writes on its way to a result that it writes too: leaving the `with` block deletes
-    them, and lets Spark drop the shuffle files of the plans that are done."""
+    them. Spark drops the shuffle files of plans that are done when the driver's JVM collects them, so it is asked to."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, []
@@ -66,6 +66,7 @@ class Scratch:
     def write(self, df: DataFrame, tag: str) -> DataFrame:
         out, path = _written(df, tag)
         self.paths.append(path)
+        self.spark._jvm.System.gc()
         return out
 
     def drop(self):
