@@ -40,7 +40,8 @@ SKETCH_ROWS = 16
 FRAGMENT_TOKENS = 4_000_000
 HOT_RUN = 64  # sets that share a gram, from which on they are counted by matrices
 HOT_SETS, HOT_COPIES = 100_000, 50  # the sets with most copies, which only their first document sends
-BUCKETS = 4  # of pairs to be summed, for each fragment
+BUCKETS = 1  # of pairs to be summed, for each fragment
+ROUNDS = 2  # in which blocks are counted, so that the shuffled texts of one are gone when the next begins
 TILE, INNER = 16_384, 1_024  # sets of a task's tile, and of the products in it
 TASK_TEXT = 12_000_000  # characters of small blocks that are counted together
 BROADCAST_ROWS = 1_000_000  # sets to be read again are looked up in a broadcast table up to so many, else by a join
@@ -535,14 +536,18 @@ def _links(scratch: Scratch, docs: DataFrame, n: int, t: float, fragment_tokens:
     # small blocks share a task by hash; of large ones each pair of tiles is one
     task = [F.when(F.col("many").isNull(), F.pmod(F.xxhash64("block"), F.lit(tasks))).otherwise(F.lit(-1)).alias("task"), F.when(F.col("many").isNotNull(), F.col("block")).alias("big"), F.least("tile", "other").alias("ti"), F.greatest("tile", "other").alias("tj")]
     tasked = spread.select(*task, "block", "tile", "sig", "label", "text")
-    return known, rep, tasked.groupBy("task", "big", "ti", "tj").applyInArrow(_count_task(n, t, pairs), _LINKS)
+    links = None
+    for k in range(ROUNDS):
+        part = tasked.where(F.pmod(F.xxhash64("block", F.lit(5)), F.lit(ROUNDS)) == k)
+        part = scratch.write(part.groupBy("task", "big", "ti", "tj").applyInArrow(_count_task(n, t, pairs), _LINKS), "jaccard-links")
+        links = part if links is None else links.union(part)
+    return known, rep, links
 
 
 def near_classes(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, fragment_tokens: int = FRAGMENT_TOKENS, tile: int = TILE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(doc_id, class_id, n_links, n_copies) of every document and set; see the module for each edge case."""
     with Scratch(workers(docs)) as scratch:
         known, rep, links = _links(scratch, docs, n, threshold, fragment_tokens, False, tile, broadcast_rows)
-        links = scratch.write(links, "jaccard-links")
         root = components(scratch, links.select("sig_a", "sig_b"))
         many = known.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"))
         linked = links.groupBy(F.col("sig_a").alias("sig")).agg(F.sum("n").alias("n_links"))
