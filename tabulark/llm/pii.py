@@ -2,15 +2,18 @@
 
 The network is trained here, in numpy, on labelled spans: windows of corpus text without digits and
 without "@" into which generated personal data (and harmless numbers, labelled as nothing) are put at
-known places. A kind of personal data named in KINDS always has a digit or an "@", so only windows
-around those characters are run; the rest of a text can't have a label and every such character of the
-whole text has its windows. Windows overlap by half. The emission scores of all windows over a stretch
-are blended, each window counting most at its centre, and one Viterbi decoding over the whole stretch
-reconciles them.
-
-Defined results: null, empty and digitless texts have no spans. Places are counted in characters from 0.
-Spans of a document never overlap. Repeated rows give the same spans again; rows with a null doc_id are
-searched too. Other columns do not matter. Without any training text the contexts are blanks.
+known places. All of every text is run through it, in windows of WINDOW characters that overlap by
+WINDOW - STRIDE. The emission scores of the windows are blended, each counting most at its centre, and one
+Viterbi decoding over the whole text reconciles them. To be quick that decoding is done in stretches: unlabelled()
+proves where the best path of the whole text has no label, and only what lies between such places is decoded.
+
+The gates are piecewise linear and the cell's squashing is x / (1 + |x|), which vector units do quickly.
+
+Defined results: null and empty texts have no spans. Places are counted in characters from 0. Spans of a
+document never overlap; a label's tags are all of one kind, so what touches is one span. Ties go to the tag first
+in TAGS. Repeated rows give the same spans again; rows with a null doc_id are searched too. Other columns do not
+matter. Texts of any length are searched whole. Without any training text, as for empty tables, the contexts are
+blanks.
 """
 
 from __future__ import annotations
@@ -22,12 +25,13 @@ from pyspark.sql import functions as F
 
 from .shared import tidied, workers
 
-KINDS = ["EMAIL", "PHONE", "IP", "CARD", "SECRET"]
-TAGS = 1 + 2 * len(KINDS)
-WINDOW, REACH, STRIDE = 128, 64, 64
-EMBED, HIDDEN = 16, 24
-CONTEXT_DOCS, TRAIN_WINDOWS, BATCH, STEPS = 400, 6000, 72, 330  # bounds of the training sample and of the fit
+KINDS = ["EMAIL", "PHONE", "IP", "CARD", "SECRET", "SSN", "IBAN"]
+TAGS = 1 + len(KINDS)
+WINDOW, STRIDE = 512, 464
+EMBED, HIDDEN = 16, 16
+CONTEXT_DOCS, LENGTH, TRAIN_WINDOWS, BATCH, STEPS = 400, 128, 8000, 72, 600  # bounds of the training sample and of the fit
 ROWS = 1024  # windows run at once
+CHARS = 1_000_000  # of texts searched at once
 PAD, OTHER_LETTER, OTHER = 0, 1, 2
 
 _ASCII = np.full(128, OTHER)
@@ -44,57 +48,78 @@ def char_classes(text: str) -> np.ndarray:
     return out
 
 
-def _sigmoid(x):
-    return 0.5 * np.tanh(0.5 * x) + 0.5
-
-
 class Tagger:
     def __init__(self, seed: int = 11):
         r = np.random.default_rng(seed)
         h = HIDDEN
         init = lambda *s: (r.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
         self.p = {"E": init(CLASSES, EMBED) * 3, "Wo": init(2 * h, TAGS), "bo": np.zeros(TAGS, np.float32), "T": np.zeros((TAGS, TAGS), np.float32), "S": np.zeros(TAGS, np.float32)}
+        slope = np.repeat([0.25, 1], [3 * h, h]).astype(np.float32)
         for d in "fb":
-            self.p |= {f"Wx{d}": init(EMBED, 4 * h), f"Wh{d}": init(h, 4 * h), f"b{d}": np.concatenate([np.zeros(h), np.ones(h), np.zeros(2 * h)]).astype(np.float32)}
+            self.p |= {f"Wx{d}": init(EMBED, 4 * h) * slope, f"Wh{d}": init(h, 4 * h) * slope, f"b{d}": np.repeat([0.5, 0.75, 0.5, 0], h).astype(np.float32)}
 
-    def _run(self, x, d, keep):
-        """Hidden states (time, row, HIDDEN) of one direction over x (time, row)."""
+    def _run(self, x, d, keep=None, scores=None):
+        """Hidden states (time, row, HIDDEN) of one direction over x (time, row), and with keep what _back needs. With
+        scores, what each step adds to the emissions is added there, and no states are held."""
         p, h = self.p, HIDDEN
-        table = p["E"] @ p[f"Wx{d}"] + p[f"b{d}"]
-        wh, n = p[f"Wh{d}"], x.shape[1]
-        hs, cs = np.zeros((len(x) + 1, n, h), np.float32), np.zeros((n, h), np.float32)
-        saved = []
+        table = (p["E"] @ p[f"Wx{d}"] + p[f"b{d}"]).reshape(CLASSES, 4, h).transpose(1, 0, 2).copy()
+        wh, n, kind = p[f"Wh{d}"].reshape(h, 4, h).transpose(1, 0, 2).copy(), x.shape[1], table.dtype
+        wo = p["Wo"][:h] if d == "f" else p["Wo"][h:]
+        hs, c = np.zeros((1 if keep is None else len(x) + 1, n, h), kind), np.zeros((n, h), kind)
+        z, add, more = np.empty((4, n, h), kind), np.empty((4, n, h), kind), np.empty((n, h), kind)
+        gate, (i, f, o, g) = z[:3], z
         for t in range(len(x)):
-            z = table[x[t]] + hs[t] @ wh
-            gate, g = _sigmoid(z[:, : 3 * h]), np.tanh(z[:, 3 * h :])
-            before = cs
-            cs = gate[:, h : 2 * h] * before + gate[:, :h] * g
-            tc = np.tanh(cs)
-            hs[t + 1] = gate[:, 2 * h :] * tc
-            if keep:
-                saved.append((gate, g, before, tc))
-        return hs, saved
-
-    def emissions(self, x, keep=False):
-        f, sf = self._run(x, "f", keep)
-        b, sb = self._run(x[::-1], "b", keep)
+            at = 0 if keep is None else t
+            np.take(table, x[t], axis=1, out=z, mode="clip")
+            np.matmul(hs[at], wh, out=add)
+            z += add
+            if keep is not None:
+                live, before = (gate > 0) & (gate < 1), c.copy()
+            np.clip(gate, 0, 1, out=gate)
+            np.abs(g, out=more)
+            more += 1
+            g /= more
+            c *= f
+            np.multiply(i, g, out=add[0])
+            c += add[0]
+            np.abs(c, out=more)
+            more += 1
+            np.divide(c, more, out=more)
+            np.multiply(o, more, out=hs[at if keep is None else t + 1])
+            if keep is not None:
+                keep.append((np.concatenate([i, f, o], 1), g.copy(), before, more.copy(), np.concatenate(live, 1)))
+            if scores is not None:
+                scores[t] += hs[0] @ wo
+        return hs
+
+    def emissions(self, x):
+        em = np.empty((*x.shape, TAGS), self.p["bo"].dtype)
+        em[:] = self.p["bo"]
+        self._run(x, "f", scores=em)
+        self._run(x[::-1], "b", scores=em[::-1])
+        return em
+
+    def _kept(self, x):
+        sf, sb = [], []
+        f, b = self._run(x, "f", sf), self._run(x[::-1], "b", sb)
         both = np.concatenate([f[1:], b[:0:-1]], 2)
-        em = both @ self.p["Wo"] + self.p["bo"]
-        return (em, both, (f, sf), (b, sb)) if keep else em
+        return both @ self.p["Wo"] + self.p["bo"], both, (f, sf), (b, sb)
 
     def _back(self, x, d, hs, saved, dh_out, grad):
         p, h = self.p, HIDDEN
         wh = p[f"Wh{d}"]
         dh, dc = np.zeros_like(hs[0]), np.zeros_like(hs[0])
-        dtable = np.zeros((CLASSES, 4 * h), np.float32)
+        dtable = np.zeros((CLASSES, 4 * h), hs.dtype)
         for t in range(len(x) - 1, -1, -1):
-            gate, g, before, tc = saved[t]
+            gate, g, before, tc, live = saved[t]
             i, f, o = gate[:, :h], gate[:, h : 2 * h], gate[:, 2 * h :]
             dh = dh + dh_out[t]
-            dc = dc + dh * o * (1 - tc * tc)
-            dz = np.concatenate([dc * g * i * (1 - i), dc * before * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - g * g)], 1)
+            dc = dc + dh * o * (1 - np.abs(tc)) ** 2
+            dz = np.concatenate([np.concatenate([dc * g, dc * before, dh * tc], 1) * live, dc * i * (1 - np.abs(g)) ** 2], 1)
             grad[f"Wh{d}"] += hs[t].T @ dz
-            np.add.at(dtable, x[t], dz)
+            here = np.zeros((CLASSES, len(dz)), dz.dtype)
+            here[x[t], np.arange(len(dz))] = 1
+            dtable += here @ dz
             dh, dc = dz @ wh.T, dc * f
         grad[f"b{d}"] += dtable.sum(0)
         grad[f"Wx{d}"] += p["E"].T @ dtable
@@ -103,16 +128,16 @@ class Tagger:
     def loss_and_grad(self, x, y):
         """Negative log likelihood per window and its gradient. x, y: (time, row)."""
         p, (steps, n) = self.p, x.shape
-        em, both, (f, sf), (b, sb) = self.emissions(x, True)
+        em, both, (f, sf), (b, sb) = self._kept(x)
         et, rows = np.exp(p["T"]), np.arange(n)
-        alpha, scale = np.empty_like(em), np.empty((steps, n), np.float32)
+        alpha, scale = np.empty_like(em), np.empty((steps, n), em.dtype)
         for t in range(steps):
             a = p["S"] + em[t] if t == 0 else np.log(alpha[t - 1] @ et + 1e-30) + em[t]
             m = a.max(1, keepdims=True)
             s = m[:, 0] + np.log(np.exp(a - m).sum(1))
             alpha[t], scale[t] = np.exp(a - s[:, None]), s
-        beta = np.ones((n, TAGS), np.float32)
-        post, pair = np.empty_like(em), np.zeros((TAGS, TAGS), np.float32)
+        beta = np.ones((n, TAGS), em.dtype)
+        post, pair = np.empty_like(em), np.zeros((TAGS, TAGS), em.dtype)
         for t in range(steps - 1, -1, -1):
             q = alpha[t] * beta
             post[t] = q / q.sum(1, keepdims=True)
@@ -147,7 +172,7 @@ class Tagger:
             pick = r.integers(0, len(x), BATCH)
             loss, grad = self.loss_and_grad(x[pick].T, y[pick].T)
             norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
-            lr = rate * min(1.0, 2 * (1 - t / (steps + 1)))
+            lr = rate * min(1.0, 1.6 * (1 - t / (steps + 1)))
             for k, g in grad.items():
                 g = g * min(1.0, 5.0 / (norm + 1e-9))
                 m[k] = 0.9 * m[k] + 0.1 * g
@@ -155,73 +180,144 @@ class Tagger:
                 self.p[k] = (self.p[k] - lr * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
         return loss
 
-    def viterbi(self, em):
-        """Best tags of one stretch (time, TAGS)."""
-        trans = self.p["T"]
-        score, back = self.p["S"] + em[0], np.zeros(em.shape, np.int8)
-        for t in range(1, len(em)):
-            to = score[:, None] + trans
-            back[t] = to.argmax(0)
-            score = to.max(0) + em[t]
-        out = np.empty(len(em), np.int64)
-        out[-1] = score.argmax()
-        for t in range(len(em) - 1, 0, -1):
-            out[t - 1] = back[t, out[t]]
+    def viterbi(self, em, first=None, last=None):
+        """Best tags of one stretch (time, TAGS); first and last are the tags before and behind it, if any."""
+        return self.decode([em], [first is None], [last is None], first or 0, last or 0)[0]
+
+    def decode(self, ems, opens, ends, first=0, last=0):
+        """Best tags of many stretches at once, the longest first in each step. opens, ends: whether a stretch begins or
+        ends its text; else the tag before it is first and the one behind it last."""
+        trans, size = self.p["T"], np.array([len(e) for e in ems], np.int64)
+        order = np.argsort(-size, kind="stable")
+        many = len(ems)
+        grid = np.zeros((int(size.max()), many, TAGS), trans.dtype)
+        for k, at in enumerate(order):
+            grid[: size[at], k] = ems[at]
+        score = grid[0] + np.where(np.array(opens)[order][:, None], self.p["S"], trans[first])
+        back = np.zeros(grid.shape, np.int8)
+        live = np.searchsorted(-size[order], -np.arange(1, len(grid) + 1), "right")
+        for t in range(1, len(grid)):
+            n = live[t]
+            to = score[:n, :, None] + trans
+            back[t, :n] = to.argmax(1)
+            score[:n] = to.max(1) + grid[t, :n]
+        tag = np.where(np.array(ends)[order][:, None], score, score + trans[:, last]).argmax(1)
+        tags = np.zeros(grid.shape[:2], np.int8)
+        rows = np.arange(many)
+        for t in range(len(grid) - 1, -1, -1):
+            n = live[t]
+            tags[t, :n] = tag[:n]
+            tag[:n] = back[t, rows[:n], tag[:n]] if t else tag[:n]
+        out: list = [None] * many
+        for k, at in enumerate(order):
+            out[at] = tags[: size[at], k]
         return out
 
+    def unlabelled(self, em):
+        """Places where the best path over em surely has tag 0. Let gain be what a place's tag 0 is ahead of its other
+        tags, less what a transition between others can be ahead of 0 to 0. A path that has no 0 in a run of places of
+        gains above `least` would be better with 0 in all of it, if the gains add up to more than entering and leaving
+        the run can cost; and two places of tag 0 in such a run have only 0 between them. So a place of a run with
+        enough gain before it and enough behind it has tag 0."""
+        t, s = self.p["T"].astype(np.float64), self.p["S"].astype(np.float64)
+        inner = max(0.0, (t[1:, 1:] - t[0, 0]).max())
+        cost = max((t[:, 1:] - t[:, :1]).max(), (s[1:] - s[0]).max(), 0) + max((t[1:] - t[:1]).max(), 0)
+        least = max(0.0, (t[0, 1:] - t[0, 0]).max()) + max(0.0, (t[1:, 0] - t[0, 0]).max()) + 1e-3
+        best = em[:, 1]
+        for k in range(2, TAGS):
+            best = np.maximum(best, em[:, k])
+        gain = (em[:, 0] - best).astype(np.float64) - inner
+        good = gain > least
+        total = np.append(0, np.cumsum(np.where(good, gain, 0)))
+        at = np.arange(len(em))
+        begin = np.maximum.accumulate(np.where(good, -1, at)) + 1
+        end = np.minimum.accumulate(np.where(good, len(em), at)[::-1])[::-1]
+        return good & (total[at] - total[np.minimum(begin, at)] > cost + 1e-3) & (total[np.maximum(end, at + 1)] - total[at + 1] > cost + 1e-3)
+
+
+def _iban(r, digits):
+    country = ("DE", "FR", "ES", "NL", "GB", "IT", "CH")[r.integers(7)]
+    s = country + digits(2) + ("".join("ABCDEFGHKLMNPRSTUWXYZ"[i] for i in r.integers(0, 21, 4)) if country in ("NL", "GB") else "") + digits(r.integers(12, 21))
+    return " ".join(s[i : i + 4] for i in range(0, len(s), 4)) if r.random() < 0.5 else s
+
+
+def _secret(r, word, hexa):
+    """(text, whether only the words before it tell that it is one)."""
+    of = lambda n, signs: "".join(signs[i] for i in r.integers(0, len(signs), n))
+    upper, base = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    k = r.integers(0, 12)
+    if k < 6:
+        return (hexa(40), hexa(32), hexa(64), "sk-" + hexa(40), hexa(40), hexa(r.integers(24, 65)))[k], False
+    if k < 7:
+        return "AKIA" + of(16, upper), False
+    if k < 9:
+        return of(r.integers(20, 61), base) + ("", "=", "==")[r.integers(3)], False
+    if k < 10:
+        return ("ghp_", "xoxb-", "sk_live_", "glpat-")[r.integers(4)] + of(r.integers(20, 40), base[:62]), False
+    if k < 11:
+        return ("", "-", "_")[r.integers(3)].join(word() for _ in range(r.integers(2, 5))) + ("", of(2, "0123456789"), "!")[r.integers(3)], True
+    return of(r.integers(8, 17), base[:62] + "!#$%&*?"), True
+
 
 def _generated(r, words):
-    """(text, kind or None) of one made-up thing."""
+    """(text, kind or None, whether it needs a name before it) of one made-up thing."""
     digits = lambda n: "".join(map(str, r.integers(0, 10, n)))
     hexa = lambda n: "".join("0123456789abcdef"[i] for i in r.integers(0, 16, n))
     word = lambda: "".join(c for c in words[r.integers(len(words))] if c.isalpha() and c.isascii()).lower() or "the"
-    k = r.integers(0, 14)
-    if k < 2:
-        local = word() + ("", ".", "_", "-")[r.integers(4)] + (digits(r.integers(1, 4)), word())[r.integers(2)]
-        return f"{local}@{('mail', 'web', '')[r.integers(3)]}{(word(), digits(1))[r.integers(2)]}.{('example.com', 'com', 'org', 'net', 'de', word() + '.fr')[r.integers(6)]}", 0
-    if k < 4:
-        a, b, c = digits(3), digits(3), digits(4)
-        return (f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+{digits(2)} {a} {b} {c}", f"+1 ({a}) {b}-{c}")[r.integers(5)], 1
+    one = lambda *x: x[r.integers(len(x))]
+    k = r.integers(0, 20)
+    if k < 3:
+        local = word() + one("", ".", "_", "-", "+") + one(digits(r.integers(1, 4)), word(), word()[:1])
+        return f"{local}@{one('mail', 'web', '', word() + '-')}{one(word(), digits(1), word() + '.' + word())}.{one('example.com', 'com', 'org', 'net', 'de', 'io', 'co.uk', 'co.jp', 'ac.at', word()[:5] + '.fr')}", 0, False
     if k < 6:
-        return ".".join(str(i) for i in r.integers(0, 256, 4)), 2
+        a, b, c = digits(3), digits(3), digits(4)
+        return one(f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+{digits(2)} {a} {b} {c}", f"+1 ({a}) {b}-{c}", f"{a}.{b}.{c}", f"0{digits(2)}/{digits(r.integers(6, 9))}", f"+{digits(2)} {digits(2)} {digits(8)}", f"0{digits(4)} {digits(6)}", f"1-800-{b}-{c}"), 1, False
+    if k < 7:
+        return ".".join(str(i) for i in r.integers(0, 256, 4)), 2, False
     if k < 8:
-        s = "3456"[r.integers(4)] + digits(15)
-        return (s, s, " ".join(s[i : i + 4] for i in (0, 4, 8, 12)), "-".join(s[i : i + 4] for i in (0, 4, 8, 12)))[r.integers(4)], 3
+        return one(".".join(str(i) for i in (one(10, 127, 192, 172), *r.integers(0, 30, 3))), ":".join(hexa(r.integers(1, 5)) for _ in range(8)), ":".join(hexa(4) for _ in range(r.integers(1, 5))) + "::" + ":".join(hexa(r.integers(1, 5)) for _ in range(r.integers(1, 3)))), 2, False
     if k < 10:
-        return (hexa(40), hexa(32), hexa(64), "sk-" + hexa(40), hexa(40))[r.integers(5)], 4
-    n = r.integers(0, 8)
-    return (str(r.integers(0, 100)), str(r.integers(1900, 2031)), f"{r.integers(1, 32)}.{r.integers(1, 13)}.{r.integers(1990, 2031)}", f"{r.integers(1990, 2031)}-{r.integers(1, 13):02d}-{r.integers(1, 29):02d}", f"{r.integers(1, 1000)},{digits(3)}", f"v{r.integers(0, 9)}.{r.integers(0, 20)}", f"{word()}{digits(2)}", f"{r.integers(0, 1000)}.{digits(2)}")[n], None
+        s = "3456"[r.integers(4)] + digits(15)
+        return one(s, s, " ".join(s[i : i + 4] for i in (0, 4, 8, 12)), "-".join(s[i : i + 4] for i in (0, 4, 8, 12)), f"37{digits(13)}"), 3, False
+    if k < 13:
+        return (lambda x: (x[0], 4, x[1]))(_secret(r, word, hexa))
+    if k < 14:
+        return f"{digits(3)}-{digits(2)}-{digits(4)}", 5, False
+    if k < 15:
+        return _iban(r, digits), 6, False
+    return one(str(r.integers(0, 100)), str(r.integers(1900, 2031)), f"{r.integers(1, 32)}.{r.integers(1, 13)}.{r.integers(1990, 2031)}", f"{r.integers(1990, 2031)}-{r.integers(1, 13):02d}-{r.integers(1, 29):02d}", f"{r.integers(1, 1000)},{digits(3)}", f"v{r.integers(0, 9)}.{r.integers(0, 20)}", f"{word()}{digits(2)}", f"{r.integers(0, 1000)}.{digits(2)}", f"{r.integers(0, 24)}:{digits(2)}", f"{digits(5)}", f"{word()}.{word()}", f"@{word()}", f"{word()}_{word()}", f"{r.integers(1, 100)}%", "".join(word() for _ in range(3)), word().upper()), None, False
 
 
 def training_windows(texts: list[str], count: int = TRAIN_WINDOWS, seed: int = 3):
-    """(classes, tags), both (window, time), with spans at known places."""
+    """(classes, tags), both (window, time), with spans at known places; a fifth of the windows is plain text."""
     r = np.random.default_rng(seed)
     texts = [t for t in texts if t and not any(c.isdigit() or c == "@" for c in t)] or [" "]
-    x, y = np.zeros((count, WINDOW), np.int64), np.zeros((count, WINDOW), np.int64)
+    x, y = np.zeros((count, LENGTH), np.int64), np.zeros((count, LENGTH), np.int64)
     for row in range(count):
         text = texts[r.integers(len(texts))]
         words = text.split() or ["the"]
         at = r.integers(0, len(text))
-        out, tags = text[at : at + r.integers(0, 110)], []
+        plain = r.random() < 0.2
+        out = text[at : at + (LENGTH if plain else r.integers(0, 110))]
         tags = [0] * len(out)
         upper = r.random() < 0.1
-        for _ in range(r.integers(1, 4)):
-            made, kind = _generated(r, words)
+        for _ in range(0 if plain else r.integers(1, 4)):
+            made, kind, named = _generated(r, words)
             if upper:
                 made = made.upper()
-            lead = "" if not out or r.random() < 0.05 else " "
-            if kind == 4 and r.random() < 0.8:
-                lead += ("token = ", "key: ", "secret=", "password = ", "api_key=", "token = ")[r.integers(6)]
-            quote = '"' if kind == 4 and r.random() < 0.7 else ""
-            tail = quote + ("", "", "", ".", ",", "###", "!!", "$$$", "%%%", "&&&", ".\n", ")", " |")[r.integers(13)]
+            lead = "" if not out or r.random() < 0.05 else ("\n", " (", ": ", " ", " ", " ", " ", " ", " ", " ")[r.integers(10)]
+            if kind == 4 and (named or r.random() < 0.7):
+                lead += ("token = ", "key: ", "secret=", "password = ", "api_key=", "token = ", "password: ", "passwd=", "pwd: ", "secret key: ", "Authorization: Bearer ")[r.integers(11)]
+            quote = '"' if kind == 4 and r.random() < 0.5 else ""
+            tail = quote + ("", "", "", ".", ",", ", ", "###", "!!", "$$$", "%%%", "&&&", ".\n", ")", " |", ";", "?", ":")[r.integers(17)]
             at = r.integers(0, len(text))
             more = "" if r.random() < 0.25 else " " + text[at : at + r.integers(0, 60)]
-            own = [0] * len(made) if kind is None else [1 + 2 * kind] + [2 + 2 * kind] * (len(made) - 1)
+            own = [0 if kind is None else 1 + kind] * len(made)
             out += lead + quote + made + tail + more
             tags += [0] * (len(lead) + len(quote)) + own + [0] * (len(tail) + len(more))
-        cut = r.integers(0, max(1, len(out) - WINDOW + 1)) if r.random() < 0.9 else 0
-        code = char_classes(out.upper() if upper and len(out.upper()) == len(out) else out)[cut : cut + WINDOW]
-        x[row, : len(code)], y[row, : len(code)] = code, tags[cut : cut + WINDOW]
+        cut = r.integers(0, max(1, len(out) - LENGTH + 1)) if r.random() < 0.9 else 0
+        code = char_classes(out.upper() if upper and len(out.upper()) == len(out) else out)[cut : cut + LENGTH]
+        x[row, : len(code)], y[row, : len(code)] = code, tags[cut : cut + LENGTH]
     return x, y
 
 
@@ -232,66 +328,64 @@ def context_sample(docs: DataFrame, most: int = CONTEXT_DOCS, seed: int = 13) ->
     return [r["text"] for r in rows]
 
 
-_fitted: dict = {}
-
-
 def fit_tagger(texts: list[str], steps: int = STEPS) -> Tagger:
-    """The tagger for these contexts; kept for as long as the process lives."""
-    key = hash((tuple(texts), steps))
-    if key not in _fitted:
-        _fitted.clear()
-        tagger = Tagger()
-        tagger.fit(*training_windows(texts), steps)
-        _fitted[key] = tagger
-    return _fitted[key]
+    """The tagger for these contexts."""
+    tagger = Tagger()
+    tagger.fit(*training_windows(texts), steps)
+    return tagger
 
 
 _WEIGHT = (1.0 + np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1])).astype(np.float32)
 
 
-def stretches(code: np.ndarray):
-    """[lo, hi) of each stretch around digits and "@" that has to be run."""
-    hot = np.flatnonzero(((code >= 20) & (code <= 29)) | (code == 36))
-    if not len(hot):
-        return []
-    lo, hi = np.maximum(0, hot - REACH), np.minimum(len(code), hot + REACH + 1)
-    new = np.append(True, lo[1:] > hi[:-1])
-    ends = np.append(np.flatnonzero(new)[1:] - 1, len(hot) - 1)
-    return list(zip(lo[new], hi[ends]))
+def blended(tagger: Tagger, codes: list[np.ndarray]):
+    """Emission scores (time, TAGS) of every text, from windows that overlap."""
+    pieces = [(k, w, min(WINDOW, len(code) - w)) for k, code in enumerate(codes) for w in range(0, max(1, len(code) - (WINDOW - STRIDE)), STRIDE)]
+    pieces.sort(key=lambda p: -p[2])
+    total = [np.zeros((len(code), TAGS), np.float32) for code in codes]
+    weight = [np.zeros((len(code), 1), np.float32) for code in codes]
+    for at in range(0, len(pieces), ROWS):
+        part = pieces[at : at + ROWS]
+        x = np.zeros((part[0][2], len(part)), np.int64)
+        for j, (k, w, n) in enumerate(part):
+            x[:n, j] = codes[k][w : w + n]
+        em = tagger.emissions(x)
+        for j, (k, w, n) in enumerate(part):
+            total[k][w : w + n] += em[:n, j] * _WEIGHT[:n, None]
+            weight[k][w : w + n] += _WEIGHT[:n, None]
+    for em, w in zip(total, weight):
+        em /= w
+    return total
+
+
+def _tags(tagger: Tagger, ems: list[np.ndarray]):
+    """Best tags of every text: (text, first place, tags) of the stretches that may have labels."""
+    todo = []
+    for k, em in enumerate(ems):
+        open_ = ~tagger.unlabelled(em)
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], open_, [False]]).astype(np.int8)))
+        todo += [(k, int(a), int(b)) for a, b in zip(edge[::2], edge[1::2])]
+    todo.sort(key=lambda s: s[2] - s[1])
+    for at in range(0, len(todo), ROWS):
+        part = todo[at : at + ROWS]
+        for (k, a, _), tags in zip(part, tagger.decode([ems[k][a:b] for k, a, b in part], [a == 0 for _, a, _ in part], [b == len(ems[k]) for k, _, b in part])):
+            yield k, a, tags
 
 
 def find_spans(tagger: Tagger, texts: list[str | None]):
     """For each text its spans (start, end, kind)."""
     out: list = [[] for _ in texts]
-    todo = []
-    for k, text in enumerate(texts):
-        if text:
-            code = char_classes(text)
-            todo += [(k, lo, code[lo:hi]) for lo, hi in stretches(code)]
-    pieces = [(s, w) for s, (_, _, code) in enumerate(todo) for w in range(0, max(1, len(code) - STRIDE), STRIDE)]
-    total = [np.zeros((len(code), TAGS), np.float32) for _, _, code in todo]
-    weight = [np.zeros((len(code), 1), np.float32) for _, _, code in todo]
-    for at in range(0, len(pieces), ROWS):
-        part = pieces[at : at + ROWS]
-        x = np.zeros((WINDOW, len(part)), np.int64)
-        for j, (s, w) in enumerate(part):
-            code = todo[s][2][w : w + WINDOW]
-            x[: len(code), j] = code
-        em = tagger.emissions(x)
-        for j, (s, w) in enumerate(part):
-            n = min(WINDOW, len(total[s]) - w)
-            total[s][w : w + n] += em[:n, j] * _WEIGHT[:n, None]
-            weight[s][w : w + n] += _WEIGHT[:n, None]
-    for (k, lo, _), em, w in zip(todo, total, weight):
-        tags = tagger.viterbi(em / w)
-        start = None
-        for i, tag in enumerate([*tags, 0]):
-            if start is not None and (tag == 0 or tag % 2 == 1 or (tag - 1) // 2 != kind):
-                out[k].append((int(lo) + start, int(lo) + i, kind))
-                start = None
-            if start is None and tag:
-                start, kind = i, (int(tag) - 1) // 2
-    return out
+    full, lo = [k for k, text in enumerate(texts) if text], 0
+    while lo < len(full):
+        hi, held = lo, 0
+        while hi < len(full) and (hi == lo or held + len(texts[full[hi]]) <= CHARS):
+            held += len(texts[full[hi]])
+            hi += 1
+        for k, a, tags in _tags(tagger, blended(tagger, [char_classes(texts[i]) for i in full[lo:hi]])):
+            cut = np.append(np.append(0, np.flatnonzero(np.diff(tags)) + 1), len(tags))
+            out[full[lo + k]] += [(a + int(p), a + int(q), int(tags[p]) - 1) for p, q in zip(cut, cut[1:]) if tags[p]]
+        lo = hi
+    return [sorted(spans) for spans in out]
 
 
 def pii_spans(docs: DataFrame, tagger: Tagger) -> DataFrame:
@@ -306,8 +400,7 @@ def pii_spans(docs: DataFrame, tagger: Tagger) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.int32(), pa.int32()))], names=["doc_id", "kind", "start", "end"])
 
-    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").rlike("[0-9@]"))
-    return some.mapInArrow(tidied(run), "doc_id long, kind string, start int, end int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), "doc_id long, kind string, start int, end int")
 
 
 def redact(docs: DataFrame, tagger: Tagger) -> DataFrame:
