@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import NOT_SPACE, Scratch, as_bytes, delete, joined, materialize, mix, one_of_repeated, text_chunks, tidied, window_hash, windows, without, word_hashes, words, workers
+from .shared import NOT_SPACE, Scratch, as_bytes, delete, joined, materialize, mix, one_of_repeated, text_chunks, tidied, trimmed, window_hash, windows, without, word_hashes, words, workers
 
 NGRAM, THRESHOLD = 3, 0.5
 BUCKET_BITS = 18  # size of the frequency sketch: it doesn't grow with the data
@@ -41,6 +41,7 @@ FRAGMENT_TOKENS = 4_000_000
 HOT_RUN = 64  # sets that share a gram, from which on they are counted by matrices
 HOT_SETS, HOT_COPIES = 100_000, 50  # the sets with most copies, which only their first document sends
 BUCKETS = 1  # of pairs to be summed, for each fragment
+LISTED = 256
 ROUNDS = 2  # in which blocks are counted, so that the shuffled texts of one are gone when the next begins
 TILE, INNER = 16_384, 1_024  # sets of a task's tile, and of the products in it
 TASK_TEXT = 12_000_000  # characters of small blocks that are counted together
@@ -193,11 +194,12 @@ def _needs(na, nb, t):
     return np.maximum(1, over - np.maximum(_least(na, t), _least(nb, t)) + 1)
 
 
-_PAIRS = "bucket int, names binary, sizes binary, a binary, b binary, c binary"
-_PAIR_SCHEMA = pa.schema([("bucket", pa.int32()), *((x, pa.binary()) for x in ("names", "sizes", "a", "b", "c"))])
+_PAIRS = "bucket int, frequent boolean, names binary, sizes binary, a binary, b binary, c binary"
+_PAIR_SCHEMA = pa.schema([("bucket", pa.int32()), ("frequent", pa.bool_()), *((x, pa.binary()) for x in ("names", "sizes", "a", "b", "c"))])
+_ROW = 1 << 32  # in a sum, one count of n-grams that are not frequent
 
 
-def _bucketed(name, n, a, b, c, buckets):
+def _bucketed(name, n, a, b, c, buckets, frequent):
     """Pairs of places in name, packed by the bucket of a."""
     bucket = (mix(name.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)[a]
     order = np.argsort(bucket, kind="stable")
@@ -207,7 +209,7 @@ def _bucketed(name, n, a, b, c, buckets):
     for lo, hi in zip(np.append(0, cut), np.append(cut, len(bucket))):
         used, at = np.unique(np.concatenate([a[lo:hi], b[lo:hi]]), return_inverse=True)
         at = at.astype(np.int32)
-        rows.append((int(bucket[lo]), as_bytes(name[used]), as_bytes(n[used].astype(np.int32)), as_bytes(at[: hi - lo]), as_bytes(at[hi - lo :]), as_bytes(c[lo:hi].astype(np.int32))))
+        rows.append((int(bucket[lo]), frequent, as_bytes(name[used]), as_bytes(n[used].astype(np.int32)), as_bytes(at[: hi - lo]), as_bytes(at[hi - lo :]), as_bytes(c[lo:hi].astype(np.int32))))
     return rows
 
 
@@ -215,11 +217,6 @@ def _cells(table, name):
     return table.column(name).to_pylist()
 
 
-def _slack(needs, fragments):
-    """Largest count that need not be sent: of counts that add up to needs over all fragments, one is above it."""
-    return (needs - 1) // fragments
-
-
 def _pair_events(key, owner, size, t, wide):
     """(code of the pair, its count) of all pairs in the same run of keys, sizes ascending in each run."""
     i, d, held, codes, counts = np.arange(len(key)), 1, 0, [], []
@@ -259,7 +256,8 @@ def _hang_together(run, owner):
 def _count_fragment(fragments: int, t: float, buckets: int):
     """Partial overlaps of one fragment. N-grams that HOT_RUN sets or more share are counted apart: sets that hang
     together through them, as near copies do, by products of 0/1 matrices where that is less work than pair by pair.
-    A count is not sent if the pair must have a larger one somewhere; the sum adds it back as an upper bound."""
+    Of the others a count of 1 is not sent for pairs that need more than one in each fragment; the sum adds it back,
+    as an upper bound, for each fragment that sent none."""
 
     def run(table: pa.Table) -> pa.Table:
         sig, size = joined(_cells(table, "sigs"), np.int64), joined(_cells(table, "sizes"), np.int32)
@@ -286,16 +284,16 @@ def _count_fragment(fragments: int, t: float, buckets: int):
             many = np.repeat(many, many)
             wide = np.int64(len(name))
 
-            def send(a, b, c):
-                ok = c > _slack(_needs(n[a], n[b], t), fragments)
+            def send(a, b, c, frequent):
+                ok = frequent | (c > 1) | (_needs(n[a], n[b], t) <= fragments)
                 if ok.any():
-                    rows.extend(_bucketed(name, n, a[ok], b[ok], c[ok], buckets))
+                    rows.extend(_bucketed(name, n, a[ok], b[ok], c[ok], buckets, frequent))
 
-            def one_by_one(pick):
+            def one_by_one(pick, frequent):
                 for code, c in zip(*_pair_events(key[pick], owner[pick], n[owner[pick]], t, wide)):
-                    send(code // wide, code % wide, c)
+                    send(code // wide, code % wide, c, frequent)
 
-            one_by_one(many < HOT_RUN)
+            one_by_one(many < HOT_RUN, False)
             at = np.flatnonzero(many >= HOT_RUN)
             if len(at):
                 group = _hang_together(key[at], owner[at])
@@ -314,9 +312,9 @@ def _count_fragment(fragments: int, t: float, buckets: int):
                         na, nb = n[u[a : a + c.shape[0]], None], n[None, u[b : b + c.shape[1]]]
                         ok = (c > 0) & (np.minimum(na, nb) >= t * np.maximum(na, nb) - _EPS)
                         i, j = np.nonzero(np.triu(ok, 1) if a == b else ok)
-                        send(u[a + i].astype(np.int64), u[b + j].astype(np.int64), c[i, j].astype(np.int32))
+                        send(u[a + i].astype(np.int64), u[b + j].astype(np.int64), c[i, j].astype(np.int32), True)
                 if rest:
-                    one_by_one(np.sort(np.concatenate(rest)))
+                    one_by_one(np.sort(np.concatenate(rest)), True)
         return pa.table([pa.array(x, f.type) for x, f in zip(zip(*rows), _PAIR_SCHEMA)] if rows else [pa.array([], f.type) for f in _PAIR_SCHEMA], schema=_PAIR_SCHEMA)
 
     return run
@@ -324,7 +322,7 @@ def _count_fragment(fragments: int, t: float, buckets: int):
 
 def _folded(codes, counts):
     u, inv = np.unique(np.concatenate(codes), return_inverse=True)
-    return [u], [np.bincount(inv, weights=np.concatenate(counts)).astype(np.int32)]
+    return [u], [np.bincount(inv, weights=np.concatenate(counts)).astype(np.int64)]
 
 
 _NEAR = pa.schema([("sig", pa.int64()), ("others", pa.list_(pa.int64()))])
@@ -340,10 +338,10 @@ def _sum_bucket(fragments: int, t: float):
         n[at] = joined(_cells(table, "sizes"), np.int32)
         base = np.cumsum([0, *map(len, names)])
         codes, counts, held = [], [], 0
-        for k, (a, b, c) in enumerate(zip(*(_cells(table, x) for x in "abc"))):
+        for k, (frequent, a, b, c) in enumerate(zip(*(_cells(table, x) for x in ("frequent", "a", "b", "c")))):
             own = at[base[k] : base[k + 1]].astype(np.int64)
             codes.append(own[np.frombuffer(a, np.int32)] * len(every) + own[np.frombuffer(b, np.int32)])
-            counts.append(np.frombuffer(c, np.int32))
+            counts.append(np.frombuffer(c, np.int32) + np.int64(0 if frequent else _ROW))
             held += len(counts[-1])
             if held > 3_000_000:
                 codes, counts = _folded(codes, counts)
@@ -351,19 +349,21 @@ def _sum_bucket(fragments: int, t: float):
         (code,), (c,) = _folded(codes, counts)
         a, b = code // len(every), code % len(every)
         need = _needs(n[a], n[b], t)
-        ok = c + _slack(need, fragments) * fragments >= need
+        ok = c % _ROW + np.where(need > fragments, fragments - c // _ROW, 0) >= need
         a, b = a[ok], b[ok]
-        head = np.append(0, np.flatnonzero(np.diff(a)) + 1) if len(a) else np.zeros(0, np.int64)
+        head = np.flatnonzero(np.append(True, (np.diff(a) != 0))[: len(a)])
+        if len(head):  # a list has LISTED others at most
+            own = np.repeat(head, np.diff(np.append(head, len(a))))
+            head = np.flatnonzero((np.arange(len(a)) - own) % LISTED == 0)
         return pa.table([pa.array(every[a[head]]), pa.ListArray.from_arrays(pa.array(np.append(head, len(a)).astype(np.int32)), pa.array(every[b]))], schema=_NEAR)
 
     return run
 
 
 def candidates(keyed: DataFrame, fragments: int, t: float) -> DataFrame:
-    """(sig, others): for each set those above it whose summed partial overlap can still reach t."""
-    counts = 2 * fragments  # of frequent and of other n-grams
-    part = keyed.groupBy("fragment").applyInArrow(_count_fragment(counts, t, BUCKETS * fragments), _PAIRS)
-    return part.groupBy("bucket").applyInArrow(_sum_bucket(counts, t), "sig long, others array<long>")
+    """(sig, others), in lists of LISTED: for each set those above it whose summed partial overlap can still reach t."""
+    part = keyed.groupBy("fragment").applyInArrow(trimmed(_count_fragment(fragments, t, BUCKETS * fragments)), _PAIRS)
+    return part.groupBy("bucket").applyInArrow(trimmed(_sum_bucket(fragments, t)), "sig long, others array<long>")
 
 
 def _row_sets(column, n):
@@ -519,7 +519,7 @@ def _links(scratch: Scratch, docs: DataFrame, n: int, t: float, fragment_tokens:
 
     pair = found.select("sig", F.explode("others").alias("other"))
     least = pair.groupBy(F.col("other").alias("sig")).agg(F.min("sig").alias("m"))
-    label = found.select("sig").join(least, "sig", "full").select("sig", F.least("sig", "m").alias("label"))
+    label = found.select("sig").distinct().join(least, "sig", "full").select("sig", F.least("sig", "m").alias("label"))
     member = found.join(label, "sig").select("label", F.explode(F.concat("others", F.array("sig"))).alias("sig")).distinct()
     rep = known.groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
     asked = scratch.write(member.withColumnRenamed("label", "block").join(label, "sig").join(rep, "sig").select("doc_id", "sig", "label", "block"), "jaccard-asked")
@@ -539,7 +539,7 @@ def _links(scratch: Scratch, docs: DataFrame, n: int, t: float, fragment_tokens:
     links = None
     for k in range(ROUNDS):
         part = tasked.where(F.pmod(F.xxhash64("block", F.lit(5)), F.lit(ROUNDS)) == k)
-        part = scratch.write(part.groupBy("task", "big", "ti", "tj").applyInArrow(_count_task(n, t, pairs), _LINKS), "jaccard-links")
+        part = scratch.write(part.groupBy("task", "big", "ti", "tj").applyInArrow(trimmed(_count_task(n, t, pairs)), _LINKS), "jaccard-links")
         links = part if links is None else links.union(part)
     return known, rep, links
 
