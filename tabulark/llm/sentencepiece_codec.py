@@ -28,7 +28,7 @@ from .shared import text_chunks, tidied, workers
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁".encode()
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 LONG = 192  # bytes: longer units are decoded one by one
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -181,7 +181,7 @@ class Codec:
         size = np.array([len(r) for r in raws])
         for lo, hi in ((-1, 8), (8, 14), (14, 28), (28, 64), (64, LONG)):
             group = np.flatnonzero((size > lo) & (size <= hi))
-            for part in np.array_split(group, max(1, -(-len(group) * hi // 2_000_000))) if len(group) else []:
+            for part in np.array_split(group, max(1, -(-len(group) * hi // 500_000))) if len(group) else []:
                 self._group(raws, size, part, out)
         for i in np.flatnonzero(size > LONG):
             out[i] = self.viterbi_one(raws[i])

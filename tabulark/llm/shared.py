@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 from ..session import ship
 from ..storage import Scratch, delete, materialize, new_folder, shared_dir
 
-__all__ = ["ALNUM", "NOT_SPACE", "SPACES", "Scratch", "as_bytes", "delete", "joined", "long_windows", "materialize", "mix", "new_folder", "one_of_repeated", "shared_dir", "table", "text_chunks", "tidied", "window_hash", "windows", "without", "word_hashes", "words", "workers"]
+__all__ = ["ALNUM", "NOT_SPACE", "SPACES", "Scratch", "as_bytes", "delete", "joined", "long_windows", "materialize", "mix", "new_folder", "one_of_repeated", "shared_dir", "table", "text_chunks", "tidied", "trimmed", "window_hash", "windows", "without", "word_hashes", "words", "workers"]
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 BROADCAST_IDS = 1_000_000  # ids of rows to be removed are broadcast up to so many
 MOST_BITS = 1 << 28  # of the bitmap that parts the rows beyond
-ARROW_ROWS = 2000
+ARROW_ROWS = 1000
 _R = np.uint64(0x9E3779B97F4A7C15)
 _R_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0xD6E8FEB86659FD93)
@@ -56,6 +56,17 @@ def tidied(run):
     return inner
 
 
+def trimmed(run):
+    """As tidied, for a function over the table of one group."""
+
+    def inner(table):
+        out = run(table)
+        _give_back()
+        return out
+
+    return inner
+
+
 def _give_back():
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)

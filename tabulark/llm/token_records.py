@@ -34,7 +34,7 @@ from .shared import shared_dir, text_chunks, tidied, workers
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 SCHEMA = "doc_id long, shard string, offset long, length long, n_tokens int, checksum long"
 _ODD = regex.compile(r"[^\S \n]|\s\s|\s$")
 _LEADS = np.zeros(256, bool)
