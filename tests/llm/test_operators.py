@@ -476,27 +476,41 @@ def test_records_round_trip_and_checksums(spark, docs, tmp_path):
 # ---- 9
 
 
-def test_classifier_on_held_out_documents():
+def test_classifier_on_held_out_documents(spark, docs, monkeypatch):
     r = random.Random(9)
     bad = ["rot", "muck", "slime", "grime"]
     made = lambda good: prose(80, r) if good else " ".join([*prose(75, r).split(), *r.choices(bad, k=5)])
-    import pyarrow as pa
-
-    def lists(texts):
-        out = []
-        for lo, hi, data, offsets in quality_classifier.text_chunks(pa.array(texts)):
-            row, f, _ = quality_classifier.features(data, offsets)
-            out += [f[row == k].astype(np.int32) for k in range(hi - lo)]
-        return out
-
-    truth = [r.random() < 0.7 for _ in range(900)]
-    c = quality_classifier.Classifier(lists([made(True) for _ in range(400)]), lists([made(g) for g in truth]))
-    score = lambda t: np.array([c.weights[f].sum() + c.bias for f in lists(t)])
-    assert abs(c.prior - 0.7) < 0.15
-    assert (score([made(True) for _ in range(200)]) >= c.level).mean() > 0.95
-    good, poor = score([made(True) for _ in range(200)]), score([made(False) for _ in range(200)])
-    assert (good[:, None] > poor[None]).mean() > 0.95
-    assert (poor < c.level).mean() > 0.6
+    truth = [True] * 900 + [r.random() < 0.7 for _ in range(2100)]
+    share = sum(truth) / len(truth)
+    table = docs([(i, made(g)) for i, g in enumerate(truth)])
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(900)], "doc_id long, quality int, toxic int")
+    for size in (50_000, 700):
+        monkeypatch.setattr(quality_classifier, "GROUP", size)
+        with shared.Scratch(shared.workers(table)) as scratch:
+            c, _ = quality_classifier.fitted(scratch, table, labels)
+        assert c.fitted and abs(c.prior - share) < 0.15
+        out = {x.doc_id: x for x in quality_classifier.classified(table, labels).collect()}
+        good, poor = (np.array([out[i].score for i in range(900, 3000) if truth[i] == g]) for g in (True, False))
+        assert len(out) == 3000 and (good >= c.level).mean() > 0.95 and (poor < c.level).mean() > 0.6 and (good[:, None] > poor[None]).mean() > 0.95
+
+
+def test_risk_and_prior_equal_plain_formulas():
+    r = np.random.default_rng(6)
+    lists = lambda n, p: [np.flatnonzero(r.random(12) < p).astype(np.int32) for _ in range(n)]
+    p, u = lists(40, 0.5), lists(90, 0.3)
+    rows_ = lambda x: quality_classifier._Rows.of(x, np.arange(12))
+    dense = lambda x: np.array([[k in set(row.tolist()) for k in range(12)] for row in x], float)
+    prior = 0.4
+    w, b = quality_classifier._train(rows_(p), rows_(u), 12, prior, steps=3000)
+    risk = lambda w, b: prior * np.log1p(np.exp(-(dense(p) @ w + b))).mean() + max(0, np.log1p(np.exp(dense(u) @ w + b)).mean() - prior * np.log1p(np.exp(dense(p) @ w + b)).mean()) + quality_classifier.L2 / 2 * (w @ w)
+    best = risk(w, b)
+    assert all(risk(w + 0.05 * r.standard_normal(12), b + 0.05 * r.standard_normal()) > best - 1e-4 for _ in range(200))
+    assert np.allclose(rows_(u).score(w, b), dense(u) @ w + b)
+    df = np.array([[0, 5, 50, 400], [0, 5, 70, 3000]])
+    assert quality_classifier.contrasting(df[0], 500, df[1], 5000).tolist() == [2, 3]
+    scores = r.standard_normal(4000) + 4
+    mixed = np.concatenate([r.standard_normal(30_000) + 4, r.standard_normal(70_000) - 4])
+    assert abs(quality_classifier.estimate_prior(scores, np.bincount(quality_classifier._bin(mixed), minlength=quality_classifier.BINS)) - 0.3) < 0.03
 
 
 # ---- 10
