@@ -14,7 +14,7 @@ _METHODS = {
     **{n: getattr(aggregate, n) for n in ("group_by", "rollup", "cube", "statistics", "corr_matrix", "value_counts", "describe", "summary", "share_of_group")},
     **{n: getattr(ordered, n) for n in ("with_position", "rolling", "expanding", "shift", "diff", "pct_change", "rank", "percentile_rank")},
     **{n: getattr(missing, n) for n in ("isna", "notna", "dropna", "fillna")},
-    **{n: getattr(joins, n) for n in ("join", "cross_join", "merge", "salted_join")},
+    **{n: getattr(joins, n) for n in ("join", "inner_join", "left_join", "right_join", "outer_join", "cross_join", "merge", "salted_join")},
     **{n: getattr(combine, n) for n in ("append", "update", "union_distinct", "intersect", "difference", "concat_columns")},
     **{n: getattr(reshape, n) for n in ("pivot", "unstack", "melt", "stack", "transpose")},
     **{n: getattr(udf, n) for n in ("map_column", "apply_rows", "apply_columns", "filter_rows", "group_apply")},
@@ -105,10 +105,13 @@ class Frame:
         return self.stat(c, "std")
 
     def median(self, c):
-        return self.stat(c, "median")
+        return self.quantile(c, 0.5)
 
     def quantile(self, c, q):
-        return self.stat(c, "quantile", q)
+        return self.statistics(c, f"quantile:{q}").df.first()[0]
+
+    def print(self, n: int = 20) -> None:
+        self.df.show(n, truncate=False)
 
     def nunique(self, c):
         return int(self.stat(c, "nunique"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import InvalidOption, check_columns
@@ -11,6 +11,7 @@ from .select import col
 NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
 AGGS = {"sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max}
 AGG_NAMES = ("sum", "mean", "count", "min", "max")
+MOST_VALUES = 500_000  # distinct values up to which one aggregate buffer counts them for an exact quantile
 
 
 def is_number(kind: str) -> bool:
@@ -77,11 +78,57 @@ def statistic(df: DataFrame, column: str, fn: str, q: float | None = None):
     raise InvalidOption(f"no statistic {fn!r}")
 
 
+def exact_quantiles(df: DataFrame, column: str, qs: list[float], most: int | None = None) -> list:
+    """A Column for each quantile, with linear interpolation. Up to `most` distinct values one aggregate counts them.
+    Beyond, a mergeable sketch brackets the two ranks each quantile lies between, a second pass counts the
+    values below and inside, and the ranks are read from the bracket alone: counted there if its values are few, else
+    by their global positions."""
+    most = MOST_VALUES if most is None else most
+    values = df.select(col(column).cast("double").alias("v")).where("v is not null")
+    size = values.agg(F.count("*").alias("n"), F.approx_count_distinct("v").alias("d")).first()
+    if size["d"] <= most:
+        return [F.percentile(col(column).cast("double"), q) for q in qs]
+    n, wide = size["n"], 4e-4
+    asked = [x for q in qs for x in (max(0.0, q - wide), min(1.0, q + wide))]
+    ends = values.agg(F.percentile_approx("v", asked, 10_000).alias("e"), F.min("v").alias("a"), F.max("v").alias("z")).first()
+    pairs = [(ends["a"] if lo <= 0 else ends["e"][2 * i], ends["z"] if hi >= 1 else ends["e"][2 * i + 1]) for i, (lo, hi) in enumerate(zip(asked[::2], asked[1::2]))]
+    inside = [F.col("v").between(F.lit(a), F.lit(z)) for a, z in pairs]
+    many = values.agg(*[x for i, (a, _) in enumerate(pairs) for x in (F.count_if(F.col("v") < F.lit(a)).alias(f"below{i}"), F.count_if(inside[i]).alias(f"in{i}"), F.approx_count_distinct(F.when(inside[i], F.col("v"))).alias(f"d{i}"))]).first()
+    out = []
+    for i, (q, (a, z)) in enumerate(zip(qs, pairs)):
+        rank = q * (n - 1)
+        low, high = int(rank) - many[f"below{i}"], min(int(rank) + 1, n - 1) - many[f"below{i}"]
+        part, held = values.where(inside[i]), many[f"in{i}"]
+        if low < 0 or high >= held:  # the sketch missed: no bracket
+            part, held, low, high, a, z = values, n, int(rank), min(int(rank) + 1, n - 1), None, 0.0
+        if a == z:
+            out.append(F.lit(a))
+            continue
+        if a is not None and many[f"d{i}"] <= most:
+            at = low + rank - int(rank)
+            out.append(F.lit(part.agg(F.percentile("v", at / (held - 1))).first()[0]))
+        else:
+            from .ordered import with_position
+
+            two = {r["p"]: r["v"] for r in with_position(part, "v", "p").where(F.col("p").isin(low + 1, high + 1)).collect()}
+            out.append(F.lit(two[low + 1] + (two[high + 1] - two[low + 1]) * (rank - int(rank))))
+    return out
+
+
 def statistics(df: DataFrame, column: str, *names: str) -> DataFrame:
     """One row with a column for each statistic; "quantile:0.9" asks for a quantile."""
     made = []
+    exact = {n: 0.5 if n == "median" else float(n[9:]) for n in names if n == "median" or n.startswith("quantile:")}
+    if exact:
+        _number(df, column)
+        if any(not 0 <= q <= 1 for q in exact.values()):
+            raise InvalidOption("quantile needs q from 0 to 1")
+        exact = dict(zip(exact, exact_quantiles(df, column, list(exact.values()))))
     for n in names:
         fn, _, q = n.partition(":")
+        if n in exact:
+            made.append(exact[n].alias(n.replace(":", "_").replace(".", "_")))
+            continue
         made.append(statistic(df, column, fn, float(q) if q else None).alias(n.replace(":", "_").replace(".", "_")))
     return df.agg(*made)
 
@@ -130,13 +177,15 @@ def summary(df: DataFrame, columns=None) -> DataFrame:
     _number(df, *names)
     made = []
     for i, c in enumerate(names):
-        v = col(c).cast("double")
-        made += [F.count(v).cast("double").alias(f"__count{i}"), F.avg(v).alias(f"__mean{i}"), statistic(df, c, "std").alias(f"__std{i}"), F.min(v).alias(f"__min{i}"), F.max(v).alias(f"__max{i}"), F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"__q{i}")]
-    rows = F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"__{n}{i}").alias(n) for n in ("count", "mean", "std", "min", "max")], F.col(f"__q{i}")[1].alias("median"), F.col(f"__q{i}")[0].alias("q25"), F.col(f"__q{i}")[2].alias("q75")) for i, c in enumerate(names)])
+        v, quantiles = col(c).cast("double"), exact_quantiles(df, c, [0.25, 0.5, 0.75])
+        made += [F.count(v).cast("double").alias(f"__count{i}"), F.avg(v).alias(f"__mean{i}"), statistic(df, c, "std").alias(f"__std{i}"), F.min(v).alias(f"__min{i}"), F.max(v).alias(f"__max{i}"), *[x.alias(f"__q{i}_{k}") for k, x in enumerate(quantiles)]]
+    rows = F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"__{n}{i}").alias(n) for n in ("count", "mean", "std", "min", "max")], F.col(f"__q{i}_1").alias("median"), F.col(f"__q{i}_0").alias("q25"), F.col(f"__q{i}_2").alias("q75")) for i, c in enumerate(names)])
     return df.agg(*made).select(F.explode(rows).alias("r")).select("r.*")
 
 
 def share_of_group(df: DataFrame, key: str, column: str, name: str = "share") -> DataFrame:
-    """Each row's part of its group's sum."""
-    total = F.sum(col(column).cast("double")).over(Window.partitionBy(col(key)))
-    return df.withColumn(name, F.try_divide(col(column).cast("double"), total))
+    """Each row's part of its group's sum. The sums are joined back, so a group may have any number of rows."""
+    check_columns(df, key, column)
+    total = df.groupBy(col(key).alias("__key")).agg(F.sum(col(column).cast("double")).alias("__total"))
+    both = df.join(total, col(key).eqNullSafe(F.col("__key")), "left")
+    return both.withColumn(name, F.try_divide(col(column).cast("double"), F.col("__total"))).drop("__key", "__total")

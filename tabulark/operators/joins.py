@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..errors import InvalidOption, check_columns
 from .select import col
 
+MOST_CROSSED = 10_000_000
 HOW = {"inner": "inner", "left": "left", "right": "left", "outer": "full", "full": "full", "semi": "left_semi", "anti": "left_anti"}
 
 
@@ -65,7 +66,28 @@ def join(left: DataFrame, right: DataFrame, on, how: str = "inner", fill: bool =
     return out
 
 
-def cross_join(left: DataFrame, right: DataFrame) -> DataFrame:
+def inner_join(left: DataFrame, right: DataFrame, on, fill: bool = False) -> DataFrame:
+    return join(left, right, on, "inner", fill)
+
+
+def left_join(left: DataFrame, right: DataFrame, on, fill: bool = False) -> DataFrame:
+    return join(left, right, on, "left", fill)
+
+
+def right_join(left: DataFrame, right: DataFrame, on, fill: bool = False) -> DataFrame:
+    return join(left, right, on, "right", fill)
+
+
+def outer_join(left: DataFrame, right: DataFrame, on, fill: bool = False) -> DataFrame:
+    return join(left, right, on, "outer", fill)
+
+
+def cross_join(left: DataFrame, right: DataFrame, most: int | None = MOST_CROSSED) -> DataFrame:
+    """Every pair of rows. More than `most` of them are refused; None: no bound."""
+    if most is not None and not (left.isStreaming or right.isStreaming):
+        rows = left.count() * right.count()
+        if rows > most:
+            raise InvalidOption(f"the cross join has {rows} rows, more than {most}")
     return left.crossJoin(_suffixed(right, left.columns, "_right"))
 
 

@@ -111,19 +111,20 @@ def top_k(df: DataFrame, k: int, *keys, tie_break=()) -> DataFrame:
 
 
 def sample(df: DataFrame, n: int, key, seed: int = 0, replace: bool = False) -> DataFrame:
-    """n rows by the hash of `key` (columns that make rows unique) and the seed: the same rows on any
-    partitioning. With replacement, n uniform draws over positions of that hash order."""
+    """n rows by the MD5 of the seed and `key` (columns that make rows unique): the same rows on any
+    partitioning. With replacement, n uniform draws over positions of that order."""
     check_batch(df, "sample")
     keys = [key] if isinstance(key, str) else list(key)
     check_columns(df, *keys)
-    h = F.xxhash64(F.lit(seed), *[col(k) for k in keys])
+    h = F.md5(F.concat_ws("|", F.lit(str(seed)), *[col(k).cast("string") for k in keys]).cast("binary"))
     if not replace:
         return df.orderBy(h, *[col(k) for k in keys]).limit(n)
     from .ordered import with_position
 
     total = df.count()
     placed = with_position(df.withColumn("__h", h), ["__h", *keys], "__at").drop("__h")
-    draws = df.sparkSession.range(n if total else 0).select(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(max(1, total))).alias("__draw"))
+    drawn = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|draw|"), F.col("id").cast("string")).cast("binary")), 1, 15), 16, 10).cast("long")
+    draws = df.sparkSession.range(n if total else 0).select((drawn % F.lit(max(1, total))).alias("__draw"))
     return placed.join(draws, F.col("__at") - 1 == F.col("__draw")).drop("__at", "__draw")
 
 

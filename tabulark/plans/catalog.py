@@ -40,7 +40,7 @@ def r(c, digits=4):
     return f"round({c}, {digits})"
 
 
-# ---- flagship -----------------------------------------------------------------------------------
+# -- flagship
 
 
 def flagship(spark, sf_dir):
@@ -54,7 +54,7 @@ query("""select l_returnflag, l_linestatus, round(sum(l_quantity), 2) as "l_quan
   round(avg(l_discount), 2) as "l_discount_Mean", count(*)::double as "l_orderkey_Count" from lineitem where l_shipdate < timestamp '1998-09-02' group by 1, 2""")(flagship)
 
 
-# ---- projection, filters, row selection -----------------------------------------------------------
+# -- projection, filters, row selection
 
 
 @query("select o_orderkey, o_totalprice from orders")
@@ -128,12 +128,13 @@ def one_row(spark, d):
     return t(spark, d, "orders").row(7, "o_orderkey").df
 
 
-@query()
+@query("select * from orders order by md5('3|' || o_orderkey), o_orderkey limit 500")
 def sample_rows(spark, d):
     return t(spark, d, "orders").sample(500, "o_orderkey", seed=3).df
 
 
-@query()
+@query("""with p as (select *, row_number() over (order by md5('3|' || o_orderkey), o_orderkey) - 1 as place, count(*) over () as n from orders),
+  draws as (select ('0x' || substring(md5('3|draw|' || i), 1, 15))::bigint as h from range(500) x(i)) select p.* exclude (place, n) from p join draws on place = h % n""")
 def sample_with_replacement(spark, d):
     return t(spark, d, "orders").sample(500, "o_orderkey", seed=3, replace=True).df
 
@@ -165,18 +166,18 @@ def frame_info(spark, d):
     return t(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus").info().df
 
 
-# ---- joins -----------------------------------------------------------------------------------------
+# -- joins
 
 
 def _some(spark, d):
-    """Customers of the first 3 segments in the alphabet: other keys have no match."""
-    c = t(spark, d, "customer").where(F.col("c_mktsegment") <= "FURNITURE").rename({"c_custkey": "key", "c_name": "name"}).select("key", "name", "c_acctbal")
-    o = t(spark, d, "orders").where(F.col("o_totalprice") > 150000).rename({"o_custkey": "key", "o_orderpriority": "name"}).select("key", "name", "o_orderkey")
+    """All customers, and all orders under keys moved by 100: the first customers have no order, the last orders no customer."""
+    c = t(spark, d, "customer").rename({"c_custkey": "key", "c_name": "name"}).select("key", "name", "c_acctbal")
+    o = t(spark, d, "orders").with_column("key", F.col("o_custkey") + 100).rename({"o_orderpriority": "name"}).select("key", "name", "o_orderkey")
     return c, o
 
 
-_C = "(select c_custkey as key, c_name as name, c_acctbal from customer where c_mktsegment <= 'FURNITURE') c"
-_O = "(select o_custkey as key, o_orderpriority as name, o_orderkey from orders where o_totalprice > 150000) o"
+_C = "(select c_custkey as key, c_name as name, c_acctbal from customer) c"
+_O = "(select o_custkey + 100 as key, o_orderpriority as name, o_orderkey from orders) o"
 _BOTH = "c.key as key, c.name as name, c_acctbal, o.key as key_right, o.name as name_right, o_orderkey"
 
 
@@ -221,13 +222,13 @@ def join_two_keys(spark, d):
     return e.join(e.clone(), ["user_id", "event_type"]).df
 
 
-@query(f"select c.* from {_C} where key in (select o_custkey from orders where o_totalprice > 150000)")
+@query(f"select c.* from {_C} where key in (select o_custkey + 100 from orders)")
 def join_semi(spark, d):
     c, o = _some(spark, d)
     return c.join(o, "key", "semi").select("key", "name", "c_acctbal").df
 
 
-@query(f"select c.* from {_C} where key not in (select o_custkey from orders where o_totalprice > 150000)")
+@query(f"select c.* from {_C} where not exists (select 1 from orders where o_custkey + 100 = key)")
 def join_anti(spark, d):
     c, o = _some(spark, d)
     return c.join(o, "key", "anti").select("key", "name", "c_acctbal").df
@@ -282,7 +283,7 @@ def join_chain(spark, d):
     return rounded(out, "o_totalprice_Sum", digits=2)
 
 
-# ---- aggregation -------------------------------------------------------------------------------------
+# -- aggregation
 
 
 @query("""select event_type, round(sum(value), 4) as "value_Sum", round(avg(value), 4) as "value_Mean", count(*)::double as "value_Count", min(value) as "value_Min", max(value) as "value_Max" from events group by 1""")
@@ -357,7 +358,7 @@ def group_function(spark, d):
     return rounded(t(spark, d, "events").group_apply("event_type", "value", lambda s: s.max() - s.min(), "spread"), "spread")
 
 
-# ---- ordered ---------------------------------------------------------------------------------------------
+# -- ordered
 
 
 def _window_query(name, make, sql, single=False):
@@ -392,7 +393,7 @@ _window_query("rank_partitioned", lambda f: f.with_column("v", F.floor("value"))
 _window_query("percentile_rank", lambda f: f.percentile_rank("user_id", "min", name="x"), "percent_rank() over (order by user_id)")
 
 
-# ---- missing data -------------------------------------------------------------------------------------------
+# -- missing data
 
 
 def _gaps(spark, d):
@@ -447,7 +448,7 @@ def drop_missing_all(spark, d):
     return f.dropna(["value", "kind", "no_such"], how="all").df
 
 
-# ---- strings -------------------------------------------------------------------------------------------------
+# -- strings
 
 _LOW, _UP = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -471,7 +472,7 @@ def string_slice_bytes(spark, d):
     return t(spark, d, "documents").df.select("doc_id", F.hex(strings.slice_text(F.col("text"), 0, 5, "byte")).alias("head"))
 
 
-# ---- reshape and combine ---------------------------------------------------------------------------------------
+# -- reshape and combine
 
 
 @query("""select o_orderpriority, round(sum(o_totalprice) filter (o_orderstatus = 'F'), 2) as "F", round(sum(o_totalprice) filter (o_orderstatus = 'O'), 2) as "O", round(sum(o_totalprice) filter (o_orderstatus = 'P'), 2) as "P" from orders group by 1""")
@@ -485,12 +486,12 @@ def pivot_count(spark, d):
     return f.df.fillna(0.0)
 
 
-@query("""select o_orderstatus, round(avg(o_totalprice) filter (o_orderpriority like '1%'), 2) as urgent, round(max(o_totalprice) filter (o_orderpriority like '1%'), 2) as top from orders group by 1""")
+@query("select o_orderstatus, " + ", ".join(f"round({f}(o_totalprice) filter (o_orderpriority like '{k}-%'), 2) as {n}_{k}" for n, f in (("mean", "avg"), ("max", "max")) for k in range(1, 6)) + " from orders group by 1")
 def pivot_mean_max(spark, d):
     f = t(spark, d, "orders")
-    names = [f"{k}" for k in sorted(x[0] for x in f.df.select("o_orderpriority").distinct().collect()) if k.startswith("1")]
-    a, b = (f.pivot("o_orderstatus", "o_orderpriority", "o_totalprice", g, names).df.toDF("o_orderstatus", n) for g, n in (("mean", "urgent"), ("max", "top")))
-    return rounded(Frame(a.join(b, "o_orderstatus")), "urgent", "top", digits=2)
+    names = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+    a, b = (f.pivot("o_orderstatus", "o_orderpriority", "o_totalprice", g, names).df.toDF("o_orderstatus", *[f"{g}_{k[0]}" for k in names]) for g in ("mean", "max"))
+    return rounded(Frame(a.join(b, "o_orderstatus")), *[f"{g}_{k[0]}" for g in ("mean", "max") for k in names], digits=2)
 
 
 @query("""select event_type, round(sum(value) filter (user_id % 2 = 0), 4) as "false", round(sum(value) filter (user_id % 2 = 1), 4) as "true" from events group by 1""")
@@ -559,7 +560,7 @@ def set_difference(spark, d):
     return Frame(t(spark, d, "customer").df.select(F.col("c_custkey").alias("k"))).difference(o).df
 
 
-# ---- functions of the user ------------------------------------------------------------------------------------------
+# -- functions of the user
 
 
 @query("select event_id, round(value * 1.5 + 1, 4) as map_result from events")
@@ -584,7 +585,7 @@ def apply_columns(spark, d):
     return t(spark, d, "part").select("p_size", "p_retailprice").apply_columns(F.max).df
 
 
-# ---- sources and sinks: written, read again and compared -----------------------------------------------------------
+# -- sources and sinks: written, read again and compared
 
 
 def _folder(spark, tag):
@@ -626,6 +627,27 @@ def arrow_round_trip(spark, d):
     return readers.from_arrow(spark, t(spark, d, "nation").to_arrow())
 
 
+@query("select n_nationkey, n_name, n_regionkey from nation")
+def csv_from_text(spark, d):
+    return readers.csv_from_text(spark, t(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey").to_csv(sep="|"), sep="|")
+
+
+@query("select n_nationkey, case when n_regionkey > 0 then n_name end as n_name, n_regionkey + 0.5 as half from nation")
+def json_array_from_text(spark, d):
+    f = t(spark, d, "nation").with_column("n_name", F.when(F.col("n_regionkey") > 0, F.col("n_name"))).with_column("half", F.col("n_regionkey") + F.lit(0.5))
+    return readers.json_from_text(spark, f.select("n_nationkey", "n_name", "half").to_json(layout="array"), "array")
+
+
+@query("select r_regionkey, r_name from region")
+def json_columns_from_text(spark, d):
+    return readers.json_from_text(spark, t(spark, d, "region").select("r_regionkey", "r_name").to_json(layout="columns"), "columns")
+
+
+@query("select * from (values (1, 'x', null), (2, null, '2'), (3, 'y', '3,y,z'), (4, 'w', null)) v(a, b, bad)")
+def csv_ragged_rows_collected(spark, d):
+    return readers.csv_from_text(spark, "a,b\n1,  x \n\n2\n3,y,z\n4,w\n", mode="collect", corrupt_column="bad", trim=True, multiline=False).withColumn("a", F.col("a").cast("int"))
+
+
 @query("select concat_ws(',', n_nationkey, n_name, n_regionkey) as line from nation")
 def csv_text(spark, d):
     return writers.csv_lines(t(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey").df)

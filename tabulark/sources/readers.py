@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import FrameError, InvalidOption, ParseFailure
+from ..storage import put_text
 
 BOOLS = ("true", "false", "yes", "no", "1", "0", "t", "f", "y", "n")
 TRUE = ("true", "yes", "1", "t", "y")
@@ -108,6 +109,16 @@ def read_json(spark: SparkSession, path, layout: str = "lines") -> DataFrame:
     return df
 
 
+def csv_from_text(spark: SparkSession, text: str, multiline: bool = True, **options) -> DataFrame:
+    """As read_csv, of a text in the driver's memory: it is put in the shared folder as a file."""
+    return read_csv(spark, put_text(spark, text, "text.csv"), multiline=multiline, **options)
+
+
+def json_from_text(spark: SparkSession, text: str, layout: str = "lines") -> DataFrame:
+    """As read_json, of a text in the driver's memory."""
+    return read_json(spark, put_text(spark, text, "text.json"), layout)
+
+
 def read_parquet(spark: SparkSession, path) -> DataFrame:
     return spark.read.parquet(path)
 

@@ -40,6 +40,16 @@ def new_folder(spark: SparkSession, tag: str) -> str:
     return path
 
 
+def put_text(spark: SparkSession, text: str, name: str) -> str:
+    """Path of a file of that text in the shared folder."""
+    path = f"{new_folder(spark, 'text')}/{name}"
+    store, at = _store(spark, path)
+    out = store.create(at)
+    out.write(bytearray(text.encode()))
+    out.close()
+    return path
+
+
 def _written(df: DataFrame, tag: str):
     spark = df.sparkSession
     path = new_folder(spark, tag)

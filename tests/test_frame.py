@@ -4,7 +4,7 @@ import pytest
 
 from tabulark import Frame, concat
 from tabulark.errors import ColumnNotFound, FrameError, InvalidOption, OrderRequired, ParseFailure, SchemaMismatch
-from tabulark.operators import ordered
+from tabulark.operators import aggregate, ordered
 from tabulark.sources import readers
 
 
@@ -137,3 +137,58 @@ def test_filters_and_columns_reach_the_scan(spark):
 def test_rank_needs_no_single_partition_window(spark):
     df = Frame(spark.read.parquet("/root/testdata/sf0.001/events.parquet")).rank("user_id").df
     assert df.count() > 0 and all(not math.isnan(r[0]) for r in df.select("user_id_rank").limit(5).collect())
+
+
+@pytest.mark.parametrize("most", [0, 300, 10**6])
+def test_quantiles_are_exact_whatever_the_number_of_values(spark, most):
+    import random
+
+    r = random.Random(4)
+    xs = [r.gauss(0, 1) for _ in range(4000)] + [0.25] * 2000  # a third are one value
+    df = readers.from_rows(spark, [(x,) for x in xs] + [(None,)], "x double")
+    qs = [0.0, 0.1, 0.37, 0.5, 0.6, 0.61, 0.9999, 1.0]
+    got = df.agg(*[c.alias(f"q{i}") for i, c in enumerate(aggregate.exact_quantiles(df, "x", qs, most))]).first()
+    xs.sort()
+    for q, x in zip(qs, got):
+        at = q * (len(xs) - 1)
+        k = min(int(at), len(xs) - 2)
+        assert abs(x - (xs[k] + (xs[k + 1] - xs[k]) * (at - k))) < 1e-12
+
+
+def test_share_of_null_and_zero_groups(spark):
+    f = frame(spark, [("a", 1.0), ("a", 3.0), (None, 2.0), ("z", 0.0)], "k string, x double").share_of_group("k", "x")
+    assert {(r.k, r.x): r.share for r in f.collect()} == {("a", 1.0): 0.25, ("a", 3.0): 0.75, (None, 2.0): 1.0, ("z", 0.0): None}
+
+
+def test_named_joins_and_the_bound_of_the_cross_join(spark):
+    a, b = frame(spark, [(1, "x"), (2, "y")], "k bigint, v string"), frame(spark, [(2, "p"), (3, "q")], "k bigint, w string")
+    assert [len(f) for f in (a.inner_join(b, "k"), a.left_join(b, "k"), a.right_join(b, "k"), a.outer_join(b, "k"))] == [1, 2, 2, 3]
+    assert len(a.cross_join(b)) == 4 and len(a.cross_join(b, None)) == 4
+    with pytest.raises(InvalidOption):
+        a.cross_join(b, 3)
+
+
+def test_categories_and_arrow_types(spark):
+    from tabulark.sources import writers
+
+    df = readers.from_rows(spark, [(i, "ab"[i % 2], f"t{i}") for i in range(100)], "i bigint, few string, many string")
+    assert readers.categorical(df) == ["few"]
+    assert [str(f.type) for f in writers.arrow_schema(df)] == ["int64", "string", "string"]
+
+
+def test_updates_that_keep_what_is_there(spark):
+    a = frame(spark, [(1, None, 5.0), (2, "y", 6.0)], "k bigint, v string, x double")
+    b = frame(spark, [(1, "p", 7.0), (2, "q", 8.0)], "k bigint, v string, x double")
+    assert sorted(tuple(r) for r in a.update(b, "k", overwrite=False, order_by="v").collect()) == [(1, "p", 5.0), (2, "y", 6.0)]
+
+
+def test_split_of_unknown_width(spark):
+    f = frame(spark, [(1, "a b"), (2, "a"), (3, "a b c d")], "i bigint, s string").split_columns("s", " ", "s")
+    assert f.columns == ["i", "s", "s_0", "s_1", "s_2", "s_3"] and {r.s_3 for r in f.collect()} == {"", "d"}
+
+
+@pytest.mark.parametrize(("method", "want"), [("min", 1.0), ("max", 2.0), ("average", 1.5)])
+def test_percentile_ranks_of_ties(spark, method, want):
+    f = frame(spark, [(1.0,), (2.0,), (2.0,), (3.0,)], "x double").percentile_rank("x", method)
+    got = sorted(r.x_percentile_rank for r in f.collect())
+    assert got[1] == got[2] == want / 3
