@@ -6,8 +6,10 @@ masked checksum of the payload (uint32), little endian. The payload is the doc_i
 mask() says. Beside each shard lies an index of (doc_id, offset, length), so rows can be read in any
 order; the DataFrame returned is that index of all shards.
 
-A task writes its shard under a name of its own and then moves it to the name of its partition: a
-task that runs twice, or whose executor is lost, leaves the same bytes.
+A task writes its shard under a name of its own and then gives it the name of its partition and bytes. A task that
+runs twice, or whose executor is lost, so leaves the same file or, where its rows came in another order, another one:
+the index knows whose rows count, and files that it doesn't name are deleted when it is complete. The vocabulary is
+read on the driver and sent along.
 
 Defined results: a null or empty text has a frame without ids (null: n_tokens is null). A null doc_id
 is framed as -1 and stays null in the index. Repeated rows get a frame each. Empty tables give an
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import units
-from .shared import shared_dir, text_chunks, tidied, workers
+from .shared import materialize, shared_dir, text_chunks, tidied, workers
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -66,11 +68,16 @@ def read_payload(payload: bytes, dtype):
     return struct.unpack("<q", payload[:8])[0], np.frombuffer(payload[8:], dtype)
 
 
+def read_vocabulary(path: str) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()
+
+
 class Encoder:
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: bytes):
         import tiktoken
 
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(vocabulary, "rb"))}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
         self.bpe = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.newline = ranks[b"\n"]
         self.dtype = np.uint16 if max(ranks.values()) < 1 << 16 else np.uint32
@@ -121,54 +128,91 @@ class Encoder:
 _encoders: dict = {}
 
 
-def _write(folder: str, vocabulary: str):
+def _publish(store, own: str, final: str):
+    """Give a file its name; where the same task left the same file before, that one stays."""
+    there = lambda: store.get_file_info(final).type != fs.FileType.NotFound
+    if not there():
+        try:
+            return store.move(own, final)
+        except OSError:
+            if not there():
+                raise
+    store.delete_file(own)
+
+
+def _remove(store, *paths):
+    for path in paths:
+        if store.get_file_info(path).type != fs.FileType.NotFound:
+            store.delete_file(path)
+
+
+def _shards(folder: str):
+    """The store, and the paths of all files of shards in the folder."""
+    store, root = fs.FileSystem.from_uri(folder)
+    return store, [f.path for f in store.get_file_info(fs.FileSelector(root, allow_not_found=True)) if f.base_name.lstrip(".").startswith("part-")]
+
+
+def _write(folder: str, vocabulary):
     def run(batches):
-        if vocabulary not in _encoders:
-            _encoders[vocabulary] = Encoder(vocabulary)
-        coder = _encoders[vocabulary]
+        if vocabulary.value not in _encoders:
+            _encoders[vocabulary.value] = Encoder(vocabulary.value)
+        coder = _encoders[vocabulary.value]
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root)
         name = f"part-{TaskContext.get().partitionId():06d}"
         own = f"{root}/.{name}-{uuid.uuid4().hex}"
-        at, indexes = 0, []
-        with store.open_output_stream(own + ".records") as out:
-            for batch in batches:
-                doc, text = batch.column(0), batch.column(1)
-                null = np.asarray(text.is_null())
-                for lo, hi, data, offsets in text_chunks(text, CHUNK):
-                    part, begin, length, count, sums = [], [], [], [], []
-                    for d, ids in zip(doc.slice(lo, hi - lo).to_pylist(), coder.rows(data, offsets)):
-                        payload = struct.pack("<q", -1 if d is None else d) + ids.tobytes()
-                        piece = frame(payload)
-                        part.append(piece)
-                        begin.append(at)
-                        length.append(len(piece))
-                        count.append(len(ids))
-                        sums.append(mask(zlib.crc32(payload)))
-                        at += len(piece)
-                    out.write(b"".join(part))
-                    index = pa.RecordBatch.from_arrays([doc.slice(lo, hi - lo), pa.array([f"{name}.records"] * len(part)), pa.array(begin), pa.array(length), pa.array(np.array(count, np.int32), mask=null[lo:hi]), pa.array(sums, pa.int64())], names=["doc_id", "shard", "offset", "length", "n_tokens", "checksum"])
-                    indexes.append(index)
-        if indexes:
+        at, whole, rows = 0, 0, []
+        try:
+            with store.open_output_stream(own + ".records") as out:
+                for batch in batches:
+                    doc, text = batch.column(0), batch.column(1)
+                    null = np.asarray(text.is_null())
+                    for lo, hi, data, offsets in text_chunks(text, CHUNK):
+                        part, begin, length, count, sums = [], [], [], [], []
+                        for d, ids in zip(doc.slice(lo, hi - lo).to_pylist(), coder.rows(data, offsets)):
+                            payload = struct.pack("<q", -1 if d is None else d) + ids.tobytes()
+                            piece = frame(payload)
+                            part.append(piece)
+                            begin.append(at)
+                            length.append(len(piece))
+                            count.append(len(ids))
+                            sums.append(mask(zlib.crc32(payload)))
+                            at += len(piece)
+                        block = b"".join(part)
+                        whole = zlib.crc32(block, whole)
+                        out.write(block)
+                        rows.append([doc.slice(lo, hi - lo), pa.array(begin), pa.array(length), pa.array(np.array(count, np.int32), mask=null[lo:hi]), pa.array(sums, pa.int64())])
+            if not rows:
+                store.delete_file(own + ".records")
+                return
+            name = f"{name}-{whole:08x}"
+            indexes = [pa.RecordBatch.from_arrays([x[0], pa.array([f"{name}.records"] * len(x[0])), *x[1:]], names=["doc_id", "shard", "offset", "length", "n_tokens", "checksum"]) for x in rows]
             with store.open_output_stream(own + ".index") as out, pa.ipc.new_stream(out, indexes[0].schema) as w:
                 for index in indexes:
                     w.write_batch(index)
             for kind in (".records", ".index"):
-                store.move(own + kind, f"{root}/{name}{kind}")
-            yield from indexes
-        else:
-            store.delete_file(own + ".records")
+                _publish(store, own + kind, f"{root}/{name}{kind}")
+        except BaseException:
+            _remove(store, own + ".records", own + ".index")
+            raise
+        yield from indexes
 
     return run
 
 
 def write_token_records(docs: DataFrame, folder: str | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Write the shards and return their index; see the module for each edge case. folder: a URI that
-    all executors reach, by default a new one in the shared folder. The shards are written when the
-    index is computed."""
+    """Write the shards, once, and return their index; see the module for each edge case. folder: a URI that
+    all executors reach and that holds no shards yet, by default a new one in the shared folder."""
     spark = workers(docs)
     folder = folder or f"{shared_dir(spark)}/records-{uuid.uuid4().hex}"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(_write(folder, vocabulary)), SCHEMA)
+    if _shards(folder)[1]:
+        raise ValueError(f"{folder} holds shards already")
+    held = spark.sparkContext.broadcast(read_vocabulary(vocabulary))
+    index = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(_write(folder, held)), SCHEMA), "records-index")
+    named = {r["shard"].removesuffix(".records") for r in index.select("shard").distinct().collect()}  # one for each task
+    store, paths = _shards(folder)
+    _remove(store, *[p for p in paths if p.rsplit("/", 1)[-1].rsplit(".", 1)[0] not in named])
+    return index
 
 
 def read_records(folder: str, shard: str, offsets, dtype=np.uint16):

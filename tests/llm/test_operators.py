@@ -458,7 +458,7 @@ def test_records_round_trip_and_checksums(spark, docs, tmp_path):
 
     folder = "file://" + str(tmp_path)
     index = token_records.write_token_records(docs(ODD + [(9, "two words\nand a line")]), folder).collect()
-    coder = token_records.Encoder(token_records.VOCABULARY)
+    coder = token_records.Encoder(token_records.read_vocabulary(token_records.VOCABULARY))
     texts = dict(x for x in ODD if x[0]) | {9: "two words\nand a line"}
     assert isinstance(coder.bpe, tiktoken.Encoding) and len(index) == len(ODD) + 1
     for row in index:
@@ -471,6 +471,17 @@ def test_records_round_trip_and_checksums(spark, docs, tmp_path):
     raw[index[-1].offset + 14] ^= 1
     with pytest.raises(ValueError):
         token_records.unframe(bytes(raw), index[-1].offset)
+    with pytest.raises(ValueError, match="already"):
+        token_records.write_token_records(docs(ODD), folder)
+    assert token_records.write_token_records(docs([])).count() == 0
+
+
+def test_shards_of_tasks_that_ran_twice(tmp_path):
+    store, root = token_records.fs.FileSystem.from_uri("file://" + str(tmp_path))
+    for name, text in (("own", b"a"), ("again", b"a")):
+        (tmp_path / name).write_bytes(text)
+        token_records._publish(store, f"{root}/{name}", f"{root}/part-1.records")
+    assert [p.name for p in tmp_path.iterdir()] == ["part-1.records"] and (tmp_path / "part-1.records").read_bytes() == b"a"
 
 
 # ---- 9
