@@ -42,7 +42,7 @@ HOT_RUN = 64  # sets that share a gram, from which on they are counted by matric
 HOT_SETS, HOT_COPIES = 100_000, 50  # the sets with most copies, which only their first document sends
 BUCKETS = 1  # of pairs to be summed, for each fragment
 LISTED = 256
-ROUNDS = 2  # in which blocks are counted, so that the shuffled texts of one are gone when the next begins
+ROUNDS = 2  # in which pairs are summed, and then blocks are counted: what one round shuffles is gone when the next begins
 TILE, INNER = 16_384, 1_024  # sets of a task's tile, and of the products in it
 TASK_TEXT = 12_000_000  # characters of small blocks that are counted together
 BROADCAST_ROWS = 1_000_000  # sets to be read again are looked up in a broadcast table up to so many, else by a join
@@ -253,8 +253,8 @@ def _hang_together(run, owner):
         label = new
 
 
-def _count_fragment(fragments: int, t: float, buckets: int):
-    """Partial overlaps of one fragment. N-grams that HOT_RUN sets or more share are counted apart: sets that hang
+def _count_fragment(fragments: int, t: float, buckets: int, turn: int = 0, rounds: int = 1):
+    """Partial overlaps of one fragment, of the pairs whose smaller set has its turn in this round. N-grams that HOT_RUN sets or more share are counted apart: sets that hang
     together through them, as near copies do, by products of 0/1 matrices where that is less work than pair by pair.
     Of the others a count of 1 is not sent for pairs that need more than one in each fragment; the sum adds it back,
     as an upper bound, for each fragment that sent none."""
@@ -283,9 +283,10 @@ def _count_fragment(fragments: int, t: float, buckets: int):
             many = np.diff(np.append(head, len(key)))
             many = np.repeat(many, many)
             wide = np.int64(len(name))
+            own_turn = (mix(name.view(np.uint64)) >> np.uint64(40)) % np.uint64(rounds) == turn
 
             def send(a, b, c, frequent):
-                ok = frequent | (c > 1) | (_needs(n[a], n[b], t) <= fragments)
+                ok = own_turn[a] & (frequent | (c > 1) | (_needs(n[a], n[b], t) <= fragments))
                 if ok.any():
                     rows.extend(_bucketed(name, n, a[ok], b[ok], c[ok], buckets, frequent))
 
@@ -360,9 +361,10 @@ def _sum_bucket(fragments: int, t: float):
     return run
 
 
-def candidates(keyed: DataFrame, fragments: int, t: float) -> DataFrame:
-    """(sig, others), in lists of LISTED: for each set those above it whose summed partial overlap can still reach t."""
-    part = keyed.groupBy("fragment").applyInArrow(trimmed(_count_fragment(fragments, t, BUCKETS * fragments)), _PAIRS)
+def candidates(keyed: DataFrame, fragments: int, t: float, turn: int = 0, rounds: int = 1) -> DataFrame:
+    """(sig, others), in lists of LISTED: for each set those above it whose summed partial overlap can still reach t.
+    Each set has its turn in one of the rounds."""
+    part = keyed.groupBy("fragment").applyInArrow(trimmed(_count_fragment(fragments, t, BUCKETS * fragments, turn, rounds)), _PAIRS)
     return part.groupBy("bucket").applyInArrow(trimmed(_sum_bucket(fragments, t)), "sig long, others array<long>")
 
 
@@ -515,7 +517,10 @@ def _links(scratch: Scratch, docs: DataFrame, n: int, t: float, fragment_tokens:
     known = sizes.where("block is null").select("doc_id", "sig").distinct()
     hot = known.groupBy("sig").agg(F.count("*").alias("k"), F.min("doc_id").alias("first")).where(F.col("k") > HOT_COPIES).orderBy(F.desc("k"), "sig").limit(HOT_SETS).select("sig", "first").toPandas().sort_values("sig")
     keyed = base.mapInArrow(tidied(_cut(rank, pivots, n, t, (hot["sig"].to_numpy(np.int64), hot["first"].to_numpy(np.int64)))), "fragment int, sigs binary, sizes binary, lens binary, keys binary")
-    found = scratch.write(candidates(keyed, fragments, t), "jaccard-candidates")
+    found = None
+    for k in range(ROUNDS):
+        part = scratch.write(candidates(keyed, fragments, t, k, ROUNDS), "jaccard-candidates")
+        found = part if found is None else found.union(part)
 
     pair = found.select("sig", F.explode("others").alias("other"))
     least = pair.groupBy(F.col("other").alias("sig")).agg(F.min("sig").alias("m"))
