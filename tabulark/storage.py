@@ -67,6 +67,10 @@ class Scratch:
     """Tables an operator writes on its way to a result that it writes too: leaving the `with` block deletes
     them. Spark drops the shuffle files of plans that are done when the driver's JVM collects them, so it is asked to."""
 
+    def _collect(self):
+        self.spark.range(1).count()  # the listeners' queues hold the last execution and its shuffles until the next one
+        self.spark._jvm.System.gc()
+
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, []
 
@@ -76,14 +80,14 @@ class Scratch:
     def write(self, df: DataFrame, tag: str) -> DataFrame:
         out, path = _written(df, tag)
         self.paths.append(path)
-        self.spark._jvm.System.gc()
+        self._collect()
         return out
 
     def drop(self):
         for path in self.paths:
             delete(self.spark, path)
         self.paths = []
-        self.spark._jvm.System.gc()
+        self._collect()
 
     def __exit__(self, *_):
         self.drop()
