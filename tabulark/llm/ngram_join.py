@@ -6,6 +6,10 @@ fragments; every fragment counts on its own how many n-grams two sets share in i
 summed per pair. Of a set with very many copies only the first document takes part. A pair whose sum can still reach the threshold is a candidate; no pair of Jaccard >=
 threshold can be missed. A fragment knows a gram by 32 bits, which can only add candidates.
 
+Large groups of near copies would have as many pairs in every fragment as the square of their sets. They are known
+beforehand as families, by tags that many sets share: all pairs of a family are candidates, and no fragment counts
+them. Which sets make a family only decides the way that a pair becomes a candidate, never whether it is a link.
+
 Candidates are then counted in full. A set's label is the smallest set among it and its candidates; a pair
 belongs to the block of its smaller set's label, and each set goes, as its text, once to each of its blocks.
 A block counts all its pairs by products of 0/1 matrices, tile by tile, on 64-bit hashes of the n-grams, and
@@ -25,6 +29,8 @@ any length count whole. Columns other than doc_id and text are ignored.
 from __future__ import annotations
 
 import math
+import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,15 +41,17 @@ from pyspark.sql import functions as F
 from .shared import NOT_SPACE, Scratch, as_bytes, delete, joined, materialize, mix, one_of_repeated, text_chunks, tidied, trimmed, window_hash, windows, without, word_hashes, words, workers
 
 NGRAM, THRESHOLD = 3, 0.5
-BUCKET_BITS = 18  # size of the frequency sketch: it doesn't grow with the data
-SKETCH_ROWS = 16
-FRAGMENT_TOKENS = 4_000_000
+BUCKET_BITS = 23  # size of the frequency sketch: it doesn't grow with the data
+SKETCH_ROWS = 64
+FRAGMENT_TOKENS = 2_000_000
+BANDS = 6  # tags of a set
+FAMILY, FAMILY_TAGS = 64, 100_000  # sets that share a tag, from which on it makes a family; the tags with most sets
 HOT_RUN = 64  # sets that share a gram, from which on they are counted by matrices
 HOT_SETS, HOT_COPIES = 100_000, 50  # the sets with most copies, which only their first document sends
 BUCKETS = 1  # of pairs to be summed, for each fragment
 LISTED = 256
-ROUNDS = 2  # in which pairs are summed, and then blocks are counted: what one round shuffles is gone when the next begins
-TILE, INNER = 16_384, 1_024  # sets of a task's tile, and of the products in it
+ROUNDS = 2  # in which blocks are counted: what one round shuffles is gone when the next begins
+TILE, INNER = 8_192, 1_024  # sets of a task's tile, and of the products in it
 TASK_TEXT = 12_000_000  # characters of small blocks that are counted together
 BROADCAST_ROWS = 1_000_000  # sets to be read again are looked up in a broadcast table up to so many, else by a join
 _EPS = 1e-9
@@ -93,47 +101,74 @@ def _signature(g):
         return mix(np.array([g.sum(dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(len(g))], np.uint64)).astype(np.int64)[0]
 
 
+_PLACES = np.array([(k << 64) // (2 * BANDS) for k in range(2 * BANDS)], np.uint64)
+
+
+def _tags(g):
+    """BANDS hashes, each of two n-grams of a set: those that come first from fixed places on."""
+    at = g[np.searchsorted(g, _PLACES) % len(g)]
+    return mix(mix(at[::2] + np.arange(BANDS, dtype=np.uint64)) + at[1::2]).astype(np.int64)
+
+
+def _family_of(tags, families):
+    """The family of the first of the tags that has one, else 0."""
+    name, family = families
+    if not len(name):
+        return 0
+    at = np.minimum(np.searchsorted(name, tags), len(name) - 1)
+    hit = np.flatnonzero(name[at] == tags)
+    return int(family[at[hit[0]]]) if len(hit) else 0
+
+
 def _stage_sizes(n):
+    names = ["block", "doc_id", "n", "sig", "tags", "counts"]
+
     def run(batches):
         sketch = np.zeros(1 << BUCKET_BITS, np.uint32)
         for batch in batches:
             ids, out, held = batch.column(0), [], []
             for r, g in _sets(batch, n):
-                out.append((ids[r].as_py(), len(g), int(_signature(g))))
+                out.append((ids[r].as_py(), len(g), int(_signature(g)), as_bytes(_tags(g))))
                 held.append(g)
                 if len(held) == 256:
-                    sketch += np.bincount(np.concatenate(held) >> np.uint64(64 - BUCKET_BITS), minlength=len(sketch)).astype(np.uint32)
+                    np.add.at(sketch, np.concatenate(held) >> np.uint64(64 - BUCKET_BITS), np.uint32(1))
                     held = []
             if held:
-                sketch += np.bincount(np.concatenate(held) >> np.uint64(64 - BUCKET_BITS), minlength=len(sketch)).astype(np.uint32)
+                np.add.at(sketch, np.concatenate(held) >> np.uint64(64 - BUCKET_BITS), np.uint32(1))
             if out:
-                d, k, s = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(d), pa.int32()), pa.array(d, pa.int64()), pa.array(k, pa.int64()), pa.array(s, pa.int64()), pa.nulls(len(d), pa.binary())], names=["block", "doc_id", "n", "sig", "counts"])
+                d, k, s, t = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(d), pa.int32()), pa.array(d, pa.int64()), pa.array(k, pa.int64()), pa.array(s, pa.int64()), pa.array(t, pa.binary()), pa.nulls(len(d), pa.binary())], names=names)
         if sketch.any():
             parts = np.split(sketch, SKETCH_ROWS)
-            yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_ROWS), pa.int32()), *(pa.nulls(SKETCH_ROWS, pa.int64()) for _ in range(3)), pa.array([as_bytes(x) for x in parts], pa.binary())], names=["block", "doc_id", "n", "sig", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_ROWS), pa.int32()), *(pa.nulls(SKETCH_ROWS, pa.int64()) for _ in range(3)), pa.nulls(SKETCH_ROWS, pa.binary()), pa.array([zlib.compress(as_bytes(x), 1) for x in parts], pa.binary())], names=names)
 
     return run
 
 
-def _add_counts(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros((1 << BUCKET_BITS) // SKETCH_ROWS, np.int64)
-    for cell in pdf["counts"]:
-        total += np.frombuffer(cell, np.uint32)
-    return pd.DataFrame({"block": [pdf["block"].iloc[0]], "counts": [as_bytes(total)]})
+def _add_counts(usual: float):
+    """Class of each sketch bucket of a block, and the tokens of each class."""
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((1 << BUCKET_BITS) // SKETCH_ROWS, np.int64)
+        for batch in batches:
+            for cell in batch.column("counts"):
+                total += np.frombuffer(zlib.decompress(cell.as_py()), np.uint32)
+        rank = np.clip(np.floor(4 * np.log2(np.maximum(total, 1) / usual)), 0, 31).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([as_bytes(rank)], pa.binary()), pa.array([as_bytes(np.bincount(rank, weights=total, minlength=32))], pa.binary())], names=["block", "ranks", "tokens"])
+
+    return run
 
 
 def global_order(sizes: DataFrame, fragment_tokens: int):
     """(class of each sketch bucket, pivots that cut the order). The frequency of an n-gram is known up
     to its bucket, which only moves its place in the order: any total order gives the same pairs."""
-    found = sizes.where("block is not null").select("block", "counts").groupBy("block").applyInPandas(_add_counts, "block int, counts binary").collect()
-    count = np.zeros((SKETCH_ROWS, (1 << BUCKET_BITS) // SKETCH_ROWS), np.int64)
+    usual = max(1.0, (sizes.agg(F.sum("n")).first()[0] or 0) / (1 << BUCKET_BITS))
+    found = sizes.where("block is not null").select("block", "counts").groupBy("block").applyInArrow(_add_counts(usual), "block int, ranks binary, tokens binary").collect()
+    rank, tokens = np.zeros((SKETCH_ROWS, (1 << BUCKET_BITS) // SKETCH_ROWS), np.uint8), np.zeros(32)
     for row in found:
-        count[row["block"]] = np.frombuffer(row["counts"], np.int64)
-    count = count.ravel()
-    usual = max(1.0, float(np.median(count)))
-    rank = np.clip(np.floor(4 * np.log2(np.maximum(count, 1) / usual)), 0, 31).astype(np.uint8)
-    tokens = np.bincount(rank, weights=count, minlength=32)
+        rank[row["block"]] = np.frombuffer(row["ranks"], np.uint8)
+        tokens += np.frombuffer(row["tokens"])
+    rank = rank.ravel()
     pivots = []
     for c in range(32):
         parts = max(1 if c == 0 else 0, math.ceil(tokens[c] / 2 / fragment_tokens))
@@ -141,19 +176,65 @@ def global_order(sizes: DataFrame, fragment_tokens: int):
     return rank, np.array(sorted(pivots)[1:], np.uint64)
 
 
+def families_of(sizes: DataFrame):
+    """(tags in order, family of each). Tags that FAMILY sets or more share have one; it is the same where one of two
+    tags is, by half of its sets or more, on sets that have the other too."""
+    tags = sizes.where("block is null").dropDuplicates(["sig"]).select("sig", "tags")
+    each = tags.select("sig", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.substring("tags", 8 * k + 1, F.lit(8)))).alias("tag"))
+    heavy = each.groupBy("tag").count().where(F.col("count") >= FAMILY).orderBy(F.desc("count"), "tag").limit(FAMILY_TAGS).toArrow()
+    if not heavy.num_rows:
+        return np.zeros(0, np.int64), np.zeros(0, np.int32)
+    name, count = joined(heavy["tag"].to_pylist(), np.int64), heavy["count"].to_numpy()
+    order = np.argsort(name)
+    name, count = name[order], count[order]
+
+    def run(batches):
+        for batch in batches:
+            have = joined(batch.column("tags").to_pylist(), np.int64)
+            at = np.minimum(np.searchsorted(name, have), len(name) - 1)
+            at = np.where(name[at] == have, at, -1).reshape(-1, BANDS)
+            a, b = (np.concatenate(x) for x in zip(*((at[:, i], at[:, j]) for i in range(BANDS) for j in range(i))))
+            ok = (a >= 0) & (b >= 0)
+            yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], names=["a", "b"])
+
+    both = tags.mapInArrow(tidied(run), "a long, b long").groupBy("a", "b").count().where(F.col("count") >= FAMILY // 2).toArrow()
+    a, b, c = (both[x].to_numpy() for x in ("a", "b", "count"))
+    near = 2 * c >= np.minimum(count[a], count[b])
+    root = np.arange(len(name))
+    while True:
+        before = root.copy()
+        low = np.minimum(root[a[near]], root[b[near]])
+        np.minimum.at(root, a[near], low)
+        np.minimum.at(root, b[near], low)
+        root = root[root]
+        if np.array_equal(root, before):
+            return name, (root + 1).astype(np.int32)
+
+
+def _kin(families):
+    """(sig, family) of the sets that have one."""
+
+    def run(batches):
+        for batch in batches:
+            f = np.array([_family_of(np.frombuffer(x, np.int64), families) for x in batch.column("tags").to_pylist()], np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("sig").filter(pa.array(f > 0)), pa.array(f[f > 0])], names=["sig", "family"])
+
+    return run
+
+
 def _keys(g, rank):
     """Place in the global order: 5 bits of frequency class, then 59 bits of hash."""
     return (rank[g >> np.uint64(64 - BUCKET_BITS)].astype(np.uint64) << np.uint64(59)) | (g >> np.uint64(5))
 
 
-def _cut(rank, pivots, n, t, hot):
+def _cut(rank, pivots, n, t, hot, families):
     hot_sig, hot_first = hot
-    names = ["fragment", "sigs", "sizes", "lens", "keys"]
+    names = ["fragment", "sigs", "sizes", "families", "lens", "keys"]
 
-    def flush(keys, sig, size):
+    def flush(keys, sig, size, family):
         lens = np.array([len(k) for k in keys])
         owner, key = np.repeat(np.arange(len(keys)), lens), np.concatenate(keys)
-        sig, size = np.array(sig, np.int64), np.array(size, np.int32)
+        sig, size, family = np.array(sig, np.int64), np.array(size, np.int32), np.array(family, np.int32)
         piece = np.searchsorted(pivots, key, "right").astype(np.int32)
         order = np.argsort(piece, kind="stable")
         piece, owner, key = piece[order], owner[order], key[order]
@@ -162,11 +243,11 @@ def _cut(rank, pivots, n, t, hot):
         for a, b in zip(np.append(0, cut), np.append(cut, len(piece))):
             head = np.append(a, np.flatnonzero(np.diff(owner[a:b])) + a + 1)
             who = owner[head]
-            rows.append((int(piece[a]), as_bytes(sig[who]), as_bytes(size[who]), as_bytes(np.diff(np.append(head, b)).astype(np.int32)), as_bytes(key[a:b].astype(np.uint32))))
-        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), [pa.int32()] + [pa.binary()] * 4)], names=names)
+            rows.append((int(piece[a]), as_bytes(sig[who]), as_bytes(size[who]), as_bytes(family[who]), as_bytes(np.diff(np.append(head, b)).astype(np.int32)), as_bytes(key[a:b].astype(np.uint32))))
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), [pa.int32()] + [pa.binary()] * 5)], names=names)
 
     def run(batches):
-        keys, sig, size, held = [], [], [], 0
+        keys, sig, size, family, held = [], [], [], [], 0
         for batch in batches:
             for r, g in _sets(batch, n):
                 own = _signature(g)
@@ -177,12 +258,13 @@ def _cut(rank, pivots, n, t, hot):
                 keys.append(k)
                 sig.append(own)
                 size.append(len(g))
+                family.append(_family_of(_tags(g), families))
                 held += len(k)
                 if held > 1_500_000:
-                    yield flush(keys, sig, size)
-                    keys, sig, size, held = [], [], [], 0
+                    yield flush(keys, sig, size, family)
+                    keys, sig, size, family, held = [], [], [], [], 0
         if keys:
-            yield flush(keys, sig, size)
+            yield flush(keys, sig, size, family)
 
     return run
 
@@ -237,6 +319,31 @@ def _pair_events(key, owner, size, t, wide):
     return _folded(codes, counts) if codes else ([], [])
 
 
+def _apart_events(key, owner, family, size, t, wide):
+    """As _pair_events, without the pairs of one family: a run has its entries by family, those without one (0) first."""
+    fresh = np.append(True, (key[1:] != key[:-1]) | (family[1:] != family[:-1]))[: len(key)]
+    head = np.flatnonzero(fresh)
+    i, held, codes, counts = np.arange(len(key)), 0, [], []
+    j = np.where(family > 0, np.append(head[1:], len(key))[np.cumsum(fresh) - 1], i + 1)
+    while True:
+        ok = j < len(key)
+        i, j = i[ok], j[ok]
+        ok = key[i] == key[j]
+        i, j = i[ok], j[ok]
+        if not len(i):
+            break
+        ok = np.minimum(size[i], size[j]) >= t * np.maximum(size[i], size[j]) - _EPS
+        p, q = owner[i[ok]], owner[j[ok]]
+        codes.append(np.minimum(p, q).astype(np.int64) * wide + np.maximum(p, q))
+        counts.append(np.ones(len(p), np.int32))
+        held += len(p)
+        if held > 3_000_000:
+            codes, counts = _folded(codes, counts)
+            held = len(codes[0]) // 2
+        j = j + 1
+    return _folded(codes, counts) if codes else ([], [])
+
+
 def _hang_together(run, owner):
     """For each entry the smallest owner that hangs together with it through shared runs."""
     u, own = np.unique(owner, return_inverse=True)
@@ -254,13 +361,14 @@ def _hang_together(run, owner):
 
 
 def _count_fragment(fragments: int, t: float, buckets: int, turn: int = 0, rounds: int = 1):
-    """Partial overlaps of one fragment, of the pairs whose smaller set has its turn in this round. N-grams that HOT_RUN sets or more share are counted apart: sets that hang
+    """Partial overlaps of one fragment, of the pairs whose smaller set has its turn in this round and that are not of one
+    family. N-grams that sets of a family have are counted apart, and so are those that HOT_RUN sets or more share: sets that hang
     together through them, as near copies do, by products of 0/1 matrices where that is less work than pair by pair.
     Of the others a count of 1 is not sent for pairs that need more than one in each fragment; the sum adds it back,
     as an upper bound, for each fragment that sent none."""
 
     def run(table: pa.Table) -> pa.Table:
-        sig, size = joined(_cells(table, "sigs"), np.int64), joined(_cells(table, "sizes"), np.int32)
+        sig, size, family = joined(_cells(table, "sigs"), np.int64), joined(_cells(table, "sizes"), np.int32), joined(_cells(table, "families"), np.int32)
         owner, key = np.repeat(np.arange(len(sig), dtype=np.int32), joined(_cells(table, "lens"), np.int32)), joined(_cells(table, "keys"), np.uint32)
         del table
         order = np.argsort(key)
@@ -271,16 +379,23 @@ def _count_fragment(fragments: int, t: float, buckets: int, turn: int = 0, round
         del order, same, shared
         rows = []
         if len(key):
+            used = np.zeros(len(sig), bool)
+            used[owner] = True
+            owner = (np.cumsum(used) - 1)[owner]
+            sig, size, family = sig[used], size[used], family[used]
             name, doc = np.unique(sig, return_inverse=True)
-            n = np.zeros(len(name), np.int64)
+            n, of = np.zeros(len(name), np.int64), np.zeros(len(name), np.int32)
             n[doc] = size
+            of[doc] = family
             owner = doc[owner]
+            del sig, size, family, used, doc
             order = np.lexsort((owner, n[owner], key))
             key, owner = key[order], owner[order]
             fresh = np.append(True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1]))
             key, owner = key[fresh], owner[fresh]
             head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             many = np.diff(np.append(head, len(key)))
+            kin = np.repeat(np.maximum.reduceat(of[owner], head) > 0, many)
             many = np.repeat(many, many)
             wide = np.int64(len(name))
             own_turn = (mix(name.view(np.uint64)) >> np.uint64(40)) % np.uint64(rounds) == turn
@@ -294,8 +409,13 @@ def _count_fragment(fragments: int, t: float, buckets: int, turn: int = 0, round
                 for code, c in zip(*_pair_events(key[pick], owner[pick], n[owner[pick]], t, wide)):
                     send(code // wide, code % wide, c, frequent)
 
-            one_by_one(many < HOT_RUN, False)
-            at = np.flatnonzero(many >= HOT_RUN)
+            if kin.any():
+                at = np.flatnonzero(kin)
+                at = at[np.lexsort((of[owner[at]], key[at]))]
+                for code, c in zip(*_apart_events(key[at], owner[at], of[owner[at]], n[owner[at]], t, wide)):
+                    send(code // wide, code % wide, c, True)
+            one_by_one(~kin & (many < HOT_RUN), False)
+            at = np.flatnonzero(~kin & (many >= HOT_RUN))
             if len(at):
                 group = _hang_together(key[at], owner[at])
                 order = np.argsort(group, kind="stable")
@@ -511,21 +631,21 @@ def _sets_of(docs: DataFrame) -> DataFrame:
 def _links(scratch: Scratch, docs: DataFrame, n: int, t: float, fragment_tokens: int, pairs: bool, tile: int, broadcast_rows: int):
     """(doc_id, sig) of every document with n-grams; links as _count_task gives them."""
     base = _sets_of(docs)
-    sizes = scratch.write(base.mapInArrow(tidied(_stage_sizes(n)), "block int, doc_id long, n long, sig long, counts binary"), "jaccard-sizes")
+    sizes = scratch.write(base.mapInArrow(tidied(_stage_sizes(n)), "block int, doc_id long, n long, sig long, tags binary, counts binary"), "jaccard-sizes")
     rank, pivots = global_order(sizes, fragment_tokens)
     fragments = len(pivots) + 1
     known = sizes.where("block is null").select("doc_id", "sig").distinct()
     hot = known.groupBy("sig").agg(F.count("*").alias("k"), F.min("doc_id").alias("first")).where(F.col("k") > HOT_COPIES).orderBy(F.desc("k"), "sig").limit(HOT_SETS).select("sig", "first").toPandas().sort_values("sig")
-    keyed = base.mapInArrow(tidied(_cut(rank, pivots, n, t, (hot["sig"].to_numpy(np.int64), hot["first"].to_numpy(np.int64)))), "fragment int, sigs binary, sizes binary, lens binary, keys binary")
-    found = None
-    for k in range(ROUNDS):
-        part = scratch.write(candidates(keyed, fragments, t, k, ROUNDS), "jaccard-candidates")
-        found = part if found is None else found.union(part)
-
-    pair = found.select("sig", F.explode("others").alias("other"))
-    least = pair.groupBy(F.col("other").alias("sig")).agg(F.min("sig").alias("m"))
-    label = found.select("sig").distinct().join(least, "sig", "full").select("sig", F.least("sig", "m").alias("label"))
-    member = found.join(label, "sig").select("label", F.explode(F.concat("others", F.array("sig"))).alias("sig")).distinct()
+    families = families_of(sizes)
+    keyed = base.mapInArrow(tidied(_cut(rank, pivots, n, t, (hot["sig"].to_numpy(np.int64), hot["first"].to_numpy(np.int64)), families)), "fragment int, sigs binary, sizes binary, families binary, lens binary, keys binary")
+    found = scratch.write(candidates(keyed, fragments, t), "jaccard-candidates")
+    kin = scratch.write(sizes.where("block is null").select("sig", "tags").mapInArrow(tidied(_kin(families)), "sig long, family int").distinct(), "jaccard-families")
+
+    first = kin.join(kin.groupBy("family").agg(F.min("sig").alias("m")), "family")
+    low = found.select("sig", F.col("sig").alias("m")).union(found.select(F.explode("others").alias("sig"), F.col("sig").alias("m"))).union(first.select("sig", "m"))
+    label = low.groupBy("sig").agg(F.min("m").alias("label"))
+    of_family = kin.join(label, "sig").select("family", "label").distinct().join(kin, "family").select("label", "sig")
+    member = found.join(label, "sig").select("label", F.explode(F.concat("others", F.array("sig"))).alias("sig")).union(of_family).distinct()
     rep = known.groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
     asked = scratch.write(member.withColumnRenamed("label", "block").join(label, "sig").join(rep, "sig").select("doc_id", "sig", "label", "block"), "jaccard-asked")
 

@@ -81,6 +81,43 @@ def test_a_large_group_of_near_copies(spark, docs):
     assert all(got[i].class_id == i and got[i].n_links == 0 for i in range(6000, 6050))
 
 
+def test_pairs_of_a_family_are_not_sent(spark, docs, monkeypatch):
+    """Before, each fragment counted all pairs of a group of near copies, and all of them were summed."""
+    r = random.Random(14)
+    w, sent, write = [r.choice(WORDS) for _ in range(120)], [], ngram_join.Scratch.write
+
+    def watched(self, df, tag):
+        out = write(self, df, tag)
+        if tag == "jaccard-candidates":
+            sent.append(out.agg(F.sum(F.size("others"))).first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(ngram_join.Scratch, "write", watched)
+    texts = [(i, " ".join([*w[: i % 110], f"own{i}", *w[i % 110 :]])) for i in range(600)] + [(1000 + i, " ".join(w[:80] + [f"{i}x{k}" for k in range(25)])) for i in range(3)]
+    got = {x.doc_id: x for x in ngram_join.near_classes(docs(texts), fragment_tokens=5000).collect()}
+    assert all(got[i].class_id == 0 and got[i].n_links >= 599 for i in range(600)) and got[1000].class_id == 0
+    assert sum(sent) < 0.1 * 600 * 599 / 2
+
+
+@pytest.mark.parametrize("least", [2, 4])
+def test_classes_with_families_equal_brute_force(spark, docs, monkeypatch, least):
+    r = random.Random(15)
+    base = [prose(r.randint(20, 60), r) for _ in range(4)]
+    texts = []
+    for i in range(120):
+        w = r.choice(base).split()
+        for _ in range(r.randint(0, 9)):
+            w[r.randrange(len(w))] = r.choice(WORDS)
+        texts.append((i, " ".join(w)))
+    monkeypatch.setattr(ngram_join, "FAMILY", least)
+    found, seen = ngram_join.families_of, []
+    monkeypatch.setattr(ngram_join, "families_of", lambda sizes: seen.append(found(sizes)) or seen[-1])
+    want, pairs = classes_by_brute_force(texts)
+    got = ngram_join.near_classes(docs(texts), fragment_tokens=400).collect()
+    assert {tuple(x) for x in got} == want and len(got) == len(want) and len(set(seen[0][1].tolist())) > 1
+    assert {(x.doc_id_a, x.doc_id_b) for x in ngram_join.ngram_jaccard_pairs(docs(texts), fragment_tokens=400, tile=5)[0].collect()} == set(pairs)
+
+
 def test_one_document_of_each_group_stays(spark, docs):
     classes = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, 4), (7, 7), (9, 7), (10, 10), (10, 7)], "doc_id long, class_id long")
     kept = ngram_join.keep_one_of_each(docs([(i, "t") for i in (1, 2, 3, 4, 7, 9, 10, None)]), classes)
