@@ -99,6 +99,26 @@ def test_pairs_of_a_family_are_not_sent(spark, docs, monkeypatch):
     assert sum(sent) < 0.1 * 600 * 599 / 2
 
 
+def test_second_stage_grows_with_the_sets_of_a_group(spark, docs, monkeypatch):
+    import corpus_pipeline
+
+    r = random.Random(16)
+    w, sent, write = [r.choice(WORDS) for _ in range(120)], [], ngram_join.Scratch.write
+
+    def watched(self, df, tag):
+        out = write(self, df, tag)
+        if tag == "jaccard-candidates":
+            sent[-1] += out.agg(F.sum(F.size("others"))).first()[0] or 0
+        return out
+
+    monkeypatch.setattr(ngram_join.Scratch, "write", watched)
+    for n in (300, 600):
+        sent.append(0)
+        kept = corpus_pipeline.drop_near_duplicates(spark, docs([(i, " ".join([*w[: i % 110], f"own{i}", *w[i % 110 :]])) for i in range(n)]), SF)
+        assert [x.doc_id for x in kept.collect()] == [0]
+    assert sent[1] <= 3 * max(n, sent[0])
+
+
 @pytest.mark.parametrize("least", [2, 4])
 def test_classes_with_families_equal_brute_force(spark, docs, monkeypatch, least):
     r = random.Random(15)
