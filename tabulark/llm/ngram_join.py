@@ -50,6 +50,7 @@ HOT_RUN = 64  # sets that share a gram, from which on they are counted by matric
 HOT_SETS, HOT_COPIES = 100_000, 50  # the sets with most copies, which only their first document sends
 BUCKETS = 1  # of pairs to be summed, for each fragment
 LISTED = 256
+HELD = 3_000_000  # pairs that are held before equal ones are summed
 ROUNDS = 2  # in which blocks are counted: what one round shuffles is gone when the next begins
 TILE, INNER = 8_192, 1_024  # sets of a task's tile, and of the products in it
 TASK_TEXT = 12_000_000  # characters of small blocks that are counted together
@@ -299,9 +300,34 @@ def _cells(table, name):
     return table.column(name).to_pylist()
 
 
-def _pair_events(key, owner, size, t, wide):
-    """(code of the pair, its count) of all pairs in the same run of keys, sizes ascending in each run."""
-    i, d, held, codes, counts = np.arange(len(key)), 1, 0, [], []
+class _Sums:
+    """Counts of pairs by code. Equal codes are summed when as many came as are held already, HELD at least, so each
+    count is summed anew a few times, however many pairs are apart. With split, sums of HELD pairs or more are given
+    out before all have come: a pair may then be given out several times."""
+
+    def __init__(self, split: bool):
+        self.split, self.codes, self.counts, self.kept, self.fresh = split, [], [], 0, 0
+
+    def add(self, codes, counts):
+        """(codes, counts) to be given out now, none or one of them."""
+        self.codes.append(codes)
+        self.counts.append(counts)
+        self.fresh += len(codes)
+        if self.fresh > max(HELD, self.kept):
+            self.codes, self.counts = _folded(self.codes, self.counts)
+            self.kept, self.fresh = len(self.codes[0]), 0
+            if self.split and self.kept > HELD:
+                yield from self.rest()
+
+    def rest(self):
+        if self.codes:
+            yield from zip(*_folded(self.codes, self.counts))
+        self.codes, self.counts, self.kept, self.fresh = [], [], 0, 0
+
+
+def _pair_events(key, owner, size, t, wide, split):
+    """(code of the pair, its count) of all pairs in the same run of keys, sizes ascending in each run; split: see _Sums."""
+    i, d, sums = np.arange(len(key)), 1, _Sums(split)
     while True:
         i = i[i + d < len(key)]
         j = i + d
@@ -309,21 +335,16 @@ def _pair_events(key, owner, size, t, wide):
         i, j = i[ok], j[ok]
         if not len(i):
             break
-        codes.append(np.minimum(owner[i], owner[j]).astype(np.int64) * wide + np.maximum(owner[i], owner[j]))
-        counts.append(np.ones(len(i), np.int32))
-        held += len(i)
-        if held > 3_000_000:
-            codes, counts = _folded(codes, counts)
-            held = len(codes[0]) // 2
+        yield from sums.add(np.minimum(owner[i], owner[j]).astype(np.int64) * wide + np.maximum(owner[i], owner[j]), np.ones(len(i), np.int32))
         d += 1
-    return _folded(codes, counts) if codes else ([], [])
+    yield from sums.rest()
 
 
 def _apart_events(key, owner, family, size, t, wide):
-    """As _pair_events, without the pairs of one family: a run has its entries by family, those without one (0) first."""
+    """As _pair_events with split, without the pairs of one family: a run has its entries by family, those without one (0) first."""
     fresh = np.append(True, (key[1:] != key[:-1]) | (family[1:] != family[:-1]))[: len(key)]
     head = np.flatnonzero(fresh)
-    i, held, codes, counts = np.arange(len(key)), 0, [], []
+    i, sums = np.arange(len(key)), _Sums(True)
     j = np.where(family > 0, np.append(head[1:], len(key))[np.cumsum(fresh) - 1], i + 1)
     while True:
         ok = j < len(key)
@@ -334,14 +355,9 @@ def _apart_events(key, owner, family, size, t, wide):
             break
         ok = np.minimum(size[i], size[j]) >= t * np.maximum(size[i], size[j]) - _EPS
         p, q = owner[i[ok]], owner[j[ok]]
-        codes.append(np.minimum(p, q).astype(np.int64) * wide + np.maximum(p, q))
-        counts.append(np.ones(len(p), np.int32))
-        held += len(p)
-        if held > 3_000_000:
-            codes, counts = _folded(codes, counts)
-            held = len(codes[0]) // 2
+        yield from sums.add(np.minimum(p, q).astype(np.int64) * wide + np.maximum(p, q), np.ones(len(p), np.int32))
         j = j + 1
-    return _folded(codes, counts) if codes else ([], [])
+    yield from sums.rest()
 
 
 def _hang_together(run, owner):
@@ -365,9 +381,9 @@ def _count_fragment(fragments: int, t: float, buckets: int, turn: int = 0, round
     family. N-grams that sets of a family have are counted apart, and so are those that HOT_RUN sets or more share: sets that hang
     together through them, as near copies do, by products of 0/1 matrices where that is less work than pair by pair.
     Of the others a count of 1 is not sent for pairs that need more than one in each fragment; the sum adds it back,
-    as an upper bound, for each fragment that sent none."""
+    as an upper bound, for each fragment that sent none. Pairs leave in tables of about HELD."""
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(table: pa.Table) -> Iterator[pa.Table]:
         sig, size, family = joined(_cells(table, "sigs"), np.int64), joined(_cells(table, "sizes"), np.int32), joined(_cells(table, "families"), np.int32)
         owner, key = np.repeat(np.arange(len(sig), dtype=np.int32), joined(_cells(table, "lens"), np.int32)), joined(_cells(table, "keys"), np.uint32)
         del table
@@ -377,7 +393,7 @@ def _count_fragment(fragments: int, t: float, buckets: int, turn: int = 0, round
         shared = (np.append(same, False) | np.append(False, same))[: len(key)]
         key, owner = key[shared], owner[shared]
         del order, same, shared
-        rows = []
+        rows, waiting = [], 0
         if len(key):
             used = np.zeros(len(sig), bool)
             used[owner] = True
@@ -401,20 +417,27 @@ def _count_fragment(fragments: int, t: float, buckets: int, turn: int = 0, round
             own_turn = (mix(name.view(np.uint64)) >> np.uint64(40)) % np.uint64(rounds) == turn
 
             def send(a, b, c, frequent):
+                nonlocal rows, waiting
                 ok = own_turn[a] & (frequent | (c > 1) | (_needs(n[a], n[b], t) <= fragments))
-                if ok.any():
-                    rows.extend(_bucketed(name, n, a[ok], b[ok], c[ok], buckets, frequent))
+                for lo in range(0, len(a), HELD):
+                    part = np.flatnonzero(ok[lo : lo + HELD]) + lo
+                    if len(part):
+                        rows.extend(_bucketed(name, n, a[part], b[part], c[part], buckets, frequent))
+                        waiting += len(part)
+                    if waiting >= HELD:
+                        yield _pair_table(rows)
+                        rows, waiting = [], 0
 
             def one_by_one(pick, frequent):
-                for code, c in zip(*_pair_events(key[pick], owner[pick], n[owner[pick]], t, wide)):
-                    send(code // wide, code % wide, c, frequent)
+                for code, c in _pair_events(key[pick], owner[pick], n[owner[pick]], t, wide, frequent):
+                    yield from send(code // wide, code % wide, c, frequent)
 
             if kin.any():
                 at = np.flatnonzero(kin)
                 at = at[np.lexsort((of[owner[at]], key[at]))]
-                for code, c in zip(*_apart_events(key[at], owner[at], of[owner[at]], n[owner[at]], t, wide)):
-                    send(code // wide, code % wide, c, True)
-            one_by_one(~kin & (many < HOT_RUN), False)
+                for code, c in _apart_events(key[at], owner[at], of[owner[at]], n[owner[at]], t, wide):
+                    yield from send(code // wide, code % wide, c, True)
+            yield from one_by_one(~kin & (many < HOT_RUN), False)
             at = np.flatnonzero(~kin & (many >= HOT_RUN))
             if len(at):
                 group = _hang_together(key[at], owner[at])
@@ -433,14 +456,29 @@ def _count_fragment(fragments: int, t: float, buckets: int, turn: int = 0, round
                         na, nb = n[u[a : a + c.shape[0]], None], n[None, u[b : b + c.shape[1]]]
                         ok = (c > 0) & (np.minimum(na, nb) >= t * np.maximum(na, nb) - _EPS)
                         i, j = np.nonzero(np.triu(ok, 1) if a == b else ok)
-                        send(u[a + i].astype(np.int64), u[b + j].astype(np.int64), c[i, j].astype(np.int32), True)
+                        yield from send(u[a + i].astype(np.int64), u[b + j].astype(np.int64), c[i, j].astype(np.int32), True)
                 if rest:
-                    one_by_one(np.sort(np.concatenate(rest)), True)
-        return pa.table([pa.array(x, f.type) for x, f in zip(zip(*rows), _PAIR_SCHEMA)] if rows else [pa.array([], f.type) for f in _PAIR_SCHEMA], schema=_PAIR_SCHEMA)
+                    yield from one_by_one(np.sort(np.concatenate(rest)), True)
+        if rows:
+            yield _pair_table(rows)
 
     return run
 
 
+def _pair_table(rows):
+    return pa.table([pa.array(x, f.type) for x, f in zip(zip(*rows), _PAIR_SCHEMA)], schema=_PAIR_SCHEMA)
+
+
+def _given_out(run):
+    """run, of one group's table into several, for applyInArrow: what it has given out is not held any more."""
+    whole = tidied(lambda batches: (b for out in run(pa.Table.from_batches(batches)) for b in out.to_batches()))
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from whole(batches)
+
+    return inner
+
+
 def _folded(codes, counts):
     u, inv = np.unique(np.concatenate(codes), return_inverse=True)
     return [u], [np.bincount(inv, weights=np.concatenate(counts)).astype(np.int64)]
@@ -458,16 +496,12 @@ def _sum_bucket(fragments: int, t: float):
         n = np.zeros(len(every), np.int64)
         n[at] = joined(_cells(table, "sizes"), np.int32)
         base = np.cumsum([0, *map(len, names)])
-        codes, counts, held = [], [], 0
+        sums = _Sums(False)
         for k, (frequent, a, b, c) in enumerate(zip(*(_cells(table, x) for x in ("frequent", "a", "b", "c")))):
             own = at[base[k] : base[k + 1]].astype(np.int64)
-            codes.append(own[np.frombuffer(a, np.int32)] * len(every) + own[np.frombuffer(b, np.int32)])
-            counts.append(np.frombuffer(c, np.int32) + np.int64(0 if frequent else _ROW))
-            held += len(counts[-1])
-            if held > 3_000_000:
-                codes, counts = _folded(codes, counts)
-                held = len(codes[0]) // 2
-        (code,), (c,) = _folded(codes, counts)
+            for _ in sums.add(own[np.frombuffer(a, np.int32)] * len(every) + own[np.frombuffer(b, np.int32)], np.frombuffer(c, np.int32) + np.int64(0 if frequent else _ROW)):
+                pass
+        code, c = next(sums.rest())
         a, b = code // len(every), code % len(every)
         need = _needs(n[a], n[b], t)
         ok = c % _ROW + np.where(need > fragments, fragments - c // _ROW, 0) >= need
@@ -484,7 +518,7 @@ def _sum_bucket(fragments: int, t: float):
 def candidates(keyed: DataFrame, fragments: int, t: float, turn: int = 0, rounds: int = 1) -> DataFrame:
     """(sig, others), in lists of LISTED: for each set those above it whose summed partial overlap can still reach t.
     Each set has its turn in one of the rounds."""
-    part = keyed.groupBy("fragment").applyInArrow(trimmed(_count_fragment(fragments, t, BUCKETS * fragments, turn, rounds)), _PAIRS)
+    part = keyed.groupBy("fragment").applyInArrow(_given_out(_count_fragment(fragments, t, BUCKETS * fragments, turn, rounds)), _PAIRS)
     return part.groupBy("bucket").applyInArrow(trimmed(_sum_bucket(fragments, t)), "sig long, others array<long>")
 
 

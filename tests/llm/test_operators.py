@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from oracle import connect, rows
 from pyspark.sql import functions as F
@@ -119,6 +120,40 @@ def test_second_stage_grows_with_the_sets_of_a_group(spark, docs, monkeypatch):
     assert sent[1] <= 3 * max(n, sent[0])
 
 
+def fragment_of(sets, size, families):
+    """A fragment's table: one row for each set of keys, all sets of one size."""
+    cells = {"sigs": np.arange(len(sets), dtype=np.int64), "sizes": np.full(len(sets), size, np.int32), "families": np.array(families, np.int32), "lens": np.array([len(x) for x in sets], np.int32), "keys": np.concatenate(sets).astype(np.uint32)}
+    return pa.table({k: pa.array([x.tobytes()], pa.binary()) for k, x in cells.items()})
+
+
+def test_pairs_of_a_long_run_are_summed_a_few_times(monkeypatch):
+    """Before, all pairs held were summed anew at each step once 6 million were apart, so a fragment took time without end."""
+    m, summed, fold = 3800, [0], ngram_join._folded
+
+    def watched(codes, counts):
+        summed[0] += sum(map(len, codes))
+        assert summed[0] < 4 * m * m
+        return fold(codes, counts)
+
+    monkeypatch.setattr(ngram_join, "_folded", watched)
+    out = list(ngram_join._count_fragment(1, 0.5, 1)(fragment_of([np.array([7])] * m, 1, range(1, m + 1))))
+    assert sum(len(x.as_py()) // 4 for t in out for x in t.column("a")) == m * (m - 1) // 2 and len(out) > 1
+
+
+def test_pairs_given_out_in_parts_sum_to_the_same(monkeypatch):
+    r = np.random.default_rng(17)
+    sets = [np.flatnonzero(r.random(60) < 0.5) for _ in range(90)]
+    families, found = [i % 3 for i in range(90)], []
+    for held in (3_000_000, 40):
+        monkeypatch.setattr(ngram_join, "HELD", held)
+        parts = list(ngram_join._count_fragment(1, 0.5, 1)(fragment_of(sets, 30, families)))
+        near = ngram_join._sum_bucket(1, 0.5)(pa.concat_tables(parts))
+        found.append({(a, b) for a, others in zip(*(near.column(x).to_pylist() for x in ("sig", "others"))) for b in others})
+        assert (len(parts) > 1) == (held == 40)
+    need = int(ngram_join._needs(np.array([30]), np.array([30]), 0.5)[0]) - 1  # the sum adds one for a fragment that sent no count of rare n-grams
+    assert found[0] == found[1] == {(a, b) for b in range(90) for a in range(b) if not (families[a] == families[b] > 0) and len(np.intersect1d(sets[a], sets[b])) >= need}
+
+
 @pytest.mark.parametrize("least", [2, 4])
 def test_classes_with_families_equal_brute_force(spark, docs, monkeypatch, least):
     r = random.Random(15)
