@@ -1,6 +1,7 @@
 """Two families: join (same key names, all columns of both sides, clashes get _right) and merge (keys may
 differ, the right keys go, clashes get the right suffix). Keys compare as typed values; missing keys join
-nothing. Spark picks the strategy: no side is broadcast by hand, its size decides at run time."""
+nothing. Spark picks the strategy: no side is broadcast by hand, its size decides at run time (`salted_join` is
+always shuffled)."""
 
 from __future__ import annotations
 
@@ -117,9 +118,10 @@ def merge(left: DataFrame, right: DataFrame, how: str = "inner", left_on=None, r
 
 def salted_join(left: DataFrame, right: DataFrame, on: str, salts: int = 16) -> DataFrame:
     """Inner join for a left side with a few very frequent keys: each key's rows go to `salts` tasks, and
-    the right side is copied as often. For plans where adaptive skew handling can't act."""
+    the right side is copied as often. For plans where adaptive skew handling can't act. Both sides are shuffled: Spark
+    takes the copies for no larger than the right side itself, so it would broadcast what the driver can't hold."""
     check_columns(left, on)
     check_columns(right, on)
     spread = left.withColumn("__salt", F.pmod(F.xxhash64(*[col(c) for c in left.columns]), F.lit(salts)).cast("int"))
     copies = _suffixed(right, left.columns, "_right").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return spread.join(copies, (spread[on] == copies[f"{on}_right"]) & (spread["__salt"] == copies["__salt"])).drop("__salt")
+    return spread.join(copies.hint("merge"), (spread[on] == copies[f"{on}_right"]) & (spread["__salt"] == copies["__salt"])).drop("__salt")

@@ -85,6 +85,15 @@ def test_joins_with_clashes_nulls_and_repeats(spark):
     assert len(a.salted_join(b, "k", 3)) == 4
 
 
+def test_copies_of_a_salted_join_are_not_broadcast(spark, tmp_path):
+    spark.range(5000).selectExpr("id as k", "id % 7 as v").write.parquet(str(tmp_path / "b"))
+    b = Frame(readers.read_parquet(spark, str(tmp_path / "b")))
+    j = frame(spark, [(k % 3, k) for k in range(100)], "k bigint, n bigint").salted_join(b, "k")
+    plan = j.df._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert sorted(tuple(r) for r in j.collect()) == sorted((k % 3, k, k % 3, k % 3) for k in range(100))
+
+
 def test_concat_promotes_and_sorts_columns(spark):
     c = concat(frame(spark, [(1, 2)], "b bigint, a bigint"), frame(spark, [(2.5, "s")], "b double, c string"), fill=True)
     assert c.columns == ["a", "b", "c"]
