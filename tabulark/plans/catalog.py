@@ -603,9 +603,9 @@ def csv_round_trip(spark, d):
 
 @query("select doc_id, text, lang from documents")
 def csv_quoted_round_trip(spark, d):
-    path = _folder(spark, "csv")
-    t(spark, d, "documents").select("doc_id", "text", "lang").write_csv(path, sep=";")
-    return readers.read_csv(spark, path, sep=";", multiline=True, schema={"text": "string"})
+    path, docs = _folder(spark, "csv"), t(spark, d, "documents").select("doc_id", "text", "lang")
+    docs.write_csv(path, sep=";")
+    return readers.read_csv(spark, path, sep=";", multiline=True, schema=dict(docs.df.dtypes))
 
 
 @query("select o_orderkey, o_orderstatus, o_totalprice from orders")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,12 +13,14 @@ from ..storage import put_text
 
 BOOLS = ("true", "false", "yes", "no", "1", "0", "t", "f", "y", "n")
 TRUE = ("true", "yes", "1", "t", "y")
-TESTS = {"boolean": None, "bigint": r"^[+-]?[0-9]{1,18}$", "double": r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$|^[+-]?(nan|NaN|inf|Infinity)$"}
+TESTS = {"boolean": None, "bigint": r"^[+-]?[0-9]+$", "double": r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$|^[+-]?(nan|NaN|inf|Infinity)$"}
 MODES = {"strict": "FAILFAST", "lenient": "PERMISSIVE", "collect": "PERMISSIVE"}
 
 
 def _is(kind, c):
-    return F.lower(c).isin(*BOOLS) if kind == "boolean" else c.rlike(TESTS[kind])
+    if kind == "boolean":
+        return F.lower(c).isin(*BOOLS)
+    return c.rlike(TESTS[kind]) & c.try_cast("bigint").isNotNull() if kind == "bigint" else c.rlike(TESTS[kind])
 
 
 def infer_types(df: DataFrame, infer_bool_from_01: bool = True) -> dict[str, str]:
@@ -70,10 +74,14 @@ def cast_types(df: DataFrame, types: dict[str, str], mode: str = "strict", empty
 
 def read_csv(spark: SparkSession, path, header: bool = True, sep: str = ",", mode: str = "lenient", schema: dict | None = None, trim: bool = False, multiline: bool = False, infer_bool_from_01: bool = True, empty: str = "null", corrupt_column: str | None = None) -> DataFrame:
     """Typed frame of CSV files. Headerless columns are col0, col1 and so on. multiline: quoted line ends; without
-    it big files are split. mode "collect" puts rows that don't parse into corrupt_column."""
+    it big files are split. mode "collect" puts rows that don't parse into corrupt_column. Text cells without any
+    character are missing, "" is an empty text."""
     if mode not in MODES or len(sep) != 1:
         raise InvalidOption(f"mode is one of {', '.join(MODES)}, sep one character")
     reader = spark.read.option("header", header).option("sep", sep).option("quote", '"').option("escape", '"').option("multiLine", multiline).option("mode", MODES[mode]).option("ignoreLeadingWhiteSpace", trim).option("ignoreTrailingWhiteSpace", trim)
+    # Spark takes "" for missing where nullValue is "", so it gets what no cell has; the parser drops each NUL of a
+    # quoted cell where the escape's escape isn't set.
+    reader = reader.option("nullValue", f"\ufdd0{uuid.uuid4().hex}").option("charToEscapeQuoteEscaping", '"')
     text = reader.csv(path)
     if mode == "collect":
         name = corrupt_column or "_corrupt"

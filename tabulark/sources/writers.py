@@ -11,8 +11,9 @@ from ..errors import InvalidOption
 
 
 def write_csv(df: DataFrame, path: str, header: bool = True, sep: str = ",", one_file: bool = False) -> None:
+    """Blanks at a text's ends are kept. A missing cell has no character, an empty text is ""."""
     out = df.coalesce(1) if one_file else df
-    out.write.mode("overwrite").option("header", header).option("sep", sep).option("quote", '"').option("escape", '"').option("emptyValue", "").option("lineSep", "\n").csv(path)
+    out.write.mode("overwrite").option("header", header).option("sep", sep).option("quote", '"').option("escape", '"').option("emptyValue", '""').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("lineSep", "\n").csv(path)
 
 
 def csv_lines(df: DataFrame, sep: str = ",") -> DataFrame:

@@ -5,6 +5,7 @@ import pytest
 from tabulark import Frame, concat
 from tabulark.errors import ColumnNotFound, FrameError, InvalidOption, OrderRequired, ParseFailure, SchemaMismatch
 from tabulark.operators import aggregate, ordered
+from tabulark.plans.catalog import QUERIES
 from tabulark.sources import readers
 
 
@@ -115,6 +116,24 @@ def test_csv_inference_modes_and_headers(spark, tmp_path):
         readers.read_csv(spark, str(tmp_path / "b.csv"), mode="strict", schema={"n": "bigint"})
 
 
+@pytest.mark.parametrize("first, lang", [(10**18, "en"), (0, "no"), (5, "1")])
+def test_csv_keeps_odd_texts_keys_and_types(spark, tmp_path, first, lang):
+    texts = [" a", "a ", "\n", "a\r\n", "\t;\t", "", None, '"', '";"', 'a;"', "\\", '\\"', "\0", "\0;\0", "#", "a\rb"]
+    want = [(first + k, x, None if k == 2 and lang == "en" else lang) for k, x in enumerate(texts)]
+    want = want[:2] if not first else want
+    readers.from_rows(spark, want, "doc_id bigint, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    df = QUERIES["csv_quoted_round_trip"](spark, str(tmp_path))
+    assert df.dtypes == [("doc_id", "bigint"), ("text", "string"), ("lang", "string")]
+    assert sorted(tuple(r) for r in df.collect()) == want
+
+
+def test_csv_infers_whole_numbers_as_far_as_they_go(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(f"a,b\n{2**63 - 1},{2**63}\n{-2**63},1\n")
+    df = readers.read_csv(spark, str(tmp_path / "a.csv"))
+    assert df.dtypes == [("a", "bigint"), ("b", "double")]
+    assert sorted(r.a for r in df.collect()) == [-(2**63), 2**63 - 1]
+
+
 def test_json_layouts(spark, tmp_path):
     (tmp_path / "a.json").write_text('[{"a": 1, "b": "x"}, {"a": 2}]')
     assert sorted(tuple(r) for r in readers.read_json(spark, str(tmp_path / "a.json"), "array").collect()) == [(1, "x"), (2, None)]
